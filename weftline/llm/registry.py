@@ -9,6 +9,12 @@ from . import oracles
 #: query name -> module of this subpackage that defines it
 MODULES = {
     "op1_best_fit_packing": "packing",
+    "op2_minhash_near_dedup": "near",
+    "op4_arc_to_warc": "archive",
+    "op5_toxicity_ftrl": "toxicity",
+    "op6_language_id": "language",
+    "op8_media_columns": "media",
+    "op10_decontamination": "decontaminate",
 }
 
 

@@ -135,5 +135,5 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray,
         out[long] = whole[at[long]]
         for i in np.flatnonzero((counts > 0) & ~full):
             row = hashes[rows[i] : rows[i + 1]]
-            out[offsets[i]] = (row * FACTORS[: len(row)]).sum(dtype=U) + FACTORS[63 - len(row)]
+            out[offsets[i]] = np.append(row * FACTORS[: len(row)], FACTORS[63 - len(row)]).sum(dtype=U)
     return mix(out), offsets
