@@ -21,7 +21,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,15 +145,12 @@ def _blocks(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, spark: SparkSession, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: links are den * intersection >= num * union of k-word shingles."""
-    scratch = Scratch(spark, "near")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.write(docs.mapInArrow(_classes(k), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "rows")
+def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch: Scratch, num: int, den: int) -> DataFrame:
+    """(node, component) of the classes that have a link.
 
-    # Classes: equal sets are one node. f1 names the node, f2 guards against a chance match.
-    per = rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = scratch.write(per.withColumn("node", F.col("f1")), "classes")
+    classes: node, copies, n_shingles, bands, one row each. fetch: from nodes (node) to
+    their whole sets (f1, items), rows of other nodes or repeated ones being harmless.
+    """
     banded = scratch.write(classes.select("node", "copies", F.explode("bands").alias("key")), "banded")
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", "node")).alias("top"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")).where("n > 1")
     buckets = scratch.write(buckets.select("key", "n", F.col("top.node").alias("pivot"), "print"), "buckets")
@@ -163,9 +160,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, k: int = 5, num: int =
     # Stars: every class of a bucket against its pivot, once for each pair.
     stars = scratch.write(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     wanted = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(classes.select("node", F.col("least").alias("doc_id")), "node").select("doc_id", F.col("node").alias("f1"))
-    full = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "f1").mapInArrow(_full(k), "f1 long, items binary")
-    full = scratch.write(full.dropDuplicates(["f1"]), "full")
+    full = scratch.write(fetch(wanted).dropDuplicates(["f1"]), "full")
     x, y = full.select(F.col("f1").alias("a"), F.col("items").alias("x")), full.select(F.col("f1").alias("b"), F.col("items").alias("y"))
     links = scratch.write(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(num, den), "a long, b long"), "links")
     found = scratch.write(components(links, scratch, "first"), "found")
@@ -175,14 +170,33 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, k: int = 5, num: int =
     several = scratch.write(several.select("key", "node", "component", "print", "n"), "several")
     weights = classes.select("node", "n_shingles")
     open_ = several.join(weights, "node").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("size"), F.first("print").alias("print"), F.first("n").alias("n")).where("low <> high")
-    open_ = scratch.write(open_.groupBy("print", "n").agg(F.min(F.struct("key", "size")).alias("one")).select("one.key", F.greatest(F.ceil(F.col("one.size") / BLOCK), F.ceil(F.col("n") / BLOCK_CLASSES)).cast("int").alias("blocks")), "open")
+    blocks = F.greatest(F.ceil(F.col("one.size") / BLOCK), F.ceil(F.col("n") / BLOCK_CLASSES)).cast("int").alias("blocks")
+    open_ = scratch.write(open_.groupBy("print", "n").agg(F.min(F.struct("key", "size")).alias("one")).select("one.key", blocks), "open")
     dealt = several.select("key", "node", "component").join(open_, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("node").alias("f1"), "component")
     more = dealt.join(full, "f1").groupBy("key", "i", "j").applyInPandas(_blocks(num, den), "a long, b long")
     links = scratch.write(links.union(more), "all-links")
     found = scratch.write(components(links, scratch, "last"), "groups")
-    for name in ("members", "several", "open", "full", "stars", "links", "found", "buckets"):
+    for name in ("members", "several", "open", "full", "stars", "links", "all-links", "found", "buckets"):
         scratch.drop(name)
+    return found
+
+
+def near_duplicates(docs: DataFrame, spark: SparkSession, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: links are den * intersection >= num * union of k-word shingles."""
+    scratch = Scratch(spark, "near")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = scratch.write(docs.mapInArrow(_classes(k), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "rows")
+
+    # Classes: equal sets are one node. f1 names the node, f2 guards against a chance match.
+    per = rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = scratch.write(per.withColumn("node", F.col("f1")), "classes")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        at = wanted.join(classes.select("node", F.col("least").alias("own")), "node").select("own", F.col("node").alias("f1"))
+        return docs.join(at, docs["doc_id"].eqNullSafe(at["own"])).select("text", "f1").mapInArrow(_full(k), "f1 long, items binary")
+
+    found = linked(classes.select("node", "copies", "n_shingles", "bands"), fetch, scratch, num, den)
 
     # Each class's smallest reachable doc_id, then each row's.
     parts = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -195,5 +209,19 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, k: int = 5, num: int =
     return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def representatives(docs: DataFrame, spark: SparkSession, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs of which one row of each near-duplicate group stays, that of the smallest doc_id.
+
+    Wordless rows all stay, and rows that share a doc_id if one of them stays; of rows
+    that repeat doc_id and text one stays.
+    """
+    scratch = Scratch(spark, "kept")
+    decided = near_duplicates(docs, spark, k, num, den).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = scratch.write(decided.where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
+    rest = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return rest.dropDuplicates(["doc_id", "text"]) if ids else rest
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), spark, k=4)
