@@ -5,19 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from weftline.llm import decontaminate, near, packing, substring, toxicity
+from weftline.llm.common import Scratch, read, ship
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go. It is learned from the labelled rows that aren't held out."""
+    model = toxicity.learned(spark, docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, "__toxic").where(F.col("__toxic") < toxicity.THRESHOLD).drop("__toxic")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the smallest doc_id stays."""
+    return near.representatives(docs, spark)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur again are cut; a document of which nothing is left goes."""
+    found = substring.deduplicated(docs, spark)
+    emptied = (F.col("__n_removed") > 0) & (F.trim(F.translate("text", "\t\n\r", "   ")) == "")
+    return found.where(~emptied).select(*docs.columns)
+
+
+def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stretches of words that the benchmark has too are cut."""
+    return decontaminate.cleaned(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is packed into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, spark, public_tokenizers.path(TOKENIZER))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeated_passages),
+    ("benchmark_passages", cut_benchmark_passages),
+    ("packing", pack_sequences),
+]
 #: Trained models, token ids and MinHash bands are beyond SQL; tests/llm check run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written as Parquet and read again by the next."""
-    from weftline.llm.common import Scratch
-
-    scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = scratch.write(docs, name)
-    return docs
+    ship(spark)
+    scratch, docs = Scratch(spark, "pipeline"), read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,10 +10,13 @@ from . import oracles
 MODULES = {
     "op1_best_fit_packing": "packing",
     "op2_minhash_near_dedup": "near",
+    "op3_substring_dedup": "substring",
     "op4_arc_to_warc": "archive",
     "op5_toxicity_ftrl": "toxicity",
     "op6_language_id": "language",
+    "op7_token_counts": "lengths",
     "op8_media_columns": "media",
+    "op9_chat_formatting": "chat",
     "op10_decontamination": "decontaminate",
 }
 

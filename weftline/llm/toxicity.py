@@ -31,7 +31,7 @@ from .words import ALNUM, FACTORS, U, Words, chunks, mix
 BITS, SKIPS = 20, 2
 #: Labelled rows to learn from, at most.
 SAMPLE = 20_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 2.0, 1.0
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 1.0, 8.0, 0.0
 THRESHOLD = 0.7
 
 
