@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from .plans import text_plans
+
+PLANS = (text_plans,)
+
+
+def _all() -> dict[str, tuple[Callable, str | None]]:
+    return {name: pair for module in PLANS for name, pair in module.QUERIES.items()}
+
+
+def queries() -> dict[str, Callable]:
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
