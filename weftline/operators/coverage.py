@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("covered", "partial", "failed", "skipped", "unresolved", "policySkipped", "nonContent")
@@ -26,7 +26,12 @@ def unions(rows: DataFrame, keys: list[str], sets: tuple[str, ...] = SETS) -> Da
     Set elements are exploded to (key, set, element), so a group of any size is
     aggregated with map-side combine and a group's rows never meet in one list.
     """
-    named = rows.select(*keys, F.explode(F.concat(F.array(F.struct(F.lit("").alias("s"), F.lit(None).cast("string").alias("e"))), *(F.transform(s, lambda e, s=s: F.struct(F.lit(s).alias("s"), e.alias("e"))) for s in sets))).alias("x"))
+
+    def tagged(name: str) -> Column:
+        return F.transform(name, lambda e: F.struct(F.lit(name).alias("s"), e.alias("e")))
+
+    none = F.array(F.struct(F.lit("").alias("s"), F.lit(None).cast("string").alias("e")))  # keeps keys without any element
+    named = rows.select(*keys, F.explode(F.concat(none, *map(tagged, sets))).alias("x"))
     one = named.select(*keys, "x.s", "x.e").distinct()
     return one.groupBy(*keys).agg(*(F.array_sort(F.collect_list(F.when(F.col("s") == s, F.col("e")))).alias(s) for s in sets))
 
@@ -55,15 +60,8 @@ def summary(entries: DataFrame) -> DataFrame:
 
 def examples(entries: DataFrame, most: int = 5) -> DataFrame:
     """The first problem entries of each status: a report of so many rows a status."""
+    order = Window.partitionBy("status").orderBy("source")  # Spark keeps `most` rows a group before the shuffle
     rows = entries.where(~F.col("status").isin("covered", *STICKY))
-    # the smallest sources of each status by a bounded top-n aggregate, merged before the shuffle
-    return rows.groupBy("status").agg(F.slice(F.array_sort(F.collect_set("source")), 1, most).alias("sources")) if most < 1 else _top(rows, most)
-
-
-def _top(rows: DataFrame, most: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("status").orderBy("source")  # Spark keeps `most` rows a group before the shuffle (WindowGroupLimit)
     ranked = rows.select("status", "source", F.row_number().over(order).alias("rank")).where(F.col("rank") <= most)
     return ranked.groupBy("status").agg(F.array_sort(F.collect_list("source")).alias("sources"))
 
