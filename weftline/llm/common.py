@@ -14,6 +14,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -70,5 +71,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Slots of a key filter; so many numbers at most are broadcast, whatever the keys are.
+SLOTS = 1 << 19
+
+
+def split_by_keys(rows: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the keys, rows that certainly have none), without a shuffle of rows.
+
+    Keys are hashed to SLOTS slots, and the taken slots, half a million numbers at most,
+    are broadcast. Where there are many more keys than slots all rows may have one, and
+    whoever joins them shuffles them all, with the same result.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.lit("slot"), F.col(c)), F.lit(SLOTS)).cast("int")
+    taken = F.broadcast(keys.select(slot(key).alias("__slot")).distinct())
+    own = slot(column) == F.col("__slot")
+    return rows.join(taken, own, "left_semi"), rows.join(taken, own, "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, read
+from .common import Scratch, read, split_by_keys
 from .minmax import band_keys, signatures
 from .near import linked
 from .words import BASE, INVERSE, NOT_SPACE, U, Words, chunks, flat, mix, powers, shingles
@@ -157,7 +157,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
 def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, spans): what goes from each row of docs (doc, doc_id, text), before short stretches are let off."""
     found = scratch.write(docs.mapInArrow(units, UNITS), "units")
-    place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc_id"), F.col("start").alias("start"), F.col("doc").alias("doc"), F.col("end").alias("end"))
+    order = [F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("start"), F.col("doc")]
+    place = F.struct(*order, F.col("end"))
 
     # Lines: classes of equal ones, banded, confirmed, clustered.
     lines = found.where("line")
@@ -167,24 +168,26 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def fetch(wanted: DataFrame) -> DataFrame:
         at = wanted.join(classes.select("node", "least"), "node").select(F.col("least.doc").alias("doc"), F.struct(F.col("least.start").alias("start"), F.col("least.end").alias("end"), F.col("node").alias("f1")).alias("one"))
         at = at.groupBy("doc").agg(F.collect_list("one").alias("wanted"))  # lines of one document
-        return docs.select("doc", "text").join(at, "doc").select("text", "wanted").mapInArrow(line_sets, "f1 long, items binary")
+        some, _ = split_by_keys(docs.select("doc", "text"), "doc", at, "doc")
+        return some.join(at, "doc").select("text", "wanted").mapInArrow(line_sets, "f1 long, items binary")
 
     groups = scratch.write(linked(classes.select("node", "copies", "n_shingles", "bands"), fetch, scratch, 80, 100), "line-groups")
     parts = classes.select("node", "copies", "least").join(groups, "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     parts = scratch.write(parts, "parts")
     first = parts.groupBy("component").agg(F.min("least").alias("first"))
     stay = parts.select(F.col("node").alias("key"), "component").join(first, "component").select("key", "first.doc", "first.start")
-    windows = found.where("not line").select("key", "doc", "start", "end", place.alias("place"))
+    windows = found.where("not line").select("key", "doc", "start", "end", F.struct(*order).alias("place"))
     repeated = windows.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first.doc", "first.start")
 
     def going(rows: DataFrame, stay: DataFrame) -> DataFrame:
         stay = stay.select("key", F.col("doc").alias("own"), F.col("start").alias("at"))
         return rows.select("key", "doc", "start", "end").join(stay, "key").where("doc <> own or start <> at").select("doc", F.struct("start", "end").alias("span"))
 
-    spans = scratch.write(going(lines, stay).union(going(windows, repeated)), "spans")
+    spans = going(lines, stay).union(going(windows, repeated)).groupBy("doc").agg(F.collect_set("span").alias("spans"))  # spans of one document
+    spans = scratch.write(spans, "spans")
     for name in ("units", "classes", "line-groups", "parts"):
         scratch.drop(name)
-    return spans.groupBy("doc").agg(F.collect_set("span").alias("spans"))  # spans of one document
+    return spans
 
 
 def deduplicated(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -194,7 +197,8 @@ def deduplicated(docs: DataFrame, spark: SparkSession) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spans = removals(docs.select(key.alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch)
     spans = spans.select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__doc", key).join(spans, "__doc", "left").drop("__doc")
+    some, rest = split_by_keys(docs.withColumn("__doc", key), "__doc", spans, "__doc")
+    joined = some.join(spans, "__doc", "left").drop("__doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +218,9 @@ def deduplicated(docs: DataFrame, spark: SparkSession) -> DataFrame:
                     columns["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(stretches), pa.array(words)], [*columns, "__n_removed", "__removed_words"])
 
-    return joined.mapInArrow(run, T.StructType([*schema.fields, T.StructField("__n_removed", T.LongType()), T.StructField("__removed_words", T.LongType())]))
+    found = joined.mapInArrow(run, T.StructType([*schema.fields, T.StructField("__n_removed", T.LongType()), T.StructField("__removed_words", T.LongType())]))
+    none = F.lit(0).cast("long")
+    return found.unionByName(rest.drop("__doc").withColumn("__n_removed", none).withColumn("__removed_words", none))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
