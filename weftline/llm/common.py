@@ -8,6 +8,7 @@ that were running: lineage is cut by a written table, never by cached blocks.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -52,9 +53,15 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
+        """Writes df and reads it back: what made it is done with, and its shuffle files can go."""
+        path, schema = self.path(name), df.schema
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def sweep(self) -> None:
+        """Has the driver collect its garbage: only then Spark deletes shuffle files of plans that are done with."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, name: str = "") -> None:
         try:

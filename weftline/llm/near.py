@@ -151,16 +151,23 @@ def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch:
     classes: node, copies, n_shingles, bands, one row each. fetch: from nodes (node) to
     their whole sets (f1, items), rows of other nodes or repeated ones being harmless.
     """
-    banded = scratch.write(classes.select("node", "copies", F.explode("bands").alias("key")), "banded")
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", "node")).alias("top"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")).where("n > 1")
-    buckets = scratch.write(buckets.select("key", "n", F.col("top.node").alias("pivot"), "print"), "buckets")
-    members = scratch.write(banded.join(buckets, "key").select("key", "node", "pivot", "n", "print"), "members")
-    scratch.drop("banded")
+    # Keys of several classes are counted first, so that only (key, count) is shuffled for all the others.
+    banded = classes.select("node", F.explode("bands").alias("key"))
+    shared = scratch.write(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    scratch.sweep()
+    held = scratch.write(banded.join(shared, "key").select("key", "node", "n"), "held")
+    scratch.sweep()
+    ranked = held.join(classes.select("node", "copies"), "node")
+    buckets = ranked.groupBy("key").agg(F.max(F.struct("copies", "node")).alias("top"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")).select("key", F.col("top.node").alias("pivot"), "print")
+    members = scratch.write(held.join(buckets, "key").select("key", "node", "pivot", "n", "print"), "members")
+    scratch.drop("shared")
+    scratch.drop("held")
 
     # Stars: every class of a bucket against its pivot, once for each pair.
     stars = scratch.write(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     wanted = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
     full = scratch.write(fetch(wanted).dropDuplicates(["f1"]), "full")
+    scratch.sweep()
     x, y = full.select(F.col("f1").alias("a"), F.col("items").alias("x")), full.select(F.col("f1").alias("b"), F.col("items").alias("y"))
     links = scratch.write(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(num, den), "a long, b long"), "links")
     found = scratch.write(components(links, scratch, "first"), "found")
@@ -177,8 +184,9 @@ def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch:
     more = dealt.join(full, "f1").groupBy("key", "i", "j").applyInPandas(_blocks(num, den), "a long, b long")
     links = scratch.write(links.union(more), "all-links")
     found = scratch.write(components(links, scratch, "last"), "groups")
-    for name in ("members", "several", "open", "full", "stars", "links", "all-links", "found", "buckets"):
+    for name in ("members", "several", "open", "full", "stars", "links", "all-links", "found"):
         scratch.drop(name)
+    scratch.sweep()
     return found
 
 

@@ -164,6 +164,7 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     lines = found.where("line")
     classes = lines.groupBy(F.col("key").alias("node")).agg(F.count("*").alias("copies"), F.min(place).alias("least"), F.first("n_shingles").cast("long").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = scratch.write(classes, "classes")
+    scratch.sweep()
 
     def fetch(wanted: DataFrame) -> DataFrame:
         at = wanted.join(classes.select("node", "least"), "node").select(F.col("least.doc").alias("doc"), F.struct(F.col("least.start").alias("start"), F.col("least.end").alias("end"), F.col("node").alias("f1")).alias("one"))
@@ -176,8 +177,13 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     parts = scratch.write(parts, "parts")
     first = parts.groupBy("component").agg(F.min("least").alias("first"))
     stay = parts.select(F.col("node").alias("key"), "component").join(first, "component").select("key", "first.doc", "first.start")
-    windows = found.where("not line").select("key", "doc", "start", "end", F.struct(*order).alias("place"))
-    repeated = windows.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first.doc", "first.start")
+    # Windows: repeated keys are counted first; only their windows are ordered.
+    windows = found.where("not line").select("key", "doc", "doc_id", "start", "end")
+    several = scratch.write(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    scratch.sweep()
+    windows = scratch.write(windows.join(several, "key"), "windows")
+    scratch.sweep()
+    repeated = windows.groupBy("key").agg(F.min(F.struct(*order)).alias("first")).select("key", "first.doc", "first.start")
 
     def going(rows: DataFrame, stay: DataFrame) -> DataFrame:
         stay = stay.select("key", F.col("doc").alias("own"), F.col("start").alias("at"))
@@ -185,8 +191,9 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     spans = going(lines, stay).union(going(windows, repeated)).groupBy("doc").agg(F.collect_set("span").alias("spans"))  # spans of one document
     spans = scratch.write(spans, "spans")
-    for name in ("units", "classes", "line-groups", "parts"):
+    for name in ("units", "classes", "line-groups", "parts", "repeated", "windows"):
         scratch.drop(name)
+    scratch.sweep()
     return spans
 
 
