@@ -70,7 +70,7 @@ def arc_records(stream: BinaryIO) -> Iterator[ArcRecord]:
         raise ValueError(f"not an ARC version block: {head[:80]!r}")
     described = stream.read(int(head.rsplit(" ", 1)[1])).decode("utf-8", "replace").split("\n")
     version = int(described[0].split()[0])
-    fields = tuple(described[1].split()) if len(described) > 1 and described[1].strip() else ARC_FIELDS[version]
+    fields = tuple(described[1].split()) if len(described) > 1 and described[1].strip() else ARC_FIELDS.get(version, ("",))
     if version not in ARC_FIELDS or fields[-1] != "Archive-length":
         raise ValueError(f"unknown ARC version block: {described[:2]}")
     while line := stream.readline():
