@@ -37,7 +37,7 @@ def test_lookups(snap):
     assert api.get_route(snap, "components/buttons/").first()["seq"] == 0  # exact before alias
     assert api.get_route(snap, "/components/button-old").first()["seq"] == 0
     assert api.get_route(snap, "/nope").count() == 0
-    assert api.get_material_page(snap, "https://s/components/buttons").first()["page_id"] == "p1"
+    assert api.get_docs_page(snap, "https://s/components/buttons").first()["page_id"] == "p1"
     assert api.get_page(snap, "/components/buttons", "markdown", 5).first()["markdown"] == "---\nt"
     assert api.get_page(snap, "/components/buttons").first()["sections"][0]["title"] == "Usage"
     assert [r["id"] for r in api.get_page(snap, "/components/buttons", "provenance").collect()] == ["k:1"]
@@ -60,7 +60,7 @@ def test_component_queries(snap):
     assert got["recommended"] == ["/components/buttons/specs", "/components/buttons"]
     assert api.get_component_tokens(snap, "buttons").count() == api.get_component_resources(snap, "buttons").count() == 1
     assert api.get_component_tabs(snap, "buttons").first()["tabs"] == ["specs"]
-    assert [r["component"] for r in api.list_material_components(snap).collect()] == ["buttons"]
+    assert [r["component"] for r in api.list_components(snap).collect()] == ["buttons"]
     assert api.get_component_docs(snap, "buttons", include_markdown=True, max_chars=3).first()["markdown"] == "---"
     assert api.get_component_docs(snap, "color").count() == 0
 
@@ -71,16 +71,16 @@ def test_lists_and_explanations(snap):
     told = api.explain_route_coverage(snap, "/components/buttons").first()
     assert told["missing"] == ["b"] and [(m["member"], m["status"]) for m in told["members"]] == [("/components/buttons", "partial"), ("/gone", "partial")]
     assert api.explain_resource_resolution(snap, "token-table:b").first()["told"] == "decoded"
-    assert [r["route"] for r in api.material_docs_cache_diagnostics(snap, failed=True).collect()] == ["/a"]
-    assert api.search_material_docs(snap, "loud buton").first()["path"] == "components/buttons/overview.md"
-    assert api.material_docs_cache_status(snap).count() == 0  # no manifest: data, not an error
+    assert [r["route"] for r in api.docs_cache_diagnostics(snap, failed=True).collect()] == ["/a"]
+    assert api.search_docs(snap, "loud buton").first()["path"] == "components/buttons/overview.md"
+    assert api.docs_cache_status(snap).count() == 0  # no manifest: data, not an error
 
 
 def test_refresh_publishes_only_what_passes(spark, tmp_path):
     s = api.Snapshot(spark, str(tmp_path))
-    bad = api.refresh_material_docs(s, {"t": spark.range(1)}, "v1", snapshot.Facts())
+    bad = api.refresh_docs(s, {"t": spark.range(1)}, "v1", snapshot.Facts())
     assert not all(r["passed"] for r in bad.collect()) and snapshot.current(spark, s.root) is None
-    api.refresh_material_docs(s, {"t": spark.range(1)}, "v2", snapshot.Facts(page_count=10, listed_pages=10))
+    api.refresh_docs(s, {"t": spark.range(1)}, "v2", snapshot.Facts(page_count=10, listed_pages=10))
     assert snapshot.current(spark, s.root).endswith("v2")
 
 

@@ -2,6 +2,7 @@ import pytest
 
 from weftline import catalog
 
+from .conftest import ROOT
 from .oracle import assert_same, connect
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -22,6 +23,14 @@ def test_other_queries_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_queries_need_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
 def test_entry_is_stable(spark):
     import __spark_entry__ as entry
 

@@ -15,6 +15,7 @@ from ..functions import paths
 
 MOST_REASONS = 100
 HARD_FAILURES = ("ambiguous", "unresolved", "stale")
+#: Cells that block a table, and fillers that rendering leaves.
 BLOCKING_VALUES = ("[unresolved]", "[missing]", "undefined", "[object Object]")
 PLACEHOLDERS = r"(?i)\[unresolved|\[missing|Unsupported Material chunk|Material resource placeholder"
 SMOKE_QUERIES = ("button", "switch", "list")
@@ -166,7 +167,7 @@ def cache_files(names: DataFrame, required: DataFrame, pages: DataFrame) -> Data
 def required_pages(pages: DataFrame, required: DataFrame) -> DataFrame:
     """Required routes have a structured page."""
     missing = required.select("route").distinct().join(pages.select("route"), "route", "left_anti")
-    return stage("mcp-smoke", [missing.select(F.concat(F.lit("no page: "), "route").alias("reason"))])
+    return stage("query-smoke", [missing.select(F.concat(F.lit("no page: "), "route").alias("reason"))])
 
 
 def fail_fast(stages: list[tuple[str, Callable[[], DataFrame | None]]]) -> list[dict]:

@@ -29,7 +29,7 @@ SCHEMAS = {
     "manifest": "generated_at timestamp, page_count long, health string",
     "diagnostics": "seq long, route string, path string, status string, reason string",
 }
-LIMITS = {"search_structured_docs": (20, 100), "list_routes": (100, 500), "search_material_docs": (10, 25), "get_component_docs": (10, 25), "get_page": (20_000, 100_000)}
+LIMITS = {"search_structured_docs": (20, 100), "list_routes": (100, 500), "search_docs": (10, 25), "get_component_docs": (10, 25), "get_page": (20_000, 100_000)}
 
 
 def bounded(name: str, limit: int | None) -> int:
@@ -169,21 +169,21 @@ def get_component_resources(s: Snapshot, name: str) -> DataFrame:
     return _of_component(s, "resources", name)
 
 
-def material_docs_cache_status(s: Snapshot, fresh_hours: int = 24) -> DataFrame:
+def docs_cache_status(s: Snapshot, fresh_hours: int = 24) -> DataFrame:
     age = F.unix_millis(F.current_timestamp()) - F.unix_millis("generated_at")
     return s.table("manifest").select("generated_at", "page_count", "health", (age < fresh_hours * 3_600_000).alias("fresh"))
 
 
-def search_material_docs(s: Snapshot, query: str, limit: int | None = None) -> DataFrame:
+def search_docs(s: Snapshot, query: str, limit: int | None = None) -> DataFrame:
     """Full text over title, section, headings and the first 30,000 characters of the body, best first, with excerpts."""
     body = F.concat_ws(" ", "title", "section", F.array_join("headings", " "), F.substring(text.strip_frontmatter(F.col("markdown")), 1, search.BODY_LIMIT))
     pages = s.table("pages").where("markdown is not null")
     hits = search.full_text(pages.select(F.col("seq").alias("id"), body.alias("body")), search.words(query) or ["\x00"])
-    best = search.top(hits, bounded("search_material_docs", limit))
+    best = search.top(hits, bounded("search_docs", limit))
     return best.join(pages, best["id"] == pages["seq"]).select("title", "url", "path", "section", "headings", "score", text.excerpt(text.strip_frontmatter(F.col("markdown")), query).alias("excerpt")).orderBy(F.desc("score"), "path")
 
 
-def get_material_page(s: Snapshot, path_or_url: str) -> DataFrame:
+def get_docs_page(s: Snapshot, path_or_url: str) -> DataFrame:
     keys = s.spark.range(1).select(paths.lookup_keys(F.lit(path_or_url)).alias("k")).first()["k"]
     rows = s.table("pages").withColumn("keys", F.array_union(paths.lookup_keys(F.col("path")), paths.lookup_keys(F.col("url"))))
     return search.lookup(rows, "seq", "keys", keys).drop("keys")
@@ -199,12 +199,12 @@ def get_component_docs(s: Snapshot, name: str, include_markdown: bool = False, m
     return rows.select(*shown, F.substring("markdown", 1, max_chars).alias("markdown")) if include_markdown else rows.select(*shown)
 
 
-def list_material_components(s: Snapshot) -> DataFrame:
+def list_components(s: Snapshot) -> DataFrame:
     named = s.table("pages").withColumn("component", F.regexp_extract("path", r"^components/([^/]+)/", 1)).where("component <> ''")
     return graph.first_rows(named.select("component", "seq", "section", "path"), ["component"], "seq").select("component", "section", "path").orderBy("component")
 
 
-def refresh_material_docs(s: Snapshot, tables: dict[str, DataFrame], version: str, facts: snapshot.Facts, force: bool = False) -> DataFrame:
+def refresh_docs(s: Snapshot, tables: dict[str, DataFrame], version: str, facts: snapshot.Facts, force: bool = False) -> DataFrame:
     """Publishes new tables as a version if the gate lets it; the checks, in order. A snapshot that fails stays unpublished."""
     found = snapshot.gate(facts, force)
     if all(passed for _, _, passed in found):
@@ -212,7 +212,7 @@ def refresh_material_docs(s: Snapshot, tables: dict[str, DataFrame], version: st
     return s.spark.createDataFrame(found, "place int, name string, passed boolean")
 
 
-def material_docs_cache_diagnostics(s: Snapshot, route: str | None = None, path: str | None = None, failed: bool = False, skipped: bool = False, limit: int = 100) -> DataFrame:
+def docs_cache_diagnostics(s: Snapshot, route: str | None = None, path: str | None = None, failed: bool = False, skipped: bool = False, limit: int = 100) -> DataFrame:
     rows = s.table("diagnostics")
     rows = rows.where(F.col("route") == route) if route else rows
     rows = rows.where(F.col("path") == path) if path else rows
@@ -249,7 +249,7 @@ def explain_resource_resolution(s: Snapshot, resource_id: str) -> DataFrame:
 TOOLS: dict[str, Callable[..., DataFrame]] = {
     f.__name__: f
     for f in (
-        get_component_overview, search_structured_docs, list_routes, get_route, get_page, get_component_tokens, get_component_tabs, get_component_resources, material_docs_cache_status, search_material_docs,
-        get_material_page, get_component_docs, list_material_components, refresh_material_docs, material_docs_cache_diagnostics, get_route_artifacts, get_raw_artifact, explain_route_coverage, explain_resource_resolution,
+        get_component_overview, search_structured_docs, list_routes, get_route, get_page, get_component_tokens, get_component_tabs, get_component_resources, docs_cache_status, search_docs,
+        get_docs_page, get_component_docs, list_components, refresh_docs, docs_cache_diagnostics, get_route_artifacts, get_raw_artifact, explain_route_coverage, explain_resource_resolution,
     )
 }

@@ -13,15 +13,14 @@ from ..functions import classify, text
 from ..operators import checks, coverage, graph, quality, routes, snapshot, tokens
 from ..sources.tables import table
 
-PATH = F.concat(F.lit("p"), F.col("l_linenumber").cast("string"))
-
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as coverage entries: a line is saved, failed or skipped by its flag; every third line of 'N' is neither."""
-    flag = lambda f: F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == f, PATH)))
+    path = F.concat(F.lit("p"), F.col("l_linenumber").cast("string"))
+    flag = lambda f: F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == f, path)))
     waits = (F.col("l_returnflag") == "N") & (F.col("l_linenumber") % 3 != 0)
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("source")).agg(
-        F.array_sort(F.collect_set(PATH)).alias("expected"), flag("A").alias("saved"), flag("R").alias("failed"), F.array_sort(F.collect_set(F.when(waits, PATH))).alias("skipped")
+        F.array_sort(F.collect_set(path)).alias("expected"), flag("A").alias("saved"), flag("R").alias("failed"), F.array_sort(F.collect_set(F.when(waits, path))).alias("skipped")
     )  # at most seven lines an order
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("grp"), F.when(F.col("o_orderpriority") == "5-LOW", "policySkipped").otherwise("unresolved").alias("given"))
     rows = orders.join(lines, "source", "left")
