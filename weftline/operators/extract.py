@@ -22,7 +22,7 @@ def accepted_attempts(attempts: DataFrame) -> DataFrame:
     """
     rank = reduce(lambda out, m: out.when(F.col("method") == m[1], m[0]), enumerate(METHODS), F.when(F.lit(False), 0))
     rows = attempts.withColumn("rank", rank)
-    won = rows.where("ok").groupBy("page").agg(F.min_by(F.struct("rank", "method", "payload"), "rank").alias("w"))
+    won = rows.where("ok").groupBy("page").agg(F.min(F.struct("rank", "method", "payload")).alias("w"))
     lost = rows.where("not ok").select("page", "rank", "reason").join(won.select("page", F.col("w.rank").alias("at")), "page", "left").where("at is null or rank < at")
     reasons = lost.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "reason"))), lambda r: r["reason"]).alias("reasons"))  # at most one a method
     out = rows.select("page").distinct().join(won, "page", "left").join(reasons, "page", "left")
