@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, ship
+from .common import Scratch, read, ship
 from .encoding import encoder
 from .words import flat
 
@@ -43,8 +43,12 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def length_report(lengths: DataFrame) -> DataFrame:
-    """For each length that occurs, as a context limit: the corpus below, at and above it."""
+    """For each length that occurs, as a context limit: the corpus below, at and above it.
+
+    The histogram is a written table: lengths are computed once, though it is read thrice.
+    """
     histogram = lengths.groupBy("length").agg(F.count("*").alias("n_docs")).withColumn("range", F.floor(F.col("length") / RANGE))
+    histogram = Scratch(lengths.sparkSession, "lengths").write(histogram, "histogram")
     totals = histogram.groupBy("range").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("length")).alias("tokens"))
     over = Window.orderBy(F.desc("range"))  # one row for each range of lengths: the longest document bounds them
     above = totals.select("range", (F.sum("docs").over(over) - F.col("docs")).alias("docs_above"), (F.sum("tokens").over(over) - F.col("tokens")).alias("tokens_above"))
