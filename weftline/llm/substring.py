@@ -183,7 +183,8 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.sweep()
     windows = scratch.write(windows.join(several, "key"), "windows")
     scratch.sweep()
-    repeated = windows.groupBy("key").agg(F.min(F.struct(*order)).alias("first")).select("key", "first.doc", "first.start")
+    # Written, so that both sides of the join below come straight from a shuffle, which a hot key's rows can then be split over.
+    repeated = scratch.write(windows.groupBy("key").agg(F.min(F.struct(*order)).alias("first")).select("key", "first.doc", "first.start"), "first-windows")
 
     def going(rows: DataFrame, stay: DataFrame) -> DataFrame:
         stay = stay.select("key", F.col("doc").alias("own"), F.col("start").alias("at"))
@@ -191,7 +192,7 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     spans = going(lines, stay).union(going(windows, repeated)).groupBy("doc").agg(F.collect_set("span").alias("spans"))  # spans of one document
     spans = scratch.write(spans, "spans")
-    for name in ("units", "classes", "line-groups", "parts", "repeated", "windows"):
+    for name in ("units", "classes", "line-groups", "parts", "repeated", "windows", "first-windows"):
         scratch.drop(name)
     scratch.sweep()
     return spans
