@@ -9,6 +9,7 @@ hashes, and different ones differ but for a chance of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,14 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers live on and would keep it from the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of about CHUNK_BYTES of text (one row at least), with bytes and offsets."""
     for batch in batches:
@@ -75,6 +84,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK_BYTES, "right")) - 1)
             yield batch.slice(low, high - low), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
             low = high
+    release()
 
 
 class Words:
