@@ -161,6 +161,50 @@ def test_passages_within_longer_lines(spark):
     assert not any(s in got[2]["text"] for s in shared.split(". ")[:7])
 
 
+def plain(seed, n):
+    """n words without sentence ends."""
+    return passage(seed, n).replace(".", "")
+
+
+def test_unaligned_and_unpunctuated_repeats(spark):
+    layouts = [str, lambda x: x.replace(" ", "\n"), lambda x: ". ".join(x.split(" "))]
+    rows, alone = [], {}
+    for k, (n, layout) in enumerate((n, x) for n in (25, 50, 300) for x in layouts):
+        shared = plain(k, n)
+        for i, x in ((10 * k, layout(shared).replace("\n", " ")), (10 * k + 1, layout(shared.upper()))):
+            alone[i] = f"{plain(1000 + i, 40)} {plain(2000 + i, 33)}", n
+            rows.append((i, f"{plain(1000 + i, 40)} {x} {plain(2000 + i, 33)}"))
+    got = run_substring(spark, rows + rows[1:2])
+    for i, text in rows[::2]:
+        assert got[i]["text"] == text
+    for i, _ in rows[1::2]:
+        assert got[i]["text"].split() == alone[i][0].split()
+        assert (got[i]["__n_removed"], got[i]["__removed_words"]) == (1, alone[i][1])
+
+
+def test_runs_equal_all_pairs(spark):
+    rnd = random.Random(3)
+    blocks = [plain(i, rnd.randint(20, 40)) for i in range(40, 52)]
+    rows = [(i, " ".join(rnd.choice(blocks) if rnd.random() < 0.4 else plain(1000 + 10 * i + j, 12) for j in range(8))) for i in range(20)]
+    seen, want = {}, {}
+    for i, text in rows:
+        words = text.split()
+        gone = set()
+        for a in range(len(words) - 24):
+            own, at, end = seen.setdefault(tuple(words[a : a + 25]), (i, a, a + 25))
+            if (own, at) != (i, a):
+                gone.update(range(max(a, end) if own == i else a, a + 25))
+        want[i] = [w for j, w in enumerate(words) if j not in gone]
+    got = run_substring(spark, rows)
+    assert any(len(want[i]) < len(text.split()) for i, text in rows)
+    assert {i: r["text"].split() for i, r in got.items()} == want
+
+
+def test_a_text_that_repeats_itself_keeps_one_run(spark):
+    got = run_substring(spark, [(1, "x " * 200)])
+    assert got[1]["text"].split() == ["x"] * 25
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (3, "\n\n"), (4, "short line here"), (6, "short line here"), (7, passage(4)), (7, passage(4)), (None, passage(3)), (5, passage(3))]])
 def test_substring_edge_cases(spark, rows):
     df = spark.createDataFrame(rows, DOCS)

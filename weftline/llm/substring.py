@@ -10,6 +10,12 @@ paragraph too, each sentence start also opens a window, up to the first sentence
 ``WINDOW`` words or more; equal windows are one class. Removals that touch are one
 stretch, and a stretch of fewer than ``LEAST_RUN`` words stays in the text.
 
+Whatever its sentence and line ends, every exact repeat of ``LEAST_RUN`` words or more is
+found: each run of ``LEAST_RUN`` words has an anchor, its ``ANCHOR``-word shingle of the
+smallest hash, which depends on the run's words alone. Only runs whose anchor occurs again
+are made, and equal runs are one class. Runs within a copy of an equal line are left out,
+since that copy goes as a line and the first of its line is compared in its place.
+
 Defined results: null and empty texts have no paragraphs and stay as they are; a
 repeated row (same doc_id, same text) keeps what its twin keeps; rows that share a
 doc_id but not a text are apart; rows with a null doc_id come last in the order; ties
@@ -23,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,11 +39,13 @@ from .minmax import band_keys, signatures
 from .near import linked
 from .words import BASE, INVERSE, NOT_SPACE, U, Words, chunks, flat, mix, powers, shingles
 
-K, LEAST_LINE, WINDOW, LEAST_RUN = 5, 10, 8, 25
+K, LEAST_LINE, WINDOW, LEAST_RUN, ANCHOR = 5, 10, 8, 25, 8
 PERMUTATIONS, BANDS, WIDTH = 18, 12, 3
 STOP = np.zeros(256, bool)
 STOP[[*b".!?"]] = True
-UNITS = "doc long, doc_id long, start int, end int, line boolean, key long, n_shingles int, bands array<long>"
+LINE, SENTENCES, ANCHORED = range(3)
+UNITS = "doc long, doc_id long, start int, end int, kind int, key long, n_shingles int, bands array<long>"
+RUNS = "doc long, doc_id long, start int, end int, key long"
 
 
 def places(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +63,30 @@ def places(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], n)
 
 
+def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of every run of LEAST_RUN words within a text, the place of its anchor, and the hashes of all shingles."""
+    n = len(words.starts)
+    if n < LEAST_RUN:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U)
+    whole = shingles(words.hashes, np.array([0, n]), ANCHOR)[0]
+    each = np.lib.stride_tricks.sliding_window_view(whole, LEAST_RUN - ANCHOR + 1)
+    row_end = np.repeat(words.rows[1:], np.diff(words.rows))
+    runs = np.flatnonzero(np.arange(len(each)) + LEAST_RUN <= row_end[: len(each)])
+    at = np.concatenate([each[i : i + 65536].argmin(1) + np.arange(i, min(i + 65536, len(each))) for i in range(0, len(each), 65536)])
+    return runs, at[runs], whole
+
+
+def keys(words: Words):
+    """A function from first and end words to the key of the words between."""
+    n = len(words.starts)
+    sums = np.zeros(n + 1, U)
+    np.cumsum(words.hashes * powers(BASE, n), out=sums[1:])
+    back = powers(INVERSE, n + 1)
+    return lambda a, b: mix((sums[b] - sums[a]) * back[a] + (b - a).astype(U)).view(np.int64)
+
+
 def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, doc_id, text) to their lines and windows, by place (bytes of the UTF-8 text) and content."""
+    """Rows (doc, doc_id, text) to their lines, windows and anchors, by place (bytes of the UTF-8 text) and content."""
     names = [x.split()[0] for x in UNITS.split(", ")]
     for rows, data, offsets in chunks(batches):
         words = Words(data, offsets, NOT_SPACE)
@@ -63,13 +94,7 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, end = places(words)
         if not n:
             continue
-        sums = np.zeros(n + 1, U)
-        np.cumsum(words.hashes * powers(BASE, n), out=sums[1:])
-        back = powers(INVERSE, n + 1)
-
-        def key(a: np.ndarray, b: np.ndarray, sums=sums, back=back) -> np.ndarray:
-            return mix((sums[b] - sums[a]) * back[a] + (b - a).astype(U)).view(np.int64)
-
+        key = keys(words)
         stop = STOP[words.data[words.ends - 1]]
         stop[end - 1] = True
         stops = np.flatnonzero(stop) + 1
@@ -93,10 +118,13 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets, ends = shingles(words.hashes[own], at, K)
             bands = band_keys(signatures(sets, ends, PERMUTATIONS), BANDS, WIDTH)
             sizes = np.diff(ends)
-        lows, highs = np.concatenate([first, a]), np.concatenate([end, b])
+        _, c, whole = anchors(words)
+        c = np.unique(c)
+        lows, highs = np.concatenate([first, a, c]), np.concatenate([end, b, c + ANCHOR])
         where = words.starts[lows]
         row = np.searchsorted(offsets, where, "right") - 1
-        is_line = np.arange(len(lows)) < len(first)
+        kind = np.repeat(np.array([LINE, SENTENCES, ANCHORED], np.int32), [len(first), len(a), len(c)])
+        own = np.concatenate([key(lows[: len(first) + len(a)], highs[: len(first) + len(a)]), whole[c].view(np.int64)])
         lists = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(lows) + 1), len(first)).astype(np.int32) * BANDS), pa.array(bands.ravel()))
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
@@ -105,9 +133,9 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.column("doc_id").take(take),
                 pa.array((where - offsets[row]).astype(np.int32)),
                 pa.array((words.ends[highs - 1] - offsets[row]).astype(np.int32)),
-                pa.array(is_line),
-                pa.array(key(lows, highs)),
-                pa.array(np.concatenate([sizes, np.zeros(len(a), np.int64)]).astype(np.int32)),
+                pa.array(kind),
+                pa.array(own),
+                pa.array(np.concatenate([sizes, np.zeros(len(a) + len(c), np.int64)]).astype(np.int32)),
                 lists,
             ],
             names,
@@ -128,23 +156,51 @@ def line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.binary())], ["f1", "items"])
 
 
-def merged(spans: list[tuple[int, int]], words: Words) -> list[tuple[int, int]]:
+def words_of(lists: pa.ListArray, column: str | None, offsets: np.ndarray) -> np.ndarray:
+    """Places of a column of lists, one list a text, as places among the bytes of all texts."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    found = lists.flatten()
+    found = found.field(column) if column else found
+    return np.asarray(found, np.int64) + np.repeat(offsets[:-1], sizes)
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, doc_id, text, wanted: anchors, copied: spans of lines) to the runs with a wanted anchor that aren't within a copied line."""
+    names = [x.split()[0] for x in RUNS.split(", ")]
+    for rows, data, offsets in chunks(batches):
+        words = Words(data, offsets, NOT_SPACE)
+        first, at, _ = anchors(words)
+        if not len(first):
+            continue
+        wanted = np.zeros(len(words.starts), bool)
+        wanted[np.searchsorted(words.starts, words_of(rows.column("wanted"), None, offsets))] = True
+        first = first[wanted[at]]
+        low = np.searchsorted(words.starts, words_of(rows.column("copied"), "start", offsets))
+        high = np.searchsorted(words.ends, words_of(rows.column("copied"), "end", offsets), "right")
+        order = np.argsort(low)
+        low, high = np.append(-1, low[order]), np.append(-1, high[order])
+        first = first[first + LEAST_RUN > high[np.searchsorted(low, first, "right") - 1]]
+        where = words.starts[first]
+        row = np.searchsorted(offsets, where, "right") - 1
+        take = pa.array(row)
+        columns = [pa.array((where - offsets[row]).astype(np.int32)), pa.array((words.ends[first + LEAST_RUN - 1] - offsets[row]).astype(np.int32)), pa.array(keys(words)(first, first + LEAST_RUN))]
+        yield pa.RecordBatch.from_arrays([rows.column("doc").take(take), rows.column("doc_id").take(take), *columns], names)
+
+
+def merged(start: np.ndarray, end: np.ndarray, words: Words) -> list[tuple[int, int]]:
     """Stretches of words (first, end) that spans of bytes cover, those of LEAST_RUN words or more."""
-    out: list[list[int]] = []
-    for start, end in sorted(spans):
-        a, b = int(np.searchsorted(words.starts, start)), int(np.searchsorted(words.ends, end, "right"))
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        elif a < b:
-            out.append([a, b])
-    return [(a, b) for a, b in out if b - a >= LEAST_RUN]
+    a, b = np.searchsorted(words.starts, start), np.searchsorted(words.ends, end, "right")
+    some, n = a < b, len(words.starts) + 1
+    on = np.cumsum(np.bincount(a[some], minlength=n) - np.bincount(b[some], minlength=n)) > 0
+    edges = np.flatnonzero(np.diff(on, prepend=False))
+    return [(x, y) for x, y in edges.reshape(-1, 2).tolist() if y - x >= LEAST_RUN]
 
 
-def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
+def without(text: str, start: np.ndarray, end: np.ndarray) -> tuple[str, int, int]:
     """The text without these spans, how many stretches were cut, and their words."""
     data, offsets = flat(pa.array([text]))
     words = Words(data, offsets, NOT_SPACE, hashed=False)
-    kept, at, cut = [], 0, merged(spans, words)
+    kept, at, cut = [], 0, merged(start, end, words)
     for a, b in cut:
         low, high = int(words.starts[a]), int(words.ends[b - 1])
         if (not low or data[low - 1] == 10) and high < len(data) and data[high] == 10:
@@ -161,7 +217,7 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     place = F.struct(*order, F.col("end"))
 
     # Lines: classes of equal ones, banded, confirmed, clustered.
-    lines = found.where("line")
+    lines = found.where(F.col("kind") == LINE)
     classes = lines.groupBy(F.col("key").alias("node")).agg(F.count("*").alias("copies"), F.min(place).alias("least"), F.first("n_shingles").cast("long").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = scratch.write(classes, "classes")
     scratch.sweep()
@@ -176,23 +232,40 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     parts = classes.select("node", "copies", "least").join(groups, "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     parts = scratch.write(parts, "parts")
     first = parts.groupBy("component").agg(F.min("least").alias("first"))
-    stay = parts.select(F.col("node").alias("key"), "component").join(first, "component").select("key", "first.doc", "first.start")
-    # Windows: repeated keys are counted first; only their windows are ordered.
-    windows = found.where("not line").select("key", "doc", "doc_id", "start", "end")
-    several = scratch.write(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    stay = parts.select(F.col("node").alias("key"), "component").join(first, "component").select("key", "first.doc", "first.start", F.col("first.end").alias("own_end"))
+    # Windows and anchors: repeated keys are counted first; only their windows are ordered.
+    windows = found.where(F.col("kind") != LINE).select("kind", "key", "doc", "doc_id", "start", "end")
+    several = scratch.write(windows.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1").select("kind", "key"), "repeated")
+    scratch.sweep()
+    windows = scratch.write(windows.join(several, ["kind", "key"]), "windows")
     scratch.sweep()
-    windows = scratch.write(windows.join(several, "key"), "windows")
+    wanted = windows.where(F.col("kind") == ANCHORED).groupBy("doc").agg(F.collect_set("start").alias("wanted"))  # anchors of one document
+    windows = windows.where(F.col("kind") == SENTENCES).select("key", "doc", "doc_id", "start", "end")
+    # Runs: those with a repeated anchor, but for what goes anyway as a copy of an equal line.
+    copied = lines.select("key", "doc", "start", "end").join(classes.where("copies > 1").select(F.col("node").alias("key"), "least"), "key").where("doc <> least.doc or start <> least.start")
+    copied = copied.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("copied"))  # lines of one document
+    wanted = scratch.write(wanted.join(copied, "doc", "left"), "wanted")
+    scratch.sweep()
+    some, _ = split_by_keys(docs, "doc", wanted, "doc")
+    again = scratch.write(some.join(wanted, "doc").select("doc", "doc_id", "text", "wanted", "copied").mapInArrow(runs, RUNS), "runs")
     scratch.sweep()
     # Written, so that both sides of the join below come straight from a shuffle, which a hot key's rows can then be split over.
-    repeated = scratch.write(windows.groupBy("key").agg(F.min(F.struct(*order)).alias("first")).select("key", "first.doc", "first.start"), "first-windows")
+    firsts = [
+        scratch.write(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("key", "first.doc", "first.start", F.col("first.end").alias("own_end")), name)
+        for rows, name in ((windows, "first-windows"), (again, "first-runs"))
+    ]
 
     def going(rows: DataFrame, stay: DataFrame) -> DataFrame:
-        stay = stay.select("key", F.col("doc").alias("own"), F.col("start").alias("at"))
-        return rows.select("key", "doc", "start", "end").join(stay, "key").where("doc <> own or start <> at").select("doc", F.struct("start", "end").alias("span"))
-
-    spans = going(lines, stay).union(going(windows, repeated)).groupBy("doc").agg(F.collect_set("span").alias("spans"))  # spans of one document
+        """Spans of the rows but for the one of each key that stays, and for what they share with it where they overlap."""
+        stay = stay.select("key", F.col("doc").alias("own"), F.col("start").alias("at"), "own_end")
+        rows = rows.select("key", "doc", "start", "end").join(stay, "key").where("doc <> own or start <> at")
+        low = F.when((F.col("doc") == F.col("own")) & (F.col("start") > F.col("at")), F.greatest("start", "own_end")).otherwise(F.col("start"))
+        return rows.select("doc", F.struct(low.alias("start"), "end").alias("span"))
+
+    spans = going(lines, stay).union(going(windows, firsts[0])).union(going(again, firsts[1]))
+    spans = spans.groupBy("doc").agg(F.collect_set("span").alias("spans"))  # spans of one document
     spans = scratch.write(spans, "spans")
-    for name in ("units", "classes", "line-groups", "parts", "repeated", "windows", "first-windows"):
+    for name in ("units", "classes", "line-groups", "parts", "repeated", "windows", "wanted", "runs", "first-windows", "first-runs"):
         scratch.drop(name)
     scratch.sweep()
     return spans
@@ -217,8 +290,11 @@ def deduplicated(docs: DataFrame, spark: SparkSession) -> DataFrame:
             if some:
                 texts = columns["text"].to_pylist()
                 sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else None
+                ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)))
+                low, high = (np.asarray(spans.flatten().field(x)) for x in ("start", "end"))
                 for i in some:
-                    texts[i], stretches[i], words[i] = without(texts[i], [(x["start"], x["end"]) for x in spans[i].as_py()])
+                    own = slice(ends[i], ends[i + 1])
+                    texts[i], stretches[i], words[i] = without(texts[i], low[own], high[own])
                     if sizes is not None and stretches[i]:
                         sizes[i] = len(texts[i])
                 columns["text"] = pa.array(texts, batch.schema.field("text").type)
