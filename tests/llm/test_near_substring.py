@@ -200,9 +200,16 @@ def test_runs_equal_all_pairs(spark):
     assert {i: r["text"].split() for i, r in got.items()} == want
 
 
-def test_a_text_that_repeats_itself_keeps_one_run(spark):
-    got = run_substring(spark, [(1, "x " * 200)])
-    assert got[1]["text"].split() == ["x"] * 25
+def test_short_lines_and_texts_that_repeat_themselves(spark):
+    short, long = [plain(i, 9) for i in (1, 2, 3)], [plain(i, 12) + "." for i in (4, 5, 6)]
+    rows = [(i, f"{plain(10 + i, 30)}\n{x}\n{plain(20 + i, 30)}") for i, x in enumerate(short)]
+    rows += [(3 + i, f"{plain(30 + i, 30)}. {x} {plain(40 + i, 30)}") for i, x in enumerate(long)]
+    rows += [(7, "\n".join([plain(50, 30), *short, plain(51, 30)])), (8, "\n".join([plain(52, 30), *long, plain(53, 30)])), (9, "x " * 200)]
+    got = run_substring(spark, rows)
+    assert all(got[i]["text"] == text for i, text in rows[:6])
+    assert got[7]["text"].split() == f"{plain(50, 30)} {plain(51, 30)}".split()
+    assert got[8]["text"].split() == f"{plain(52, 30)} {plain(53, 30)}".split()
+    assert got[9]["text"].split() == ["x"] * 25
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (3, "\n\n"), (4, "short line here"), (6, "short line here"), (7, passage(4)), (7, passage(4)), (None, passage(3)), (5, passage(3))]])

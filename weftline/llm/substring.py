@@ -6,8 +6,8 @@ similarity 0.8 is missed with a chance of 2e-4, one of 0.9 with 5e-7), colliding
 classes are confirmed by exact Jaccard similarity of their five-word shingles, and
 linked ones form components. Of a component's occurrences the first, by doc_id and
 place, stays; all others are removed. So that a passage is found inside a longer
-paragraph too, each sentence start also opens a window, up to the first sentence end at
-``WINDOW`` words or more; equal windows are one class. Removals that touch are one
+paragraph too, each sentence or line start also opens a window, up to the first sentence or line
+end at ``WINDOW`` words or more, be it a whole line or several; equal windows are one class. Removals that touch are one
 stretch, and a stretch of fewer than ``LEAST_RUN`` words stays in the text.
 
 Whatever its sentence and line ends, every exact repeat of ``LEAST_RUN`` words or more is
@@ -98,13 +98,11 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = STOP[words.data[words.ends - 1]]
         stop[end - 1] = True
         stops = np.flatnonzero(stop) + 1
-        line_end = np.repeat(end, end - first)
         start = np.concatenate([[0], stops[:-1]])
         at = np.searchsorted(stops, start + WINDOW)
         good = at < len(stops)
         a, b = start[good], stops[at[good]]
-        line_first = np.repeat(first, end - first)
-        good = (b <= line_end[a]) & ~((a == line_first[a]) & (b == line_end[a]))
+        good = b <= np.repeat(words.rows[1:], np.diff(words.rows))[a]
         a, b = a[good], b[good]
         long = end - first >= LEAST_LINE
         first, end = first[long], end[long]
