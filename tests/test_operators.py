@@ -111,6 +111,13 @@ def test_chain_end_by_doubling(spark):
     assert got == {i: (n, n - i) for i in range(1, n + 1)}
 
 
+def test_long_chains_and_rings(spark):
+    n = 150
+    links = spark.createDataFrame([(i, i + 1 if i < n else None) for i in range(1, n + 1)] + [(201, 202), (202, 203), (203, 202)], "a long, b long")
+    got = {r["node"]: (r["end"], r["steps"]) for r in graph.follow_chain(links, "a", "b").collect()}
+    assert got == {i: (n, n - i) for i in range(1, n + 1)} | {i: (None, None) for i in (201, 202, 203)}
+
+
 def test_prefix_join_has_no_delimiter(spark):
     s = spark.createDataFrame([("a/ts1",), ("a/",), ("b",)], "s string")
     t = spark.createDataFrame([("a/ts10/x",), ("a/ts1/y",), ("bb/c",), ("c",)], "t string")

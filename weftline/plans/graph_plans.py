@@ -156,10 +156,10 @@ def token_value_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alias_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("top"))
-    node = lambda t: F.col("conv_id") * 1000 + t
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct().join(rows, "conv_id")
-    links = turns.select(node(F.col("turn")).alias("a"), F.when(F.col("turn") < F.col("top"), node(F.col("turn") + 1)).alias("b"))
-    return graph.follow_chain(links, "a", "b").select("node", "end", "steps")
+    links = turns.select(F.struct("conv_id", "turn").alias("a"), F.when(F.col("turn") < F.col("top"), F.struct("conv_id", (F.col("turn") + 1).alias("turn"))).alias("b"))
+    shown = lambda c: (F.col(f"{c}.conv_id") * 1000 + F.col(f"{c}.turn")).alias(c)
+    return graph.follow_chain(links, "a", "b").select(shown("node"), shown("end"), "steps")
 
 
 def section_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
