@@ -8,9 +8,11 @@ that were running: lineage is cut by a written table, never by cached blocks.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +21,43 @@ from ..workers import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder; a temporary one only where none is set and all is one machine (tests)."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="weftline-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Bytes of an Arrow batch that a Python worker gets, about, where a table is written.
+BATCH_BYTES = 8 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python workers get their rows in batches of BATCH_BYTES at most, one row at least."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """A column name like ``name`` that none of the taken ones equals, whatever their case."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the shared folder; dropped by name, or when Python ends."""
 
@@ -45,7 +73,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back: what made it is done with, and its shuffle files can go."""
         path, schema = self.path(name), df.schema
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def sweep(self) -> None:

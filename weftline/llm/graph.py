@@ -31,7 +31,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Nulls and loops are ignored. Nodes without edges don't appear. No edges: no rows.
     """
     now = scratch.write(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    total, before, turn = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), None, 0
+    total, before, turn = F.bit_xor(F.xxhash64("a", "b")), None, 0
     while True:
         turn += 1
         nxt = scratch.write(_step(_step(now, True), False), f"{name}-{turn}")

@@ -3,20 +3,26 @@
 1. Each text becomes its set of word shingles (64-bit hashes); texts with equal sets
    are one class, known by a 128-bit fingerprint, so copies cost one row each.
 2. A class's min-max signature (60 permutations, 120 values) is cut into 24 bands of
-   5 values. Two sets of similarity 0.8 share a band but for a chance of 7e-5, of
-   0.85 but for 2e-6.
+   5 values. Two sets of similarity 0.8 share a band but for a chance of 1e-4, of
+   0.85 but for 2e-6. Sets of at most ``FEW`` shingles get exact keys besides: their own
+   and those of their subsets of one or two fewer, so that links among them are never missed.
 3. In each bucket all classes are compared with one of them, the most copied: a star,
-   never all pairs. Links are confirmed on full sets, and linked classes merged.
-4. A bucket of three or more classes that is still in several components is decided
-   exactly: its classes are dealt over blocks of bounded size, each pair of blocks is
-   a task, and a task multiplies incidence matrices of the shingles that occur more
-   than once, so that every pair is seen while only a spanning set of links comes out.
+   never all pairs. Links are confirmed on full sets, and linked classes merged. A
+   pivot's set goes to a task once for thousands of members.
+4. Classes in buckets of three or more that are still in several components are banded
+   again, by 224 further permutations into 56 bands of 8 values (similarity 0.8: missed
+   with a chance of 3e-5; 0.5: shared with 0.2), with stars of other pivots.
+5. Finer buckets that are even then in several components are decided exactly, one of
+   those with the same members: classes are dealt over blocks of bounded size, each
+   pair of blocks is a task, and a task multiplies incidence matrices of the shingles
+   that occur more than once, so that every pair is seen while only a spanning set of
+   links comes out.
 
 Defined results: null, empty and wordless texts have no shingles and no links; texts
-of fewer words than a shingle are one shingle; repeated rows are copies; rows that
-share a doc_id but not a text are two nodes; a null doc_id is never the smallest
-unless a group has no other; an empty table gives no rows; further columns are
-ignored, whatever their names.
+of fewer words than a shingle are one shingle; very long texts are read whole; repeated
+rows are copies; rows that share a doc_id but not a text are two nodes; a null doc_id is
+never the smallest unless a group has no other; an empty table gives no rows; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,14 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, fresh, read, split_by_keys
 from .graph import components
 from .minmax import band_keys, signatures
-from .words import FACTORS, NOT_SPACE, U, Words, chunks, mix, shingles
+from .words import FACTORS, NOT_SPACE, U, Words, binaries, chunks, mix, release, released, shingles
 
 PERMUTATIONS, BANDS, WIDTH = 60, 24, 5
+FINER_PERMUTATIONS, FINER_BANDS, FINER_WIDTH = 224, 56, 8
+#: Sets of so many shingles at most get exact keys too.
+FEW = 10
+#: Members of a pivot that one task compares with it, about.
+STAR = 5_000
 #: Shingles and classes in one block of a bucket, about; blocks are compared two at a time.
-BLOCK, BLOCK_CLASSES = 400_000, 800
+BLOCK, BLOCK_CLASSES = 100_000, 400
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], k: int):
@@ -60,48 +71,119 @@ def fingerprints(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
+def few_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a set of at most FEW shingles: any two such sets of similarity 0.8 share one.
+
+    Two sets that differ in d shingles share the key of what is left of both. Similarity
+    0.8 allows one differing shingle in a union of five to nine, two in one of ten.
+    """
+    parts = mix(hashes * FACTORS[42])
+    total = parts.sum(dtype=U)
+    out = [total[None], total - parts]
+    if len(parts) >= 9:
+        i, j = np.triu_indices(len(parts), 1)
+        out.append(total - parts[i] - parts[j])
+    return mix(np.concatenate(out) + FACTORS[43]).view(np.int64)
+
+
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))
+
+
 def _classes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, hashes, ends in sets_of(batches, k):
             sizes = np.diff(ends)
             some = np.flatnonzero(sizes)
             first, second = fingerprints(hashes, ends)
-            bands = np.zeros((len(sizes), BANDS), np.int64)
+            bands = [np.empty(0, np.int64)] * len(sizes)
             if len(some):
-                bands[some] = band_keys(signatures(hashes, np.append(ends[:-1][some], len(hashes)), PERMUTATIONS), BANDS, WIDTH)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes), pa.array(first), pa.array(second), lists], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+                for i, keys in zip(some.tolist(), band_keys(signatures(hashes, np.append(ends[:-1][some], len(hashes)), PERMUTATIONS), BANDS, WIDTH), strict=True):
+                    bands[i] = keys if sizes[i] > FEW else np.concatenate([keys, few_keys(hashes[ends[i] : ends[i + 1]])])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("h"), pa.array(sizes), pa.array(first), pa.array(second), lists(bands)], ["doc_id", "h", "n_shingles", "f1", "f2", "bands"])
 
     return run
 
 
 def _full(k: int):
-    """(class, its whole set) of the rows whose class is the wanted one."""
+    """(class, its whole set) of the rows whose class is the wanted one; a task gives a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for rows, hashes, ends in sets_of(batches, k):
             first, _ = fingerprints(hashes, ends)
-            wanted = np.asarray(rows.column("f1"))
-            some = np.flatnonzero(first == wanted).tolist()
+            some = []
+            for i in np.flatnonzero(first == np.asarray(rows.column("f1"))).tolist():
+                if int(first[i]) not in seen:
+                    seen.add(int(first[i]))
+                    some.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(first[some]), pa.array([hashes[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary())], ["f1", "items"])
 
     return run
 
 
+def alike(pivot: np.ndarray, hashes: np.ndarray, ends: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Numbers of the sets (sorted hashes between ends) that are linked with the pivot."""
+    at = np.searchsorted(pivot, hashes)
+    at[at == len(pivot)] = 0
+    shared = np.zeros(len(hashes) + 1, np.int64)
+    np.cumsum(pivot[at] == hashes, out=shared[1:])
+    both = shared[ends[1:]] - shared[ends[:-1]]
+    return np.flatnonzero(den * both >= num * (len(pivot) + np.diff(ends) - both))
+
+
 def _confirm(num: int, den: int):
+    """Rows (b, salt, turn, a, items), each pivot's own row (turn 0) before its members', to the links (a, b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivot = None, np.empty(0, U)
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if num * max(len(p), len(q)) > den * min(len(p), len(q)):
-                    continue
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                if den * both >= num * (len(p) + len(q) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return run
+            if not batch.num_rows:
+                continue
+            data, offsets = binaries(batch.column("items"))
+            hashes, ends = data.view(U), offsets // 8
+            b, salt, turn = (np.asarray(batch.column(c)) for c in ("b", "salt", "turn"))
+            edges = np.unique(np.concatenate([[0], np.flatnonzero(turn == 0), [len(b)]])).tolist()
+            keep = [np.empty(0, np.int64)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if not turn[low]:
+                    key, pivot = (b[low], salt[low]), hashes[ends[low] : ends[low + 1]].copy()
+                    low += 1
+                if low < high and key == (b[low], salt[low]):
+                    keep.append(low + alike(pivot, hashes[ends[low] : ends[high]], ends[low : high + 1] - ends[low], num, den))
+            yield batch.select(["a", "b"]).take(pa.array(np.concatenate(keep)))
+
+    return released(run)
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets (f1, items) are linked; pairs: a written table.
+
+    Members of a pivot b are split over tasks of about STAR of them, and the pivot's set
+    goes once to each of these.
+    """
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    own = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
+    members = own.join(full.withColumnRenamed("f1", "a"), "a").select("b", "salt", F.lit(1).alias("turn"), "a", "items")
+    pivots = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(full.withColumnRenamed("f1", "b"), "b")
+    rows = members.union(pivots.select("b", "salt", F.lit(0).alias("turn"), F.col("b").alias("a"), "items"))
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "turn").mapInArrow(_confirm(num, den), "a long, b long")
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, component, items) to (node, component, bands) by permutations that no earlier band used."""
+    for batch in batches:
+        data, offsets = binaries(batch.column("items"))
+        hashes, ends, low = data.view(U), offsets // 8, 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + BLOCK, "right")) - 1)
+            values = signatures(hashes[ends[low] : ends[high]], ends[low : high + 1] - ends[low], FINER_PERMUTATIONS, PERMUTATIONS)
+            own = batch.slice(low, high - low)
+            yield pa.RecordBatch.from_arrays([own.column("node"), own.column("component"), lists(list(band_keys(values, FINER_BANDS, FINER_WIDTH, BANDS)))], ["node", "component", "bands"])
+            low = high
+    release()
 
 
 def spanning(sets: list[np.ndarray], group: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -116,10 +198,10 @@ def spanning(sets: list[np.ndarray], group: np.ndarray, num: int, den: int) -> l
     both = np.zeros((n, n), np.float32)
     order = np.argsort(cols, kind="stable")
     rows, cols = rows[order], cols[order]
-    edges = np.searchsorted(cols, np.arange(0, width + 4096, 4096))
-    for a, b, low in zip(edges[:-1].tolist(), edges[1:].tolist(), range(0, width + 4096, 4096), strict=False):
+    edges = np.searchsorted(cols, np.arange(0, width + 2048, 2048))
+    for a, b, low in zip(edges[:-1].tolist(), edges[1:].tolist(), range(0, width + 2048, 2048), strict=False):
         if b > a:
-            m = np.zeros((n, min(4096, width - low)), np.float32)
+            m = np.zeros((n, min(2048, width - low)), np.float32)
             m[rows[a:b], cols[a:b] - low] = 1
             both += m @ m.T
     shared = both.astype(np.int64)
@@ -134,75 +216,117 @@ def spanning(sets: list[np.ndarray], group: np.ndarray, num: int, den: int) -> l
 
 
 def _blocks(num: int, den: int):
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.drop_duplicates("f1")
-        found = spanning([np.frombuffer(x, U) for x in pdf["items"]], np.unique(pdf["component"], return_inverse=True)[1], num, den) if len(pdf) > 1 else []
-        ids = pdf["f1"].to_numpy()
-        return pd.DataFrame({"a": ids[[x for x, _ in found]], "b": ids[[y for _, y in found]]}, dtype="int64")
+    def run(table: pa.Table) -> pa.Table:
+        ids, first = np.unique(np.asarray(table.column("f1").combine_chunks()), return_index=True)
+        found = []
+        if len(ids) > 1:
+            items, component = table.column("items").combine_chunks(), np.asarray(table.column("component").combine_chunks())
+            found = spanning([np.frombuffer(items[i].as_buffer(), U) for i in first.tolist()], np.unique(component[first], return_inverse=True)[1], num, den)
+        release()
+        return pa.table({"a": pa.array(ids[[x for x, _ in found]], pa.int64()), "b": pa.array(ids[[y for _, y in found]], pa.int64())})
 
     return run
 
 
+def gathered(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Members (key, node, component, pivot, own, n, print) of the band keys that several nodes have.
+
+    rows: node, component, rank, bands, a written table. A key's pivot is the node of the
+    highest rank, ``own`` its component; n and print are the same for keys with the same nodes.
+    """
+    # Keys are counted first, so that only (key, count) is shuffled for those that one node has.
+    banded = rows.select("node", "component", "rank", F.explode("bands").alias("key"))
+    shared = scratch.write(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), f"{name}-shared")
+    scratch.sweep()
+    held = scratch.write(banded.join(shared, "key"), f"{name}-held")
+    scratch.sweep()
+    buckets = held.groupBy("key").agg(F.max(F.struct("rank", "node", "component")).alias("top"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("print"))
+    members = scratch.write(held.drop("rank").join(buckets.select("key", F.col("top.node").alias("pivot"), F.col("top.component").alias("own"), "n", "print"), "key"), f"{name}-members")
+    scratch.drop(f"{name}-shared")
+    scratch.drop(f"{name}-held")
+    return members
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Every node of a key against its pivot, once for each pair, where their components differ."""
+    return members.where("component <> own").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+
+
+def still_open(members: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(members with their components by now, of keys of three nodes or more; keys of several components).
+
+    Where one star has compared two nodes only, nothing is open.
+    """
+    now = members.where("n > 2").select("key", "node", "component", "n", "print").join(found.withColumnRenamed("component", "part"), "node", "left")
+    now = scratch.write(now.select("key", "node", F.coalesce("part", "component").alias("component"), "n", "print"), name)
+    keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("n").alias("n"), F.first("print").alias("print")).where("low <> high")
+    return now, keys.select("key", "n", "print")
+
+
 def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch: Scratch, num: int, den: int) -> DataFrame:
     """(node, component) of the classes that have a link.
 
     classes: node, copies, n_shingles, bands, one row each. fetch: from nodes (node) to
     their whole sets (f1, items), rows of other nodes or repeated ones being harmless.
     """
-    # Keys of several classes are counted first, so that only (key, count) is shuffled for all the others.
-    banded = classes.select("node", F.explode("bands").alias("key"))
-    shared = scratch.write(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    scratch.sweep()
-    held = scratch.write(banded.join(shared, "key").select("key", "node", "n"), "held")
-    scratch.sweep()
-    ranked = held.join(classes.select("node", "copies"), "node")
-    buckets = ranked.groupBy("key").agg(F.max(F.struct("copies", "node")).alias("top"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")).select("key", F.col("top.node").alias("pivot"), "print")
-    members = scratch.write(held.join(buckets, "key").select("key", "node", "pivot", "n", "print"), "members")
-    scratch.drop("shared")
-    scratch.drop("held")
-
-    # Stars: every class of a bucket against its pivot, once for each pair.
-    stars = scratch.write(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
-    full = scratch.write(fetch(wanted).dropDuplicates(["f1"]), "full")
+    members = gathered(classes.select("node", F.col("node").alias("component"), F.col("copies").alias("rank"), "bands"), scratch, "first")
+    pairs = scratch.write(stars(members), "pairs")
+    full = scratch.write(fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "full")
     scratch.sweep()
-    x, y = full.select(F.col("f1").alias("a"), F.col("items").alias("x")), full.select(F.col("f1").alias("b"), F.col("items").alias("y"))
-    links = scratch.write(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(num, den), "a long, b long"), "links")
+    links = scratch.write(confirmed(pairs, full, num, den), "links")
     found = scratch.write(components(links, scratch, "first"), "found")
 
-    # Buckets that the stars leave in several parts; of those with the same members, one.
-    several = members.where("n > 2").join(found.withColumnRenamed("component", "part"), "node", "left").withColumn("component", F.coalesce("part", "node"))
-    several = scratch.write(several.select("key", "node", "component", "print", "n"), "several")
-    weights = classes.select("node", "n_shingles")
-    open_ = several.join(weights, "node").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("size"), F.first("print").alias("print"), F.first("n").alias("n")).where("low <> high")
-    blocks = F.greatest(F.ceil(F.col("one.size") / BLOCK), F.ceil(F.col("n") / BLOCK_CLASSES)).cast("int").alias("blocks")
-    open_ = scratch.write(open_.groupBy("print", "n").agg(F.min(F.struct("key", "size")).alias("one")).select("one.key", blocks), "open")
-    dealt = several.select("key", "node", "component").join(open_, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("node").alias("f1"), "component")
-    more = dealt.join(full, "f1").groupBy("key", "i", "j").applyInPandas(_blocks(num, den), "a long, b long")
-    links = scratch.write(links.union(more), "all-links")
-    found = scratch.write(components(links, scratch, "last"), "groups")
-    for name in ("members", "several", "open", "full", "stars", "links", "all-links", "found"):
+    # Finer bands and other pivots for the nodes of buckets that are in several components.
+    now, keys = still_open(members, found, scratch, "open")
+    loose = scratch.write(now.join(keys.select("key"), "key").select("node", "component").distinct(), "loose")
+    scratch.drop("first-members")
+    scratch.sweep()
+    if loose.limit(1).count():
+        sets = full.withColumnRenamed("f1", "node").join(loose, "node")
+        finer = scratch.write(sets.select("node", "component", "items").mapInArrow(_finer, "node long, component long, bands array<long>"), "finer")
+        members = gathered(finer.withColumn("rank", F.xxhash64("node")), scratch, "second")
+        pairs = scratch.write(stars(members), "finer-pairs")
+        more = scratch.write(confirmed(pairs, full, num, den), "finer-links")
+        edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = scratch.write(components(edges.union(more), scratch, "second"), "finer-found")
+
+        # What is open even so is decided exactly; of keys with the same nodes, one.
+        now, keys = still_open(members, found, scratch, "finer-open")
+        weights = classes.select("node", "n_shingles")
+        one = keys.groupBy("print", "n").agg(F.min("key").alias("key"))
+        sizes = now.join(one.select("key"), "key").join(weights, "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+        blocks = sizes.select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("n") / BLOCK_CLASSES)).cast("int").alias("blocks"))
+        dealt = now.select("key", "node", "component").join(scratch.write(blocks, "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("node").alias("f1"), "component")
+        last = scratch.write(dealt.join(full, "f1").groupBy("key", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"), "block-links")
+        edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components(edges.union(last), scratch, "last")
+    found = scratch.write(found, "groups")
+    for name in ("open", "loose", "full", "pairs", "links", "found", "finer", "second-members", "finer-pairs", "finer-links", "finer-found", "finer-open", "blocks", "block-links"):
         scratch.drop(name)
     scratch.sweep()
     return found
 
 
-def near_duplicates(docs: DataFrame, spark: SparkSession, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: links are den * intersection >= num * union of k-word shingles."""
-    scratch = Scratch(spark, "near")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.write(docs.mapInArrow(_classes(k), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "rows")
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text and h, a hash of the text that tells apart texts under one doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+
+
+def decided(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, h, n_shingles and component_id of the rows of docs (doc_id, text, h)."""
+    rows = scratch.write(docs.mapInArrow(_classes(k), "doc_id long, h long, n_shingles long, f1 long, f2 long, bands array<long>"), "rows")
 
     # Classes: equal sets are one node. f1 names the node, f2 guards against a chance match.
-    per = rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = scratch.write(per.withColumn("node", F.col("f1")), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")
+    per = rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min(place).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = scratch.write(per.select("f1", "f2", F.col("f1").alias("node"), "n_shingles", F.col("least.doc_id").alias("least"), F.col("least.h").alias("at"), "copies", "bands"), "classes")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        at = wanted.join(classes.select("node", F.col("least").alias("own")), "node").select("own", F.col("node").alias("f1"))
-        return docs.join(at, docs["doc_id"].eqNullSafe(at["own"])).select("text", "f1").mapInArrow(_full(k), "f1 long, items binary")
+        at = scratch.write(wanted.join(classes, "node").select(F.col("least").alias("own"), "at", F.col("node").alias("f1")), "wanted")
+        some, _ = split_by_keys(docs, "doc_id", at, "own")
+        return some.join(at, some["doc_id"].eqNullSafe(at["own"]) & (some["h"] == at["at"])).select("text", "f1").mapInArrow(_full(k), "f1 long, items binary")
 
     found = linked(classes.select("node", "copies", "n_shingles", "bands"), fetch, scratch, num, den)
 
@@ -210,25 +334,38 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, k: int = 5, num: int =
     parts = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = parts.groupBy("component").agg(F.min("least").alias("component_id"))
     named = parts.select("f1", "f2", "n_shingles", "component").join(least, "component").drop("component")
-    slim = rows.select("doc_id", "n_shingles", "f1", "f2")
-    out = slim.where("n_shingles > 0").join(named, ["f1", "f2", "n_shingles"])
-    alone = slim.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    both = out.select("doc_id", "n_shingles", "component_id").union(alone.select("doc_id", "n_shingles", "component_id"))
-    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    columns = ("doc_id", "h", "n_shingles", "component_id")
+    out = rows.where("n_shingles > 0").join(named, ["f1", "f2", "n_shingles"]).select(*columns)
+    return out.union(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*columns))
+
+
+def near_duplicates(docs: DataFrame, spark: SparkSession, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: links are den * intersection >= num * union of k-word shingles."""
+    found = decided(texts_of(docs), Scratch(spark, "near"), k, num, den)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def representatives(docs: DataFrame, spark: SparkSession, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs of which one row of each near-duplicate group stays, that of the smallest doc_id.
+    """docs of which one document of each near-duplicate group stays, that of the smallest doc_id.
 
-    Wordless rows all stay, and rows that share a doc_id if one of them stays; of rows
-    that repeat doc_id and text one stays.
+    Null, empty and wordless texts are linked with nothing and stay; texts that share a
+    doc_id all stay if one of them does; of rows that repeat doc_id and text, null or
+    empty ones too, one stays; very long texts are compared whole; an empty table stays
+    empty; further columns are kept, whatever their names.
     """
     scratch = Scratch(spark, "kept")
-    decided = near_duplicates(docs, spark, k, num, den).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = scratch.write(decided.where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
-    rest = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return rest.dropDuplicates(["doc_id", "text"]) if ids else rest
+    texts = texts_of(docs)
+    found = scratch.write(decided(texts, scratch, k, num, den).select("doc_id", "h", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "decided")
+    per = scratch.write(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "marked")
+    own, key, h = (fresh(docs.columns, x) for x in ("own", "key", "h"))
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    gone = per.where("not kept").select(F.col("doc_id").alias(own))
+    some, rest = split_by_keys(keyed, key, gone, own)
+    rest = rest.union(some.join(gone, F.col(key).eqNullSafe(F.col(own)), "left_anti"))
+    several = per.where("kept and n > 1").select(F.col("doc_id").alias(own))
+    some, rest = split_by_keys(rest, key, several, own)
+    once = some.withColumn(h, F.struct(F.xxhash64(F.col("text").cast("string")), F.sha2(F.col("text").cast("string"), 256))).dropDuplicates([key, h])
+    return rest.union(once.drop(h)).drop(key)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ hashes, and different ones differ but for a chance of about 2**-64.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +65,16 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def binaries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column without nulls and the n + 1 offsets of its rows."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    if data is None or offsets[-1] == offsets[0]:
+        return np.empty(0, np.uint8), offsets - offsets[0]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def release() -> None:
     """Gives freed memory back to the system: workers live on and would keep it from the stages that follow."""
     pa.default_memory_pool().release_unused()
@@ -73,6 +83,18 @@ def release() -> None:
         trim(0)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives its memory back when it ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of about CHUNK_BYTES of text (one row at least), with bytes and offsets."""
     for batch in batches:
@@ -88,29 +110,42 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 
 
 class Words:
-    """Words of a chunk: starts and ends in bytes, hashes, and each row's first word in ``rows``."""
+    """Words of a chunk: starts and ends in bytes, hashes, and each row's first word in ``rows``.
+
+    Bytes are looked at in slices, so that a text of any length takes a few bytes for
+    each of its own and some arrays as long as its words are many.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = NOT_SPACE, hashed: bool = True):
         data = LOWER[data]
         n = len(data)
-        inside = table[data]
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        before = np.empty(n, bool)
-        after = np.empty(n, bool)
-        if n:
-            before[0], after[-1] = False, False
-            before[1:], after[:-1] = inside[:-1], inside[1:]
-            before[edge[:n]] = False
-            after[edge[1:]] = False
+        starts, ends = [], []
+        for low in range(0, n, CHUNK_BYTES):
+            high = min(low + CHUNK_BYTES, n)
+            # with one byte more on either side; rows end words
+            inside = np.zeros(high - low + 2, bool)
+            a, b = max(low - 1, 0), min(high + 1, n)
+            inside[a - low + 1 : b - low + 1] = table[data[a:b]]
+            edge = np.zeros(high - low + 1, bool)
+            edge[offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high, "right")] - low] = True
+            own = inside[1:-1]
+            starts.append(np.flatnonzero(own & (~inside[:-2] | edge[:-1])) + low)
+            ends.append(np.flatnonzero(own & (~inside[2:] | edge[1:])) + low + 1)
         self.data, self.offsets = data, offsets
-        self.starts = np.flatnonzero(inside & ~before)
-        self.ends = np.flatnonzero(inside & ~after) + 1
+        self.starts = np.concatenate(starts) if starts else np.empty(0, np.int64)
+        self.ends = np.concatenate(ends) if ends else np.empty(0, np.int64)
         self.rows = np.searchsorted(self.starts, offsets)
         if hashed:
-            sums = np.zeros(n + 1, U)
-            np.cumsum(BYTE[data] * powers(BASE, n), out=sums[1:])
-            self.hashes = mix((sums[self.ends] - sums[self.starts]) * powers(INVERSE, n + 1)[self.starts] + (self.ends - self.starts).astype(U))
+            self.hashes = np.empty(len(self.starts), U)
+            first = 0
+            while first < len(self.starts):
+                low = int(self.starts[first])
+                last = max(first + 1, int(np.searchsorted(self.ends, low + CHUNK_BYTES, "right")))
+                s, e = self.starts[first:last] - low, self.ends[first:last] - low
+                sums = np.zeros(int(e[-1]) + 1, U)
+                np.cumsum(BYTE[data[low : low + int(e[-1])]] * powers(BASE, int(e[-1])), out=sums[1:])
+                self.hashes[first:last] = mix((sums[e] - sums[s]) * powers(INVERSE, len(sums))[s] + (e - s).astype(U))
+                first = last
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
