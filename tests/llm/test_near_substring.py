@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import graph, near, substring
@@ -169,7 +170,7 @@ def plain(seed, n):
 def test_unaligned_and_unpunctuated_repeats(spark):
     layouts = [str, lambda x: x.replace(" ", "\n"), lambda x: ". ".join(x.split(" "))]
     rows, alone = [], {}
-    for k, (n, layout) in enumerate((n, x) for n in (25, 50, 300) for x in layouts):
+    for k, (n, layout) in enumerate((n, x) for n in (50, 80, 300) for x in layouts):
         shared = plain(k, n)
         for i, x in ((10 * k, layout(shared).replace("\n", " ")), (10 * k + 1, layout(shared.upper()))):
             alone[i] = f"{plain(1000 + i, 40)} {plain(2000 + i, 33)}", n
@@ -182,34 +183,98 @@ def test_unaligned_and_unpunctuated_repeats(spark):
         assert (got[i]["__n_removed"], got[i]["__removed_words"]) == (1, alone[i][1])
 
 
-def test_runs_equal_all_pairs(spark):
+def places(words, least, i, seen):
+    """Numbers of the words in a run of ``least`` words that stands at an earlier place too."""
+    return {j for a in range(len(words) - least + 1) if seen[tuple(words[a : a + least])] < (i, a) for j in range(a, a + least)}
+
+
+def test_recall_and_precision_against_all_pairs(spark):
+    """Of the words in exact repeats of 50 words nearly all go, of those in no repeat of 20 nearly none.
+
+    What stays are ends of under 25 words that a later text has, but not the first one of the window
+    beside them. What goes too much are ends of windows of which four fifths are a repeat.
+    """
     rnd = random.Random(3)
-    blocks = [plain(i, rnd.randint(20, 40)) for i in range(40, 52)]
-    rows = [(i, " ".join(rnd.choice(blocks) if rnd.random() < 0.4 else plain(1000 + 10 * i + j, 12) for j in range(8))) for i in range(20)]
-    seen, want = {}, {}
+    blocks = [plain(i, rnd.randint(50, 140)).split() for i in range(40, 60)]
+    rows = []
+    for i in range(60):
+        words = []
+        for j in range(rnd.randint(2, 6)):
+            own = list(rnd.choice(blocks)) if rnd.random() < 0.4 else plain(1000 + 10 * i + j, rnd.randint(5, 60)).split()
+            if rnd.random() < 0.3:
+                own[rnd.randrange(len(own))] = "edited"
+            words += own
+        rows.append((i, "".join(w + rnd.choice("     \n") for w in words)))
+    seen, must, may = {}, {}, {}
+    for least, out in ((20, may), (50, must)):
+        for i, text in rows:
+            for a in range(len(text.split()) - least + 1):
+                seen.setdefault(tuple(text.split()[a : a + least]), (i, a))
+        for i, text in rows:
+            out[i] = places(text.split(), least, i, seen)
+    got = run_substring(spark, rows)
+    caught = total = wrong = removed = 0
     for i, text in rows:
-        words = text.split()
-        gone = set()
-        for a in range(len(words) - 24):
-            own, at, end = seen.setdefault(tuple(words[a : a + 25]), (i, a, a + 25))
-            if (own, at) != (i, a):
-                gone.update(range(max(a, end) if own == i else a, a + 25))
-        want[i] = [w for j, w in enumerate(words) if j not in gone]
+        words, kept, gone, at = text.split(), got[i]["text"].split(), set(), 0
+        assert got[i]["__removed_words"] == len(words) - len(kept)
+        for j, w in enumerate(words):  # words of a row are told apart by their place from the left
+            if at < len(kept) and kept[at] == w:
+                at += 1
+            else:
+                gone.add(j)
+        assert at == len(kept)
+        caught, total = caught + len(gone & must[i]), total + len(must[i])
+        wrong, removed = wrong + len(gone - may[i]), removed + len(gone)
+        assert not must[i] or gone & must[i]
+    print(f"words in exact repeats of 50 words: {caught} of {total} removed; of {removed} removed words {wrong} in no repeat of 20")
+    assert total > 1000 and caught >= 0.95 * total and wrong <= 0.005 * removed
+
+
+def test_edited_passages_in_longer_paragraphs(spark):
+    """A passage with edits further apart than 50 words goes but for what the edits leave apart."""
+    rows, caught, total = [], 0, 0
+    for k in range(12):
+        own = plain(k, 180).split()
+        changed = list(own)
+        for at in (60 + k, 120 + k):
+            changed[at] = "edited"
+        rows += [(2 * k, f"{plain(100 + k, 70)} {' '.join(own)} {plain(200 + k, 40)}"), (2 * k + 1, f"{plain(300 + k, 50)} {' '.join(changed)} {plain(400 + k, 90)}")]
     got = run_substring(spark, rows)
-    assert any(len(want[i]) < len(text.split()) for i, text in rows)
-    assert {i: r["text"].split() for i, r in got.items()} == want
+    for i, text in rows:
+        if i % 2:
+            caught, total = caught + got[i]["__removed_words"], total + 180
+            assert got[i]["text"].startswith(plain(300 + i // 2, 50)) and got[i]["text"].endswith(plain(400 + i // 2, 90))
+        else:
+            assert got[i]["text"] == text
+    print(f"words of edited passages removed: {caught} of {total}")
+    assert caught >= 0.95 * total
+
+
+def test_least_is_one_limit_for_lines_and_windows(spark):
+    short = [plain(i, 24) for i in (1, 2)]
+    rows = [(1, f"{plain(10, 30)}\n{short[0]}"), (2, f"{plain(11, 30)}\n{short[0]}\n{plain(12, 30)}"), (3, short[1]), (4, short[1])]
+    assert {i: r["text"] for i, r in run_substring(spark, rows).items()} == dict(rows)
+    got = {r["doc_id"]: r["text"] for r in substring.deduplicated(spark.createDataFrame(rows, DOCS), spark, least=20).collect()}
+    assert got[2].split() == f"{plain(11, 30)} {plain(12, 30)}".split() and got[4] == "" and got[1] == rows[0][1] and got[3] == short[1]
 
 
-def test_short_lines_and_texts_that_repeat_themselves(spark):
-    short, long = [plain(i, 9) for i in (1, 2, 3)], [plain(i, 12) + "." for i in (4, 5, 6)]
-    rows = [(i, f"{plain(10 + i, 30)}\n{x}\n{plain(20 + i, 30)}") for i, x in enumerate(short)]
-    rows += [(3 + i, f"{plain(30 + i, 30)}. {x} {plain(40 + i, 30)}") for i, x in enumerate(long)]
-    rows += [(7, "\n".join([plain(50, 30), *short, plain(51, 30)])), (8, "\n".join([plain(52, 30), *long, plain(53, 30)])), (9, "x " * 200)]
+def test_texts_that_repeat_themselves(spark):
+    rows = [(9, "x " * 200), (1, f"{plain(1, 60)} {plain(2, 30)} {plain(1, 60)}")]
     got = run_substring(spark, rows)
-    assert all(got[i]["text"] == text for i, text in rows[:6])
-    assert got[7]["text"].split() == f"{plain(50, 30)} {plain(51, 30)}".split()
-    assert got[8]["text"].split() == f"{plain(52, 30)} {plain(53, 30)}".split()
-    assert got[9]["text"].split() == ["x"] * 25
+    assert 25 <= len(got[9]["text"].split()) <= 26
+    assert got[1]["text"].split() == f"{plain(1, 60)} {plain(2, 30)}".split()
+
+
+def test_openings_depend_on_content_alone():
+    shared = plain(1, 60)
+    texts = [f"{plain(2, 33)} {shared} {plain(3, 40)}", f"{plain(4, 51)} {shared}", plain(5, 30), plain(6, 24), "y " * 300]
+    words = Words(*substring.flat(pa.array(texts)), NOT_SPACE)
+    at, keys = substring.openings(words, 25)
+    own = [{(int(a - r), int(k)) for a, k in zip(at, keys, strict=True) if r <= a < e} for r, e in zip(words.rows[:-1], words.rows[1:], strict=True)]
+    inside = [{(a - s, k) for a, k in o if s <= a <= s + 35} for o, s in ((own[0], 33), (own[1], 51))]
+    assert inside[0] & inside[1] and len(own[2]) == 1 and not own[3] and len(own[4]) <= 12
+    for i, w in enumerate(np.diff(words.rows).tolist()):
+        assert all(a + 25 <= w for a, _ in own[i])
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (3, "\n\n"), (4, "short line here"), (6, "short line here"), (7, passage(4)), (7, passage(4)), (None, passage(3)), (5, passage(3))]])

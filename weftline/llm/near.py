@@ -11,7 +11,8 @@
    pivot's set goes to a task once for thousands of members.
 4. Classes in buckets of three or more that are still in several components are banded
    again, by 224 further permutations into 56 bands of 8 values (similarity 0.8: missed
-   with a chance of 3e-5; 0.5: shared with 0.2), with stars of other pivots.
+   with a chance of 3e-5; 0.5: shared with 0.2), with stars of four other pivots; no pair is
+   compared again, and buckets of five or fewer are mostly settled by these.
 5. Finer buckets that are even then in several components are decided exactly, one of
    those with the same members: classes are dealt over blocks of bounded size, each
    pair of blocks is a task, and a task multiplies incidence matrices of the shingles
@@ -31,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, read, split_by_keys
@@ -45,6 +46,8 @@ FINER_PERMUTATIONS, FINER_BANDS, FINER_WIDTH = 224, 56, 8
 FEW = 10
 #: Members of a pivot that one task compares with it, about.
 STAR = 5_000
+#: Pivots of a finer bucket.
+PIVOTS = 4
 #: Shingles and classes in one block of a bucket, about; blocks are compared two at a time.
 BLOCK, BLOCK_CLASSES = 100_000, 400
 
@@ -228,11 +231,12 @@ def _blocks(num: int, den: int):
     return run
 
 
-def gathered(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Members (key, node, component, pivot, own, n, print) of the band keys that several nodes have.
+def gathered(rows: DataFrame, ranks: list[Column], scratch: Scratch, name: str) -> DataFrame:
+    """Members (key, node, component, pivots, n, print) of the band keys that several nodes have.
 
-    rows: node, component, rank, bands, a written table. A key's pivot is the node of the
-    highest rank, ``own`` its component; n and print are the same for keys with the same nodes.
+    rows: node, component, rank, bands, a written table. A key's pivots (node, component) are
+    the nodes that each of the ranks puts first; n and print are the same for keys with the
+    same nodes.
     """
     # Keys are counted first, so that only (key, count) is shuffled for those that one node has.
     banded = rows.select("node", "component", "rank", F.explode("bands").alias("key"))
@@ -240,24 +244,27 @@ def gathered(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     scratch.sweep()
     held = scratch.write(banded.join(shared, "key"), f"{name}-held")
     scratch.sweep()
-    buckets = held.groupBy("key").agg(F.max(F.struct("rank", "node", "component")).alias("top"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("print"))
-    members = scratch.write(held.drop("rank").join(buckets.select("key", F.col("top.node").alias("pivot"), F.col("top.component").alias("own"), "n", "print"), "key"), f"{name}-members")
+    tops = [F.max(F.struct(r.alias("rank"), "node", "component")).alias(f"top{i}") for i, r in enumerate(ranks)]
+    buckets = held.groupBy("key").agg(*tops, F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("print"))
+    pivots = F.array_distinct(F.array(*[F.struct(F.col(f"top{i}.node").alias("node"), F.col(f"top{i}.component").alias("component")) for i in range(len(ranks))]))
+    members = scratch.write(held.drop("rank").join(buckets.select("key", pivots.alias("pivots"), "n", "print"), "key"), f"{name}-members")
     scratch.drop(f"{name}-shared")
     scratch.drop(f"{name}-held")
     return members
 
 
 def stars(members: DataFrame) -> DataFrame:
-    """Every node of a key against its pivot, once for each pair, where their components differ."""
-    return members.where("component <> own").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    """Every node of a key against its pivots, once for each pair (a, b), where their components differ."""
+    each = members.select("node", "component", F.explode("pivots").alias("b"))
+    return each.where("component <> b.component").select(F.col("node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
 def still_open(members: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """(members with their components by now, of keys of three nodes or more; keys of several components).
+    """(members with their components by now, keys of several components), of keys that stars don't settle.
 
-    Where one star has compared two nodes only, nothing is open.
+    Where all nodes of a key but one have been pivots, all its pairs have been compared.
     """
-    now = members.where("n > 2").select("key", "node", "component", "n", "print").join(found.withColumnRenamed("component", "part"), "node", "left")
+    now = members.where("n > size(pivots) + 1").select("key", "node", "component", "n", "print").join(found.withColumnRenamed("component", "part"), "node", "left")
     now = scratch.write(now.select("key", "node", F.coalesce("part", "component").alias("component"), "n", "print"), name)
     keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("n").alias("n"), F.first("print").alias("print")).where("low <> high")
     return now, keys.select("key", "n", "print")
@@ -269,7 +276,7 @@ def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch:
     classes: node, copies, n_shingles, bands, one row each. fetch: from nodes (node) to
     their whole sets (f1, items), rows of other nodes or repeated ones being harmless.
     """
-    members = gathered(classes.select("node", F.col("node").alias("component"), F.col("copies").alias("rank"), "bands"), scratch, "first")
+    members = gathered(classes.select("node", F.col("node").alias("component"), F.col("copies").alias("rank"), "bands"), [F.col("rank")], scratch, "first")
     pairs = scratch.write(stars(members), "pairs")
     full = scratch.write(fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "full")
     scratch.sweep()
@@ -284,8 +291,9 @@ def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch:
     if loose.limit(1).count():
         sets = full.withColumnRenamed("f1", "node").join(loose, "node")
         finer = scratch.write(sets.select("node", "component", "items").mapInArrow(_finer, "node long, component long, bands array<long>"), "finer")
-        members = gathered(finer.withColumn("rank", F.xxhash64("node")), scratch, "second")
-        pairs = scratch.write(stars(members), "finer-pairs")
+        members = gathered(finer.withColumn("rank", F.lit(0)), [F.xxhash64(F.lit(i), F.col("node")) for i in range(PIVOTS)], scratch, "second")
+        known = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = scratch.write(stars(members).join(known, ["a", "b"], "left_anti"), "finer-pairs")
         more = scratch.write(confirmed(pairs, full, num, den), "finer-links")
         edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = scratch.write(components(edges.union(more), scratch, "second"), "finer-found")

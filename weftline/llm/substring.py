@@ -1,310 +1,340 @@
 """Operator 3: substring dedup by paragraph MinHash banding.
 
-Paragraphs are lines of at least ``LEAST_LINE`` words. Equal ones are one class; each
-class's min-max signature is cut into bands tuned for recall (12 of 3 values: a pair of
-similarity 0.8 is missed with a chance of 2e-4, one of 0.9 with 5e-7), colliding
-classes are confirmed by exact Jaccard similarity of their five-word shingles, and
-linked ones form components. Of a component's occurrences the first, by doc_id and
-place, stays; all others are removed. So that a passage is found inside a longer
-paragraph too, each sentence or line start also opens a window, up to the first sentence or line
-end at ``WINDOW`` words or more, be it a whole line or several; equal windows are one class. Removals that touch are one
-stretch, and a stretch of fewer than ``LEAST_RUN`` words stays in the text.
-
-Whatever its sentence and line ends, every exact repeat of ``LEAST_RUN`` words or more is
-found: each run of ``LEAST_RUN`` words has an anchor, its ``ANCHOR``-word shingle of the
-smallest hash, which depends on the run's words alone. Only runs whose anchor occurs again
-are made, and equal runs are one class. Runs within a copy of an equal line are left out,
-since that copy goes as a line and the first of its line is compared in its place.
-
-Defined results: null and empty texts have no paragraphs and stay as they are; a
-repeated row (same doc_id, same text) keeps what its twin keeps; rows that share a
-doc_id but not a text are apart; rows with a null doc_id come last in the order; ties
-go to the earlier place; an empty table gives no rows; further columns are kept where
-the schema has them.
+Units of comparison are paragraphs of at least ``least`` words: the lines of a text, and
+windows of ``least`` words that run across line ends, so that a passage is found
+wherever it stands. Windows open at places chosen by content: of each ``least`` + 1
+places in a row the one whose eight-word shingle has the smallest hash. A passage of
+2 * ``least`` words or more thus has the same windows in every text. A first pass counts
+the opening shingles, which is a band of one minimum; only windows whose opening occurs
+again are made.
+
+All units go one way. Equal ones are a class; each class's min-max signature is cut
+into bands tuned for recall (12 of 3 values: a pair of similarity 0.8 is missed with a
+chance of 2e-4, one of 0.9 with 5e-7), colliding classes are confirmed by exact Jaccard
+similarity of their five-word shingles (0.8 or more), and linked ones form components.
+Of a component's occurrences the first, by doc_id and place, stays; all others are
+removed. A window that opens as the first one does goes as far to both sides as the words
+are the same, so that passages go from their first to their last word and nothing else.
+What is confirmed is removed.
+
+Texts that are equal as a whole are compared once; of ``least`` words or more only the one
+of the smallest doc_id keeps its words.
+
+Defined results: null and empty texts have no paragraphs and stay as they are; texts of
+fewer than ``least`` words stay; very long texts are read whole; a repeated row (same
+doc_id, same text) keeps what its twin keeps; rows that share a doc_id but not a text are
+apart; rows with a null doc_id come last in the order; ties go to the earlier place; an
+empty table gives no rows; further columns are kept, whatever their names. Texts are known
+by a 64-bit hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, read, split_by_keys
+from .common import Scratch, fresh, read, split_by_keys
 from .minmax import band_keys, signatures
-from .near import linked
-from .words import BASE, INVERSE, NOT_SPACE, U, Words, chunks, flat, mix, powers, shingles
+from .near import linked, lists
+from .words import BASE, CHUNK_BYTES, INVERSE, NOT_SPACE, U, Words, chunks, flat, mix, powers, release, released, shingles
 
-K, LEAST_LINE, WINDOW, LEAST_RUN, ANCHOR = 5, 10, 8, 25, 8
+K, LEAST, OPENING = 5, 25, 8
 PERMUTATIONS, BANDS, WIDTH = 18, 12, 3
-STOP = np.zeros(256, bool)
-STOP[[*b".!?"]] = True
-LINE, SENTENCES, ANCHORED = range(3)
-UNITS = "doc long, doc_id long, start int, end int, kind int, key long, n_shingles int, bands array<long>"
-RUNS = "doc long, doc_id long, start int, end int, key long"
+UNITS = "doc long, doc_id long, start int, end int, key long, n_shingles int, bands array<long>"
+WINDOWS = UNITS + ", before array<int>, after array<int>"
+#: Words of the units that are described at a time, about.
+SLICE = 200_000
 
 
-def places(words: Words) -> tuple[np.ndarray, np.ndarray]:
+def lines_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """First and end word of every line, in order."""
     data, n = words.data, len(words.starts)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    breaks = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(data == 10, out=breaks[1:])
-    row = np.searchsorted(words.offsets, words.starts, "right")
-    new = np.empty(n, bool)
-    new[0] = True
-    new[1:] = (breaks[words.starts[1:]] != breaks[words.starts[:-1]]) | (row[1:] != row[:-1])
+    breaks = np.flatnonzero(data == 10)
+    new = np.zeros(n, bool)
+    new[np.searchsorted(words.starts, breaks)[np.searchsorted(words.starts, breaks) < n]] = True
+    new[words.rows[:-1][words.rows[:-1] < n]] = True
     first = np.flatnonzero(new)
     return first, np.append(first[1:], n)
 
 
-def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word of every run of LEAST_RUN words within a text, the place of its anchor, and the hashes of all shingles."""
-    n = len(words.starts)
-    if n < LEAST_RUN:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U)
-    whole = shingles(words.hashes, np.array([0, n]), ANCHOR)[0]
-    each = np.lib.stride_tricks.sliding_window_view(whole, LEAST_RUN - ANCHOR + 1)
-    row_end = np.repeat(words.rows[1:], np.diff(words.rows))
-    runs = np.flatnonzero(np.arange(len(each)) + LEAST_RUN <= row_end[: len(each)])
-    at = np.concatenate([each[i : i + 65536].argmin(1) + np.arange(i, min(i + 65536, len(each))) for i in range(0, len(each), 65536)])
-    return runs, at[runs], whole
-
-
-def keys(words: Words):
-    """A function from first and end words to the key of the words between."""
-    n = len(words.starts)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(words.hashes * powers(BASE, n), out=sums[1:])
-    back = powers(INVERSE, n + 1)
-    return lambda a, b: mix((sums[b] - sums[a]) * back[a] + (b - a).astype(U)).view(np.int64)
+def openings(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of ``least`` words open, and the hashes of the opening shingles.
+
+    Of least + 1 places in a row, or of a short text's fewer, it is the one of the
+    smallest hash; of equal ones that of the smallest number modulo least + 1, so that
+    texts of one repeated phrase have no more openings than others.
+    """
+    n, spread = len(words.starts), least + 1
+    counts = np.diff(words.rows)
+    places = np.maximum(counts - least + 1, 0)
+    if n < least or not places.any():
+        return np.empty(0, np.int64), np.empty(0, U)
+    whole = np.full(n, np.iinfo(np.uint64).max, U)
+    whole[: n - OPENING + 1] = shingles(words.hashes, np.array([0, n]), OPENING)[0]
+    own = np.arange(n) - np.repeat(words.rows[:-1], counts)
+    value = (whole & ~U(63)) | (own % spread).astype(U) if spread <= 64 else whole.copy()
+    value[own >= np.repeat(places, counts)] = np.iinfo(np.uint64).max
+    found = []
+    each = np.lib.stride_tricks.sliding_window_view(value, spread) if n >= spread else value[:0].reshape(0, spread)
+    full = own[: len(each)] + spread <= np.repeat(places, counts)[: len(each)]
+    for i in range(0, len(each), 65536):
+        some = np.flatnonzero(full[i : i + 65536])
+        found.append(np.unique(each[i : i + 65536][some].argmin(1) + some + i))
+    short = np.flatnonzero((places > 0) & (places < spread))
+    if len(short):
+        sizes = places[short]
+        at = np.arange(sizes.sum()) + np.repeat(words.rows[:-1][short] - np.cumsum(sizes) + sizes, sizes)
+        smallest = np.minimum.reduceat(value[at], np.cumsum(sizes) - sizes)
+        found.append(at[value[at] == np.repeat(smallest, sizes)])
+    at = np.unique(np.concatenate(found))
+    return at, whole[at]
+
+
+def described(words: Words, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """For stretches of words, by slices of them: keys of their content, numbers of shingles, and bands."""
+    done = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(end - first, out=done[1:])
+    low = 0
+    while low < len(first):
+        high = max(low + 1, int(np.searchsorted(done, done[low] + SLICE, "right")) - 1)
+        at = done[low : high + 1] - done[low]
+        own = np.arange(at[-1]) + np.repeat(first[low:high] - at[:-1], np.diff(at))
+        hashes = words.hashes[own]
+        sums = np.zeros(len(hashes) + 1, U)
+        np.cumsum(hashes * powers(BASE, len(hashes)), out=sums[1:])
+        keys = mix((sums[at[1:]] - sums[at[:-1]]) * powers(INVERSE, len(sums))[at[:-1]] + np.diff(at).astype(U)).view(np.int64)
+        sets, ends = shingles(hashes, at, K)
+        yield slice(low, high), keys, np.diff(ends), band_keys(signatures(sets, ends, PERMUTATIONS), BANDS, WIDTH)
+        low = high
+
+
+def _rows(rows: pa.RecordBatch, words: Words, first: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    """doc, doc_id, start and end (words of the row) of stretches of words."""
+    row = np.searchsorted(words.rows, first, "right") - 1
+    take, base = pa.array(row), words.rows[row]
+    return [rows.column("doc").take(take), rows.column("doc_id").take(take), pa.array((first - base).astype(np.int32)), pa.array((end - base).astype(np.int32))]
+
+
+def paragraphs(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc, doc_id, text) to their lines, and to the openings of windows: these have the opening's key and no shingles."""
+    names = [x.split()[0] for x in UNITS.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in chunks(batches):
+            words = Words(data, offsets, NOT_SPACE)
+            first, end = lines_of(words)
+            long = end - first >= least
+            first, end = first[long], end[long]
+            for own, keys, sizes, bands in described(words, first, end):
+                yield pa.RecordBatch.from_arrays([*_rows(rows, words, first[own], end[own]), pa.array(keys), pa.array(sizes.astype(np.int32)), lists(list(bands))], names)
+            at, keys = openings(words, least)
+            if len(at):
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*_rows(rows, words, at, at + least), pa.array(keys.view(np.int64)), pa.array(np.zeros(len(at), np.int32)), none], names)
+
+    return run
+
+
+def around(words: Words, first: np.ndarray, before: int, after: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """Hashes of up to ``before`` words before each place within its row, the nearest first, and of up to ``after`` from there on."""
+    short = (words.hashes >> U(32)).astype(np.uint32).view(np.int32)
+    row = np.searchsorted(words.rows, first, "right") - 1
+    out = []
+    for sizes, start, step in ((np.minimum(first - words.rows[row], before), first - 1, -1), (np.minimum(words.rows[row + 1] - first, after), first, 1)):
+        ends = np.zeros(len(first) + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        at = np.repeat(start, sizes) + step * (np.arange(ends[-1]) - np.repeat(ends[:-1], sizes))
+        out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(short[at])))
+    return out[0], out[1]
+
+
+def windows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc, doc_id, text, wanted: first words) to the windows that open there."""
+    names = [x.split()[0] for x in WINDOWS.split(", ")]
 
-def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, doc_id, text) to their lines, windows and anchors, by place (bytes of the UTF-8 text) and content."""
-    names = [x.split()[0] for x in UNITS.split(", ")]
-    for rows, data, offsets in chunks(batches):
-        words = Words(data, offsets, NOT_SPACE)
-        n = len(words.starts)
-        first, end = places(words)
-        if not n:
-            continue
-        key = keys(words)
-        stop = STOP[words.data[words.ends - 1]]
-        stop[end - 1] = True
-        stops = np.flatnonzero(stop) + 1
-        start = np.concatenate([[0], stops[:-1]])
-        at = np.searchsorted(stops, start + WINDOW)
-        good = at < len(stops)
-        a, b = start[good], stops[at[good]]
-        good = b <= np.repeat(words.rows[1:], np.diff(words.rows))[a]
-        a, b = a[good], b[good]
-        long = end - first >= LEAST_LINE
-        first, end = first[long], end[long]
-
-        bands = np.empty((0, BANDS), np.int64)
-        sizes = np.empty(0, np.int64)
-        if len(first):
-            own = np.concatenate([np.arange(x, y) for x, y in zip(first.tolist(), end.tolist(), strict=True)])
-            at = np.zeros(len(first) + 1, np.int64)
-            np.cumsum(end - first, out=at[1:])
-            sets, ends = shingles(words.hashes[own], at, K)
-            bands = band_keys(signatures(sets, ends, PERMUTATIONS), BANDS, WIDTH)
-            sizes = np.diff(ends)
-        _, c, whole = anchors(words)
-        c = np.unique(c)
-        lows, highs = np.concatenate([first, a, c]), np.concatenate([end, b, c + ANCHOR])
-        where = words.starts[lows]
-        row = np.searchsorted(offsets, where, "right") - 1
-        kind = np.repeat(np.array([LINE, SENTENCES, ANCHORED], np.int32), [len(first), len(a), len(c)])
-        own = np.concatenate([key(lows[: len(first) + len(a)], highs[: len(first) + len(a)]), whole[c].view(np.int64)])
-        lists = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(lows) + 1), len(first)).astype(np.int32) * BANDS), pa.array(bands.ravel()))
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [
-                rows.column("doc").take(take),
-                rows.column("doc_id").take(take),
-                pa.array((where - offsets[row]).astype(np.int32)),
-                pa.array((words.ends[highs - 1] - offsets[row]).astype(np.int32)),
-                pa.array(kind),
-                pa.array(own),
-                pa.array(np.concatenate([sizes, np.zeros(len(a) + len(c), np.int64)]).astype(np.int32)),
-                lists,
-            ],
-            names,
-        )
-
-
-def line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted: list of (start, end, f1)) to the wanted lines' whole shingle sets."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            text, offsets = flat(batch.column("text").slice(i, 1))
-            wanted = batch.column("wanted")[i].as_py()
-            found = []
-            for w in wanted:
-                part = text[w["start"] : w["end"]]
-                words = Words(part, np.array([0, len(part)]), NOT_SPACE)
-                found.append((w["f1"], np.unique(shingles(words.hashes, words.rows, K)[0]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.binary())], ["f1", "items"])
-
-
-def words_of(lists: pa.ListArray, column: str | None, offsets: np.ndarray) -> np.ndarray:
-    """Places of a column of lists, one list a text, as places among the bytes of all texts."""
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    found = lists.flatten()
-    found = found.field(column) if column else found
-    return np.asarray(found, np.int64) + np.repeat(offsets[:-1], sizes)
-
-
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, doc_id, text, wanted: anchors, copied: spans of lines) to the runs with a wanted anchor that aren't within a copied line."""
-    names = [x.split()[0] for x in RUNS.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in chunks(batches):
+            words = Words(data, offsets, NOT_SPACE)
+            wanted = rows.column("wanted")
+            sizes = pc.list_value_length(wanted).to_numpy(zero_copy_only=False)
+            first = np.asarray(wanted.flatten(), np.int64) + np.repeat(words.rows[:-1], sizes)
+            for own, keys, counts, bands in described(words, first, first + least):
+                at = first[own]
+                yield pa.RecordBatch.from_arrays([*_rows(rows, words, at, at + least), pa.array(keys), pa.array(counts.astype(np.int32)), lists(list(bands)), *around(words, at, least + 1, 2 * least + 1)], names)
+
+    return run
+
+
+def unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, wanted: list of (start, end, f1)) to the wanted units' whole shingle sets."""
     for rows, data, offsets in chunks(batches):
         words = Words(data, offsets, NOT_SPACE)
-        first, at, _ = anchors(words)
-        if not len(first):
-            continue
-        wanted = np.zeros(len(words.starts), bool)
-        wanted[np.searchsorted(words.starts, words_of(rows.column("wanted"), None, offsets))] = True
-        first = first[wanted[at]]
-        low = np.searchsorted(words.starts, words_of(rows.column("copied"), "start", offsets))
-        high = np.searchsorted(words.ends, words_of(rows.column("copied"), "end", offsets), "right")
-        order = np.argsort(low)
-        low, high = np.append(-1, low[order]), np.append(-1, high[order])
-        first = first[first + LEAST_RUN > high[np.searchsorted(low, first, "right") - 1]]
-        where = words.starts[first]
-        row = np.searchsorted(offsets, where, "right") - 1
-        take = pa.array(row)
-        columns = [pa.array((where - offsets[row]).astype(np.int32)), pa.array((words.ends[first + LEAST_RUN - 1] - offsets[row]).astype(np.int32)), pa.array(keys(words)(first, first + LEAST_RUN))]
-        yield pa.RecordBatch.from_arrays([rows.column("doc").take(take), rows.column("doc_id").take(take), *columns], names)
-
-
-def merged(start: np.ndarray, end: np.ndarray, words: Words) -> list[tuple[int, int]]:
-    """Stretches of words (first, end) that spans of bytes cover, those of LEAST_RUN words or more."""
-    a, b = np.searchsorted(words.starts, start), np.searchsorted(words.ends, end, "right")
-    some, n = a < b, len(words.starts) + 1
-    on = np.cumsum(np.bincount(a[some], minlength=n) - np.bincount(b[some], minlength=n)) > 0
-    edges = np.flatnonzero(np.diff(on, prepend=False))
-    return [(x, y) for x, y in edges.reshape(-1, 2).tolist() if y - x >= LEAST_RUN]
+        wanted = rows.column("wanted")
+        base = np.repeat(words.rows[:-1], pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+        fields = wanted.flatten()
+        first, end, names = (np.asarray(fields.field(x), np.int64) for x in ("start", "end", "f1"))
+        ids, found, kept = [], [], 0
+        for a, b, f1 in zip((first + base).tolist(), (end + base).tolist(), names.tolist(), strict=True):
+            own = np.unique(shingles(words.hashes[a:b], np.array([0, b - a]), K)[0]).tobytes()
+            ids.append(f1)
+            found.append(own)
+            kept += len(own)
+            if kept > CHUNK_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["f1", "items"])
+                ids, found, kept = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["f1", "items"])
 
 
 def without(text: str, start: np.ndarray, end: np.ndarray) -> tuple[str, int, int]:
-    """The text without these spans, how many stretches were cut, and their words."""
+    """The text without these spans of words, how many stretches were cut, and their words."""
     data, offsets = flat(pa.array([text]))
     words = Words(data, offsets, NOT_SPACE, hashed=False)
-    kept, at, cut = [], 0, merged(start, end, words)
-    for a, b in cut:
+    n = len(words.starts)
+    on = np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(np.minimum(end, n), minlength=n + 1)) > 0
+    edges = np.flatnonzero(np.diff(on, prepend=False)).reshape(-1, 2)
+    kept, at = [], 0
+    for a, b in edges.tolist():
         low, high = int(words.starts[a]), int(words.ends[b - 1])
         if (not low or data[low - 1] == 10) and high < len(data) and data[high] == 10:
             high += 1  # whole lines go with their line end
         kept.append(data[at:low].tobytes())
         at = max(at, high)
-    return b"".join([*kept, data[at:].tobytes()]).decode(), len(cut), sum(b - a for a, b in cut)
+    return b"".join([*kept, data[at:].tobytes()]).decode(), len(edges), int((edges[:, 1] - edges[:, 0]).sum())
+
 
+def shared(x: str, y: str) -> Column:
+    """How many leading elements two arrays have in common; 0 where one is null."""
+    same = F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    at = F.array_position(same, False)
+    return F.coalesce(F.when(at > 0, at - 1).otherwise(F.size(same).cast("long")), F.lit(0)).cast("int")
 
-def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, spans): what goes from each row of docs (doc, doc_id, text), before short stretches are let off."""
-    found = scratch.write(docs.mapInArrow(units, UNITS), "units")
-    order = [F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("start"), F.col("doc")]
-    place = F.struct(*order, F.col("end"))
 
-    # Lines: classes of equal ones, banded, confirmed, clustered.
-    lines = found.where(F.col("kind") == LINE)
-    classes = lines.groupBy(F.col("key").alias("node")).agg(F.count("*").alias("copies"), F.min(place).alias("least"), F.first("n_shingles").cast("long").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = scratch.write(classes, "classes")
+def removals(docs: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """(doc, spans): what goes from each text of docs (doc, doc_id, text), each of which is there once."""
+    found = scratch.write(docs.mapInArrow(paragraphs(least), UNITS), "units")
+    lines = found.where("n_shingles > 0")
+
+    # Windows: openings that occur again, counted before their rows are shuffled.
+    opened = found.where("n_shingles = 0").select("doc", "start", "key")
+    again = scratch.write(opened.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "openings")
+    scratch.sweep()
+    wanted = opened.join(again, "key").groupBy("doc").agg(F.collect_set("start").alias("wanted"))  # openings of one text
+    wanted = scratch.write(wanted, "wanted")
+    scratch.sweep()
+    some, _ = split_by_keys(docs, "doc", wanted, "doc")
+    made = scratch.write(some.join(wanted, "doc").select("doc", "doc_id", "text", "wanted").mapInArrow(windows(least), WINDOWS), "windows")
+    scratch.sweep()
+
+    # Classes of equal units, lines and windows alike: banded, confirmed, clustered.
+    nothing = F.lit(None).cast("array<int>")
+    units = lines.withColumn("before", nothing).withColumn("after", nothing).unionByName(made)
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "start", "doc", "end", "before", "after")
+    per = units.groupBy(F.col("key").alias("node")).agg(F.count("*").alias("copies"), F.min(place).alias("least"), F.first("n_shingles").cast("long").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = scratch.write(per, "classes")
     scratch.sweep()
 
-    def fetch(wanted: DataFrame) -> DataFrame:
-        at = wanted.join(classes.select("node", "least"), "node").select(F.col("least.doc").alias("doc"), F.struct(F.col("least.start").alias("start"), F.col("least.end").alias("end"), F.col("node").alias("f1")).alias("one"))
-        at = at.groupBy("doc").agg(F.collect_list("one").alias("wanted"))  # lines of one document
+    def fetch(nodes: DataFrame) -> DataFrame:
+        at = nodes.join(classes.select("node", "least"), "node").select(F.col("least.doc").alias("doc"), F.struct(F.col("least.start").alias("start"), F.col("least.end").alias("end"), F.col("node").alias("f1")).alias("one"))
+        at = scratch.write(at.groupBy("doc").agg(F.collect_list("one").alias("wanted")), "fetched")  # units of one text
         some, _ = split_by_keys(docs.select("doc", "text"), "doc", at, "doc")
-        return some.join(at, "doc").select("text", "wanted").mapInArrow(line_sets, "f1 long, items binary")
+        return some.join(at, "doc").select("text", "wanted").mapInArrow(unit_sets, "f1 long, items binary")
 
-    groups = scratch.write(linked(classes.select("node", "copies", "n_shingles", "bands"), fetch, scratch, 80, 100), "line-groups")
+    groups = linked(classes.select("node", "copies", "n_shingles", "bands"), fetch, scratch, 80, 100)
     parts = classes.select("node", "copies", "least").join(groups, "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     parts = scratch.write(parts, "parts")
+
+    # All occurrences but each component's first. Units that overlap it are near it, but no repeats: such a class has a first of its own.
     first = parts.groupBy("component").agg(F.min("least").alias("first"))
-    stay = parts.select(F.col("node").alias("key"), "component").join(first, "component").select("key", "first.doc", "first.start", F.col("first.end").alias("own_end"))
-    # Windows and anchors: repeated keys are counted first; only their windows are ordered.
-    windows = found.where(F.col("kind") != LINE).select("kind", "key", "doc", "doc_id", "start", "end")
-    several = scratch.write(windows.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1").select("kind", "key"), "repeated")
-    scratch.sweep()
-    windows = scratch.write(windows.join(several, ["kind", "key"]), "windows")
-    scratch.sweep()
-    wanted = windows.where(F.col("kind") == ANCHORED).groupBy("doc").agg(F.collect_set("start").alias("wanted"))  # anchors of one document
-    windows = windows.where(F.col("kind") == SENTENCES).select("key", "doc", "doc_id", "start", "end")
-    # Runs: those with a repeated anchor, but for what goes anyway as a copy of an equal line.
-    copied = lines.select("key", "doc", "start", "end").join(classes.where("copies > 1").select(F.col("node").alias("key"), "least"), "key").where("doc <> least.doc or start <> least.start")
-    copied = copied.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("copied"))  # lines of one document
-    wanted = scratch.write(wanted.join(copied, "doc", "left"), "wanted")
+    overlaps = (F.col("least.doc") == F.col("first.doc")) & (F.col("least.start") < F.col("first.end"))
+    stay = parts.select(F.col("node").alias("key"), "component", "least").join(first, "component").select("key", F.when(overlaps, F.col("least")).otherwise(F.col("first")).alias("first"))
+    stay = stay.select("key", F.col("first.doc").alias("own"), F.col("first.end").alias("own_end"), F.col("first.before").alias("own_before"), F.col("first.after").alias("own_after"))
+    stay = scratch.write(stay, "stay")
     scratch.sweep()
-    some, _ = split_by_keys(docs, "doc", wanted, "doc")
-    again = scratch.write(some.join(wanted, "doc").select("doc", "doc_id", "text", "wanted", "copied").mapInArrow(runs, RUNS), "runs")
-    scratch.sweep()
-    # Written, so that both sides of the join below come straight from a shuffle, which a hot key's rows can then be split over.
-    firsts = [
-        scratch.write(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("key", "first.doc", "first.start", F.col("first.end").alias("own_end")), name)
-        for rows, name in ((windows, "first-windows"), (again, "first-runs"))
-    ]
-
-    def going(rows: DataFrame, stay: DataFrame) -> DataFrame:
-        """Spans of the rows but for the one of each key that stays, and for what they share with it where they overlap."""
-        stay = stay.select("key", F.col("doc").alias("own"), F.col("start").alias("at"), "own_end")
-        rows = rows.select("key", "doc", "start", "end").join(stay, "key").where("doc <> own or start <> at")
-        low = F.when((F.col("doc") == F.col("own")) & (F.col("start") > F.col("at")), F.greatest("start", "own_end")).otherwise(F.col("start"))
-        return rows.select("doc", F.struct(low.alias("start"), "end").alias("span"))
-
-    spans = going(lines, stay).union(going(windows, firsts[0])).union(going(again, firsts[1]))
-    spans = spans.groupBy("doc").agg(F.collect_set("span").alias("spans"))  # spans of one document
-    spans = scratch.write(spans, "spans")
-    for name in ("units", "classes", "line-groups", "parts", "repeated", "windows", "wanted", "runs", "first-windows", "first-runs"):
+    rows = units.select("key", "doc", "start", "end", "before", "after").join(stay, "key").where("doc <> own or start >= own_end")
+    # A window that opens as the first one does goes as far as the words are the same, any other unit as it is.
+    aligned = F.col("same") >= OPENING
+    rows = rows.withColumn("same", shared("after", "own_after"))
+    low = F.when(aligned, F.col("start") - shared("before", "own_before")).otherwise(F.col("start"))
+    high = F.when(aligned, F.col("start") + F.col("same")).otherwise(F.col("end"))
+    low = F.when(F.col("doc") == F.col("own"), F.greatest(low, "own_end")).otherwise(low)  # a text's repeat of itself spares its first
+    spans = rows.select("doc", F.struct(low.alias("start"), high.alias("end")).alias("span")).where("span.start < span.end")
+    spans = scratch.write(spans.groupBy("doc").agg(F.collect_set("span").alias("spans")), "spans")  # spans of one text
+    for name in ("units", "openings", "wanted", "windows", "classes", "fetched", "parts", "stay"):
         scratch.drop(name)
     scratch.sweep()
     return spans
 
 
-def deduplicated(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """docs with repeated passages removed from ``text``, and __n_removed and __removed_words; ``n_chars`` follows the text."""
+def deduplicated(docs: DataFrame, spark: SparkSession, least: int = LEAST, removed: str = "__n_removed", words: str = "__removed_words") -> DataFrame:
+    """docs with repeated passages of ``least`` words or more removed from ``text``, and how many stretches and words went.
+
+    ``removed`` and ``words`` name these two columns. ``n_chars``, where the schema has it,
+    follows the text: it counts characters.
+    """
     scratch = Scratch(spark, "substring")
     schema = docs.schema
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spans = removals(docs.select(key.alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch)
-    spans = spans.select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
-    some, rest = split_by_keys(docs.withColumn("__doc", key), "__doc", spans, "__doc")
-    joined = some.join(spans, "__doc", "left").drop("__doc")
+    doc, own, spans_, copy, least_id = (fresh([*docs.columns, removed, words], x) for x in ("doc", "own", "spans", "copy", "least_id"))
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    keyed = docs.withColumn(doc, F.xxhash64(text))
+
+    # Equal texts: the one of the smallest doc_id stands for all.
+    order = F.struct(doc_id.isNull().alias("nameless"), doc_id.alias("id"))
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    copied = keyed.where(size > 0).groupBy(doc, F.xxhash64(F.lit("again"), text).alias("guard"), size.alias("size")).agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    copied = scratch.write(copied.select(F.col(doc).alias(own), F.col("first.id").alias(least_id)), "copied")
+    texts = keyed.select(F.col(doc).alias("doc"), doc_id.alias("doc_id"), text.alias("text"))
+    some, rest = split_by_keys(texts, "doc", copied, own)
+    known = some.join(copied, F.col("doc") == F.col(own), "left")
+    chosen = known.where(F.col(own).isNotNull() & F.col("doc_id").eqNullSafe(F.col(least_id)))
+    single = rest.union(known.where(F.col(own).isNull()).select("doc", "doc_id", "text")).union(chosen.select("doc", "doc_id", "text").dropDuplicates(["doc"]))
+    spans = removals(scratch.write(single, "texts"), scratch, least)
+    scratch.drop("texts")
+
+    spans = spans.select(F.col("doc").alias(own), F.col("spans").alias(spans_))
+    some, rest = split_by_keys(keyed, doc, spans.select(own).union(copied.select(own)), own)
+    joined = some.join(spans, some[doc] == spans[own], "left").drop(own).join(copied, F.col(doc) == F.col(own), "left")
+    joined = joined.withColumn(copy, F.col(own).isNotNull() & ~doc_id.eqNullSafe(F.col(least_id))).drop(own, least_id, doc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {name: batch.column(name) for name in schema.names}
-            spans, n = batch.column("__spans"), batch.num_rows
-            stretches, words = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            some = np.flatnonzero(np.asarray(spans.is_valid())).tolist()
+            columns = {name: batch.column(i) for i, name in enumerate(schema.names)}
+            spans, copies, n = batch.column(spans_), np.asarray(batch.column(copy)), batch.num_rows
+            stretches, counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            some = np.flatnonzero(np.asarray(spans.is_valid()) | copies).tolist()
             if some:
                 texts = columns["text"].to_pylist()
                 sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else None
                 ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)))
                 low, high = (np.asarray(spans.flatten().field(x)) for x in ("start", "end"))
                 for i in some:
-                    own = slice(ends[i], ends[i + 1])
-                    texts[i], stretches[i], words[i] = without(texts[i], low[own], high[own])
+                    if copies[i]:
+                        a, b = np.array([0]), np.array([len(Words(*flat(pa.array([texts[i]])), NOT_SPACE, hashed=False).starts)])
+                        if b[0] < least:
+                            continue
+                    else:
+                        a, b = low[ends[i] : ends[i + 1]], high[ends[i] : ends[i + 1]]
+                    texts[i], stretches[i], counts[i] = without(texts[i], a, b)
                     if sizes is not None and stretches[i]:
                         sizes[i] = len(texts[i])
                 columns["text"] = pa.array(texts, batch.schema.field("text").type)
                 if sizes is not None:
                     columns["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(stretches), pa.array(words)], [*columns, "__n_removed", "__removed_words"])
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(stretches), pa.array(counts)], [*columns, removed, words])
+        release()
 
-    found = joined.mapInArrow(run, T.StructType([*schema.fields, T.StructField("__n_removed", T.LongType()), T.StructField("__removed_words", T.LongType())]))
+    found = joined.mapInArrow(released(run), T.StructType([*schema.fields, T.StructField(removed, T.LongType()), T.StructField(words, T.LongType())]))
     none = F.lit(0).cast("long")
-    return found.unionByName(rest.drop("__doc").withColumn("__n_removed", none).withColumn("__removed_words", none))
+    return found.unionByName(rest.drop(doc).withColumn(removed, none).withColumn(words, none))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"), spark)
-    return found.select("doc_id", "text", F.col("__n_removed").alias("n_removed"), F.col("__removed_words").alias("removed_words"))
+    found = deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"), spark, removed="n_removed", words="removed_words")
+    return found.select("doc_id", "text", "n_removed", "removed_words")
