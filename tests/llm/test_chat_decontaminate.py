@@ -161,7 +161,7 @@ def test_matcher_on_random_words(items, doc, window):
     hashes = {c: Words(np.frombuffer(c.encode(), np.uint8), np.array([0, 1]), ALNUM).hashes[0] for c in "abcd"}
     own = [(str(i), np.array([hashes[c] for c in x], np.uint64)) for i, x in enumerate(items) if x]
     h = np.array([hashes[c] for c in doc], np.uint64)
-    got = decontaminate.Matcher(own, window, 1.0).hits(h, np.array([0, len(h)]))
+    got = decontaminate.Matcher([(i, min(window, len(x)), x) for i, x in own]).hits(h, np.array([0, len(h)]))
     want = brute([(0, " ".join(doc))], [(str(i), " ".join(x)) for i, x in enumerate(items)], window)[0]
     words, ids = got.get(0, (set(), set()))
     assert (sorted(words), sorted(ids)) == (want[2], want[3])
@@ -181,3 +181,26 @@ def test_cut_removes_stretches(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontaminate.cleaned(docs, items).collect()}
     cut = "Keep this, Ünï ! and that. one"
     assert got == {1: (cut, len(cut)), 2: ("clean", 5), 3: (None, None)}
+
+
+def test_thirty_blocks_and_long_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(decontaminate, "PIECE", 15)
+    monkeypatch.setattr(decontaminate, "SHARE", 100)
+    word = lambda i: f"w{i * 7919 % 1009}"
+    items = [(str(k), " ".join(word(40 * k + j) for j in range(12 + 3 * k))) for k in range(30)]
+    docs = [(i, " ".join(word(30 * i + j) for j in range(10 + 9 * i))) for i in range(25)] + [(99, " ".join(t for _, t in items[::3]))]
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_clashing_columns_are_kept(spark):
+    names = ["n_words", "hit_words", "hit_items", "doc", "own", "at", "ids", "block", "need", "first"]
+    docs = spark.createDataFrame([(1, "one two three four five", *names), (2, None, *names)], DOCS_SCHEMA + ", " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([("i", "two three", 1, "x")], "item_id string, text string, need int, words string")
+    got = {r["doc_id"]: r for r in decontaminate.cleaned(docs, items).collect()}
+    assert got[1]["text"] == "one  four five" and got[2]["text"] is None
+    assert all([r[n] for n in names] == names for r in got.values())
+    assert decontaminate.marked(docs, items).where("doc_id = 1").first()["hit_items"] == ["i"]
+
+
+DOCS_SCHEMA = "doc_id long, text string"
