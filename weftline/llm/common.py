@@ -74,7 +74,7 @@ class Scratch:
         """Writes df and reads it back: what made it is done with, and its shuffle files can go."""
         path, schema = self.path(name), df.schema
         with small_batches(self.spark):
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def sweep(self) -> None:

@@ -2,8 +2,8 @@
 
 Units of comparison are paragraphs of at least ``least`` words: the lines of a text, and
 windows of ``least`` words that run across line ends, so that a passage is found
-wherever it stands. Windows open at places chosen by content: of each ``least`` + 1
-places in a row the one whose eight-word shingle has the smallest hash. A passage of
+wherever it stands. Windows open at places chosen by content: of each ``least`` places
+in a row the one whose eight-word shingle has the smallest hash. A passage of
 2 * ``least`` words or more thus has the same windows in every text. A first pass counts
 the opening shingles, which is a band of one minimum; only windows whose opening occurs
 again are made.
@@ -47,7 +47,7 @@ from .words import BASE, CHUNK_BYTES, INVERSE, NOT_SPACE, U, Words, chunks, flat
 K, LEAST, OPENING = 5, 25, 8
 PERMUTATIONS, BANDS, WIDTH = 18, 12, 3
 UNITS = "doc long, doc_id long, start int, end int, key long, n_shingles int, bands array<long>"
-WINDOWS = UNITS + ", before array<int>, after array<int>"
+WINDOWS = UNITS + ", before array<smallint>, after array<smallint>"
 #: Words of the units that are described at a time, about.
 SLICE = 200_000
 
@@ -68,11 +68,11 @@ def lines_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def openings(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Where windows of ``least`` words open, and the hashes of the opening shingles.
 
-    Of least + 1 places in a row, or of a short text's fewer, it is the one of the
-    smallest hash; of equal ones that of the smallest number modulo least + 1, so that
+    Of ``least`` places in a row, or of a short text's fewer, it is the one of the
+    smallest hash; of equal ones that of the smallest number modulo ``least``, so that
     texts of one repeated phrase have no more openings than others.
     """
-    n, spread = len(words.starts), least + 1
+    n, spread = len(words.starts), least
     counts = np.diff(words.rows)
     places = np.maximum(counts - least + 1, 0)
     if n < least or not places.any():
@@ -124,7 +124,7 @@ def _rows(rows: pa.RecordBatch, words: Words, first: np.ndarray, end: np.ndarray
 
 
 def paragraphs(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (doc, doc_id, text) to their lines, and to the openings of windows: these have the opening's key and no shingles."""
+    """Rows (doc, doc_id, text) to their lines, and to the openings of windows: these have doc, start and the opening's key alone."""
     names = [x.split()[0] for x in UNITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +137,17 @@ def paragraphs(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 yield pa.RecordBatch.from_arrays([*_rows(rows, words, first[own], end[own]), pa.array(keys), pa.array(sizes.astype(np.int32)), lists(list(bands))], names)
             at, keys = openings(words, least)
             if len(at):
-                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*_rows(rows, words, at, at + least), pa.array(keys.view(np.int64)), pa.array(np.zeros(len(at), np.int32)), none], names)
+                doc, _, start, _ = _rows(rows, words, at, at)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                doc_id, end, size, bands = (pa.nulls(len(at), k) for k in kinds)
+                yield pa.RecordBatch.from_arrays([doc, doc_id, start, end, pa.array(keys.view(np.int64)), size, bands], names)
 
     return run
 
 
 def around(words: Words, first: np.ndarray, before: int, after: int) -> tuple[pa.ListArray, pa.ListArray]:
-    """Hashes of up to ``before`` words before each place within its row, the nearest first, and of up to ``after`` from there on."""
-    short = (words.hashes >> U(32)).astype(np.uint32).view(np.int32)
+    """16-bit hashes of up to ``before`` words before each place within its row, the nearest first, and of up to ``after`` from there on."""
+    short = (words.hashes >> U(48)).astype(np.uint16).view(np.int16)
     row = np.searchsorted(words.rows, first, "right") - 1
     out = []
     for sizes, start, step in ((np.minimum(first - words.rows[row], before), first - 1, -1), (np.minimum(words.rows[row + 1] - first, after), first, 1)):
@@ -168,7 +170,7 @@ def windows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             first = np.asarray(wanted.flatten(), np.int64) + np.repeat(words.rows[:-1], sizes)
             for own, keys, counts, bands in described(words, first, first + least):
                 at = first[own]
-                yield pa.RecordBatch.from_arrays([*_rows(rows, words, at, at + least), pa.array(keys), pa.array(counts.astype(np.int32)), lists(list(bands)), *around(words, at, least + 1, 2 * least + 1)], names)
+                yield pa.RecordBatch.from_arrays([*_rows(rows, words, at, at + least), pa.array(keys), pa.array(counts.astype(np.int32)), lists(list(bands)), *around(words, at, least, 2 * least)], names)
 
     return run
 
@@ -214,29 +216,31 @@ def shared(x: str, y: str) -> Column:
     """How many leading elements two arrays have in common; 0 where one is null."""
     same = F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False)))
     at = F.array_position(same, False)
-    return F.coalesce(F.when(at > 0, at - 1).otherwise(F.size(same).cast("long")), F.lit(0)).cast("int")
+    return F.when(at.isNull(), 0).when(at > 0, at - 1).otherwise(F.size(same)).cast("int")
 
 
 def removals(docs: DataFrame, scratch: Scratch, least: int) -> DataFrame:
     """(doc, spans): what goes from each text of docs (doc, doc_id, text), each of which is there once."""
     found = scratch.write(docs.mapInArrow(paragraphs(least), UNITS), "units")
-    lines = found.where("n_shingles > 0")
 
     # Windows: openings that occur again, counted before their rows are shuffled.
-    opened = found.where("n_shingles = 0").select("doc", "start", "key")
+    opened = found.where("n_shingles is null").select("doc", "start", "key")
     again = scratch.write(opened.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "openings")
     scratch.sweep()
     wanted = opened.join(again, "key").groupBy("doc").agg(F.collect_set("start").alias("wanted"))  # openings of one text
     wanted = scratch.write(wanted, "wanted")
+    lines = scratch.write(found.where("n_shingles is not null"), "lines")
+    for name in ("units", "openings"):
+        scratch.drop(name)
     scratch.sweep()
     some, _ = split_by_keys(docs, "doc", wanted, "doc")
     made = scratch.write(some.join(wanted, "doc").select("doc", "doc_id", "text", "wanted").mapInArrow(windows(least), WINDOWS), "windows")
+    scratch.drop("wanted")
     scratch.sweep()
 
     # Classes of equal units, lines and windows alike: banded, confirmed, clustered.
-    nothing = F.lit(None).cast("array<int>")
-    units = lines.withColumn("before", nothing).withColumn("after", nothing).unionByName(made)
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "start", "doc", "end", "before", "after")
+    units = lines.unionByName(made.drop("before", "after"))
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "start", "doc", "end")
     per = units.groupBy(F.col("key").alias("node")).agg(F.count("*").alias("copies"), F.min(place).alias("least"), F.first("n_shingles").cast("long").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = scratch.write(per, "classes")
     scratch.sweep()
@@ -250,24 +254,34 @@ def removals(docs: DataFrame, scratch: Scratch, least: int) -> DataFrame:
     groups = linked(classes.select("node", "copies", "n_shingles", "bands"), fetch, scratch, 80, 100)
     parts = classes.select("node", "copies", "least").join(groups, "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     parts = scratch.write(parts, "parts")
+    for name in ("classes", "fetched"):
+        scratch.drop(name)
+    scratch.sweep()
 
     # All occurrences but each component's first. Units that overlap it are near it, but no repeats: such a class has a first of its own.
-    first = parts.groupBy("component").agg(F.min("least").alias("first"))
-    overlaps = (F.col("least.doc") == F.col("first.doc")) & (F.col("least.start") < F.col("first.end"))
-    stay = parts.select(F.col("node").alias("key"), "component", "least").join(first, "component").select("key", F.when(overlaps, F.col("least")).otherwise(F.col("first")).alias("first"))
-    stay = stay.select("key", F.col("first.doc").alias("own"), F.col("first.end").alias("own_end"), F.col("first.before").alias("own_before"), F.col("first.after").alias("own_after"))
-    stay = scratch.write(stay, "stay")
-    scratch.sweep()
-    rows = units.select("key", "doc", "start", "end", "before", "after").join(stay, "key").where("doc <> own or start >= own_end")
+    first = parts.groupBy("component").agg(F.min(F.struct("least", "node")).alias("first"))
+    mine, its = F.struct("least", "node"), F.col("first")
+    overlaps = (F.col("least.doc") == its["least"]["doc"]) & (F.col("least.start") < its["least"]["end"])
+    stay = parts.join(first, "component").select(F.col("node").alias("key"), F.when(overlaps, mine).otherwise(its).alias("stay"))
+    stay = scratch.write(stay.select("key", F.col("stay.least.doc").alias("own"), F.col("stay.least.start").alias("at"), F.col("stay.least.end").alias("own_end"), F.col("stay.node").alias("own_key")), "stay")
+    scratch.drop("parts")
+    repeats = F.expr("doc <> own or start >= own_end")
+    whole = lines.select("key", "doc", "start", "end").join(stay, "key").where(repeats).select("doc", "own", "own_end", "start", "end")
+
     # A window that opens as the first one does goes as far as the words are the same, any other unit as it is.
+    its = stay.select("own", "at", "own_key").distinct().join(made.select(F.col("key").alias("own_key"), F.col("doc").alias("own"), F.col("start").alias("at"), F.col("before").alias("own_before"), F.col("after").alias("own_after")), ["own", "at", "own_key"])
+    its = scratch.write(its, "contexts")
+    scratch.sweep()
+    near = made.select("key", "doc", "start", "end", "before", "after").join(stay, "key").where(repeats).join(its, ["own", "at", "own_key"], "left")
+    near = near.withColumn("same", shared("after", "own_after"))
     aligned = F.col("same") >= OPENING
-    rows = rows.withColumn("same", shared("after", "own_after"))
-    low = F.when(aligned, F.col("start") - shared("before", "own_before")).otherwise(F.col("start"))
-    high = F.when(aligned, F.col("start") + F.col("same")).otherwise(F.col("end"))
-    low = F.when(F.col("doc") == F.col("own"), F.greatest(low, "own_end")).otherwise(low)  # a text's repeat of itself spares its first
-    spans = rows.select("doc", F.struct(low.alias("start"), high.alias("end")).alias("span")).where("span.start < span.end")
+    start = F.when(aligned, F.col("start") - shared("before", "own_before")).otherwise(F.col("start"))
+    end = F.when(aligned, F.col("start") + F.col("same")).otherwise(F.col("end"))
+    spans = near.select("doc", "own", "own_end", start.alias("start"), end.alias("end")).union(whole)
+    low = F.when(F.col("doc") == F.col("own"), F.greatest("start", "own_end")).otherwise(F.col("start"))  # a text's repeat of itself spares its first
+    spans = spans.select("doc", F.struct(low.alias("start"), "end").alias("span")).where("span.start < span.end")
     spans = scratch.write(spans.groupBy("doc").agg(F.collect_set("span").alias("spans")), "spans")  # spans of one text
-    for name in ("units", "openings", "wanted", "windows", "classes", "fetched", "parts", "stay"):
+    for name in ("lines", "windows", "stay", "contexts"):
         scratch.drop(name)
     scratch.sweep()
     return spans
@@ -295,8 +309,7 @@ def deduplicated(docs: DataFrame, spark: SparkSession, least: int = LEAST, remov
     known = some.join(copied, F.col("doc") == F.col(own), "left")
     chosen = known.where(F.col(own).isNotNull() & F.col("doc_id").eqNullSafe(F.col(least_id)))
     single = rest.union(known.where(F.col(own).isNull()).select("doc", "doc_id", "text")).union(chosen.select("doc", "doc_id", "text").dropDuplicates(["doc"]))
-    spans = removals(scratch.write(single, "texts"), scratch, least)
-    scratch.drop("texts")
+    spans = removals(single, scratch, least)
 
     spans = spans.select(F.col("doc").alias(own), F.col("spans").alias(spans_))
     some, rest = split_by_keys(keyed, doc, spans.select(own).union(copied.select(own)), own)
