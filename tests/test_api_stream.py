@@ -1,4 +1,6 @@
 import json
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -78,10 +80,32 @@ def test_lists_and_explanations(snap):
 
 def test_refresh_publishes_only_what_passes(spark, tmp_path):
     s = api.Snapshot(spark, str(tmp_path))
-    bad = api.refresh_docs(s, {"t": spark.range(1)}, "v1", snapshot.Facts())
+    good = snapshot.Facts(page_count=10, listed_pages=10)
+    pages = lambda *ids: {"pages": spark.createDataFrame([dict(PAGES[0], page_id=i) for i in ids], api.SCHEMAS["pages"])}
+    bad = api.refresh_docs(s, pages("a"), "v1", snapshot.Facts())
     assert not all(r["passed"] for r in bad.collect()) and snapshot.current(spark, s.root) is None
-    api.refresh_docs(s, {"t": spark.range(1)}, "v2", snapshot.Facts(page_count=10, listed_pages=10))
-    assert snapshot.current(spark, s.root).endswith("v2")
+    assert len(snapshot.gate(good)) == snapshot.CHECKS == bad.count() - 1
+    other = api.Snapshot(spark, s.root)
+    api.refresh_docs(s, pages("b"), "v2", good)
+    assert snapshot.current(spark, s.root).endswith("v2") and [r["page_id"] for r in s.table("pages").collect()] == ["b"]
+    assert other.table("pages").count() == 0  # opened before; sees it when refreshed
+    other.refresh()
+    assert [r["page_id"] for r in other.table("pages").collect()] == ["b"]
+    api.refresh_docs(s, pages("c"), "v3", good, limited=True, verified_full=True)
+    assert [r["page_id"] for r in api.Snapshot(spark, s.root).table("pages").collect()] == ["b"]
+    api.refresh_docs(s, pages("c"), "v3", good, limited=True, verified_full=True, allow_partial=True)
+    assert [r["page_id"] for r in api.Snapshot(spark, s.root).table("pages").collect()] == ["c"]
+
+
+def test_a_publish_that_fails_leaves_the_old_version(spark, tmp_path):
+    root = str(tmp_path)
+    snapshot.publish(spark, {"t": spark.range(3)}, root, "v1")
+    with pytest.raises(Exception, match="no luck"):
+        snapshot.publish(spark, {"t": spark.range(1), "u": spark.range(1).selectExpr("raise_error('no luck') as x")}, root, "v2")
+    assert snapshot.current(spark, root) == f"{root}/v1" and spark.read.parquet(f"{root}/v1/t").count() == 3
+    snapshot.publish(spark, {"t": spark.range(2)}, root, "v3")
+    assert snapshot.current(spark, root) == f"{root}/v3"
+    assert sorted(p.name for p in tmp_path.iterdir() if p.is_file() and not p.name.endswith(".crc")) == ["CURRENT"]
 
 
 EVENTS = "event_id long, ts timestamp, kind string"
@@ -130,3 +154,16 @@ def test_single_flight():
     assert started and flight.request() == (first, False)
     flight.cancel()
     assert flight.request()[0] is not first
+
+
+def test_single_flight_of_many_threads():
+    class Slow:
+        isActive = True
+
+        def __init__(self):
+            time.sleep(0.05)
+
+    flight = progress.SingleFlight(Slow)
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: flight.request(), range(8)))
+    assert len({id(q) for q, _ in got}) == 1 and sum(started for _, started in got) == 1

@@ -41,24 +41,30 @@ def bounded(name: str, limit: int | None) -> int:
 
 
 class Snapshot:
-    """A published snapshot; tables are read lazily, with filters and columns pushed to the scan."""
+    """A published snapshot; tables are read lazily, with filters and columns pushed to the scan.
+
+    Tables are those of the version that was published last when the snapshot was opened or
+    refreshed; a folder without versions holds the tables itself.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self.folder = snapshot.current(spark, root) or root
 
     def available(self, name: str) -> bool:
         try:
-            self.spark.read.parquet(f"{self.root}/{name}").schema  # noqa: B018
+            self.spark.read.parquet(f"{self.folder}/{name}").schema  # noqa: B018
         except AnalysisException:
             return False
         return True
 
     def table(self, name: str) -> DataFrame:
         rows = self.spark.read.schema(SCHEMAS[name])
-        return rows.parquet(f"{self.root}/{name}") if self.available(name) else self.spark.createDataFrame([], SCHEMAS[name])
+        return rows.parquet(f"{self.folder}/{name}") if self.available(name) else self.spark.createDataFrame([], SCHEMAS[name])
 
     def refresh(self) -> None:
         self.spark.catalog.refreshByPath(self.root)
+        self.folder = snapshot.current(self.spark, self.root) or self.root
 
 
 def _slug(name: str, spark: SparkSession) -> str:
@@ -204,11 +210,18 @@ def list_components(s: Snapshot) -> DataFrame:
     return graph.first_rows(named.select("component", "seq", "section", "path"), ["component"], "seq").select("component", "section", "path").orderBy("component")
 
 
-def refresh_docs(s: Snapshot, tables: dict[str, DataFrame], version: str, facts: snapshot.Facts, force: bool = False) -> DataFrame:
-    """Publishes new tables as a version if the gate lets it; the checks, in order. A snapshot that fails stays unpublished."""
-    found = snapshot.gate(facts, force)
+def refresh_docs(s: Snapshot, tables: dict[str, DataFrame], version: str, facts: snapshot.Facts, force: bool = False, limited: bool = False, allow_partial: bool = False, verified_full: bool = False) -> DataFrame:
+    """Publishes new tables as a version if the gate lets it; the checks, in order. A version that fails stays unpublished.
+
+    A limited run replaces no verified full snapshot and is no first one, unless partial ones
+    are allowed: ``verified_full`` says of what manner the published one is. The snapshot
+    itself reads the new version from then on.
+    """
+    may = snapshot.may_replace(verified_full, s.folder != s.root, limited, allow_partial)
+    found = [*snapshot.gate(facts, force), (snapshot.CHECKS, "may-replace", may)]
     if all(passed for _, _, passed in found):
         snapshot.publish(s.spark, tables, s.root, version)
+        s.refresh()
     return s.spark.createDataFrame(found, "place int, name string, passed boolean")
 
 

@@ -6,6 +6,7 @@ times, and a stream has to know when a window is complete.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,18 +46,20 @@ class SingleFlight:
     """At most one refresh at a time: whoever asks while one runs gets that one."""
 
     def __init__(self, start: Callable[[], StreamingQuery]):
-        self._start, self._running = start, None
+        self._start, self._running, self._lock = start, None, threading.Lock()
 
     def request(self) -> tuple[StreamingQuery, bool]:
-        """The running refresh, and whether this call started it."""
-        if self._running is not None and self._running.isActive:
-            return self._running, False
-        self._running = self._start()
-        return self._running, True
+        """The running refresh, and whether this call started it; callers of the same moment get the same one."""
+        with self._lock:
+            if self._running is not None and self._running.isActive:
+                return self._running, False
+            self._running = self._start()
+            return self._running, True
 
     def cancel(self) -> None:
-        if self._running is not None:
-            self._running.stop()
+        with self._lock:
+            if self._running is not None:
+                self._running.stop()
 
 
 def changed_since(fingerprints: DataFrame, before: DataFrame) -> DataFrame:
