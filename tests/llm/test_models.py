@@ -34,7 +34,8 @@ def test_toxicity_on_held_out_rows(spark, sf_dir):
 
 def test_toxicity_features_span_gaps_and_rows():
     data, offsets = flat(pa.array(["a b c d", "", "a b"]))
-    at, rows = toxicity.features(Words(data, offsets, ALNUM))
+    words = Words(data, offsets, ALNUM)
+    at, rows = toxicity.features(words.hashes, toxicity.row_of(words))
     counts = np.bincount(rows, minlength=3).tolist()
     assert counts == [4 + 3 + 2 + 1, 0, 2 + 1]
     assert len(set(at[rows == 2]) - set(at[rows == 0])) == 0
@@ -70,10 +71,13 @@ def test_filter_returns_all_languages_of_an_ngram():
     a, b, c = (np.arange(lo, lo + 3000, dtype=np.int64) for lo in (10**6, 10**6 + 1500, 10**7))
     table = language.Filter(["a", "b", "c"], [a, b, c])
     masks = table.masks(np.concatenate([a, b, c]).astype(U))
+    masks = masks[:, 0]
     assert (masks[:3000] & U(1)).all() and (masks[1500:3000] & U(2)).all() and (masks[6000:] & U(4)).all()
     other = np.arange(5 * 10**8, 5 * 10**8 + 20_000, dtype=np.int64).astype(U)
-    counts, total = table.counts(other, np.zeros(len(other), np.int64), 1)
-    assert total[0] == 20_000 and counts.max() < 30  # false positives are corrected away
+    hits, total = table.counts(other, np.zeros(len(other), np.int64), 1)
+    assert total[0] == 20_000 and table.corrected(hits, total).max() < 30  # false positives are corrected away
+    again = language.Filter.unpacked(table.packed())
+    assert (again.slots == table.slots).all() and again.bits == table.bits >= np.log2(24 * 3000)
 
 
 def test_grams_don_t_span_words_or_rows():
@@ -93,3 +97,45 @@ def test_language_edge_cases(spark):
     nothing = language.predict(docs, language.fit(docs.where("lang is null")))
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
     assert language.predict(docs.limit(0), language.fit(docs)).count() == 0
+
+
+def test_seventy_languages_and_a_rare_one(spark):
+    """Each language has words of its own letters; one has a text in a hundred thousand, and one text is there 100,000 times."""
+    word = lambda lang, k: "".join(chr(0x4E00 + 40 * lang + (k * 7 + j * 11) % 40) for j in range(3))
+    rows = [(100 * lang + i, " ".join(word(lang, k + i) for k in range(40)), f"l{lang:02d}") for lang in range(70) for i in range(6)]
+    docs = spark.createDataFrame(rows + [(99_999, "rare " * 30 + "words", "zz")], "doc_id long, text string, lang string")
+    docs = docs.union(spark.range(100_000).selectExpr("7 AS doc_id", "'often the same' AS text", "'often' AS lang"))
+    model = language.fit(docs, most=300)
+    assert len(model.langs) == 72 and model.slots.shape[1] == 2
+    got = language.predict(docs.where("lang <> 'often'"), model).collect()
+    assert {r["lang_pred"] for r in got if r["doc_id"] == 99_999} == {"zz"}
+    assert all(r["lang_pred"] == f"l{r['doc_id'] // 100:02d}" for r in got if r["doc_id"] < 7000)
+
+
+def test_long_texts_are_predicted_in_slices(monkeypatch):
+    data, offsets = flat(pa.array(["le la les " * 300]))
+    table = language.Filter(["x"], [np.unique(language.grams(data, offsets)[0]).astype(np.int64)])
+    whole = table.counts(*language.grams(data, offsets), 1)
+    monkeypatch.setattr(language, "CHUNK_BYTES", 101)
+    parts = [table.counts(*language.grams(part, ends), 1) for part, ends, _ in language.slices(data, offsets)]
+    assert len(parts) > 20 and sum(p[0] for p in parts) == whole[0] and sum(p[1] for p in parts) == whole[1]
+
+
+def test_one_doc_id_a_hundred_thousand_times_is_learned_from_once(spark):
+    same = spark.range(100_000).selectExpr("1 AS doc_id", "'vile words here' AS text")
+    docs = same.union(spark.createDataFrame([(i, f"good words {i}") for i in range(2, 300)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1)] + [(i, 0) for i in range(2, 300)], "doc_id long, label int")
+    model = toxicity.fit(labels, docs, most=100)
+    assert len(model[0]) >= 1
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs.dropDuplicates(["doc_id"]), model).collect()}
+    assert len(score) == 299 and all(0 <= x <= 1 for x in score.values())
+    found = same.selectExpr("doc_id", "length(text) AS size")
+    assert len(sampling.capped(found, [found["doc_id"]], "size", 50)) == 50 and len(sampling.capped(found, [found["doc_id"]], "size", 50, 100)) == 6
+
+
+def test_scores_of_long_texts_don_t_depend_on_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i % 97} v{i % 89}" for i in range(2000)))], "doc_id long, text string")
+    model = (np.array([*range(0, 1 << 20, 50), -1]), np.array([*[0.001] * len(range(0, 1 << 20, 50)), -2.0]))
+    whole = toxicity.score(docs, model).first()["score"]
+    monkeypatch.setattr(toxicity, "STEP", 70)
+    assert toxicity.score(docs, model).first()["score"] == pytest.approx(whole)

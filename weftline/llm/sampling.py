@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,17 @@ def bounded(rows: DataFrame, key: str, most: int) -> DataFrame:
         share = int(min(1.0, 1.1 * most / total + 100 / total) * 2**32)
         rows = rows.where(F.pmod(order, F.lit(2**32)) < share)
     return rows.orderBy(F.pmod(order, F.lit(2**32)), order, *rows.columns).limit(most)
+
+
+#: Bytes of the texts of a sample together, and of one of them, at most; longer texts are not learned from.
+SAMPLE_BYTES, LONGEST = 64 << 20, 1 << 20
+
+
+def capped(rows: DataFrame, order: list[Column], size: str, most: int, most_bytes: int = SAMPLE_BYTES) -> list[Row]:
+    """The first rows by ``order``, at most ``most``, as long as their ``size`` adds up to no more than ``most_bytes``."""
+    total, out = 0, []
+    for row in rows.orderBy(*order, *rows.columns).limit(most).collect():  # a few numbers for each of `most` rows
+        if total + row[size] <= most_bytes:
+            total += row[size]
+            out.append(row)
+    return out

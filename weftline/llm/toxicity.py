@@ -2,13 +2,14 @@
 
 Features of a text: its lower-cased words, word pairs, and pairs with one or two words
 between (skip-grams), hashed into 2**20 buckets, each bucket once. One task trains on a
-bounded sample of labelled rows, in hash order, with a learning rate for each
-coordinate and an L1 penalty that leaves most weights at zero; the others, some
-thousand numbers and 8 MB at the very most, go to the executors inside the scoring
-function.
-
-Defined results: null, empty and wordless texts get the score of no features; repeated
-rows count as often as they occur and score alike; rows with a null doc_id are never
+sample of labelled texts bounded in rows (SAMPLE) and bytes (sampling.SAMPLE_BYTES), in
+hash order, with a learning rate for each coordinate and an L1 penalty that leaves most
+weights at zero; the others, some thousand numbers and 8 MB at the very most, go to the
+executors inside the scoring function.
+
+Defined results: null, empty and wordless texts get the score of no features; very long
+texts are scored whole, but not learned from (sampling.LONGEST); repeated rows are learned
+from once and score alike; rows with a null doc_id are never
 learned from and count as not held out; labels that are null or neither 0 nor 1 are
 not learned from; without labels every score is 0; an empty table gives no rows;
 further columns are kept where the schema has them and ignored where it doesn't.
@@ -25,19 +26,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import read, ship
-from .sampling import bounded, remainder
+from .sampling import LONGEST, bounded, capped, remainder
 from .words import ALNUM, FACTORS, U, Words, chunks, mix
 
 BITS, SKIPS = 20, 2
 #: Labelled rows to learn from, at most.
 SAMPLE = 20_000
+#: Words whose features are made at a time.
+STEP = 500_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 1.0, 8.0, 0.0
 THRESHOLD = 0.7
 
 
-def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every feature of a chunk; a bucket may come several times."""
-    h, rows = words.hashes, np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows))
+def features(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and row of every feature of words with these hashes and rows; a bucket may come several times."""
     found, own = [h >> U(64 - BITS)], [rows]
     for gap in range(1, SKIPS + 2):
         if len(h) > gap:
@@ -48,6 +50,10 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found).astype(np.int64), np.concatenate(own)
 
 
+def row_of(words: Words) -> np.ndarray:
+    return np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows))
+
+
 class Ftrl:
     """Per-coordinate FTRL-proximal with squared-gradient rates; x is 0 or 1."""
 
@@ -72,7 +78,8 @@ def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, label) to the non-zero weights; bucket -1 is the bias."""
     kept: list[tuple[np.ndarray, int]] = []
     for rows, data, offsets in chunks(batches):
-        at, row = features(Words(data, offsets, ALNUM))
+        words = Words(data, offsets, ALNUM)
+        at, row = features(words.hashes, row_of(words))
         order = np.argsort(row, kind="stable")
         ends = np.searchsorted(row[order], np.arange(rows.num_rows + 1))
         for i, label in enumerate(rows.column("label").to_pylist()):
@@ -92,10 +99,15 @@ def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, texts: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Weights from labelled (doc_id, label) and texts (doc_id, text): buckets and weights, the bias at -1."""
-    sample = bounded(labelled.where("doc_id is not null and label in (0, 1)").distinct(), "doc_id", most)  # two columns of at most `most` rows: 0.5 MB
-    rows = texts.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
-    found = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(train, "bucket long, weight double").toPandas()
+    spark = texts.sparkSession
+    own = texts.select("doc_id", "text", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    ids = bounded(labelled.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).distinct(), "doc_id", most)
+    found = own.where(F.col("size") <= LONGEST).select("doc_id", "h", "size").join(F.broadcast(ids), "doc_id").distinct()  # two numbers for each of at most `most` rows
+    sample = capped(found, [F.xxhash64(F.lit("sample"), "doc_id", "h")], "size", most)
+    chosen = spark.createDataFrame([(r["doc_id"], r["h"], r["label"]) for r in sample], "doc_id long, h long, label int")
+    rows = own.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "label"])  # three numbers for each of at most `most` rows
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "h", "label")
+    found = rows.select("text", "label").mapInArrow(train, "bucket long, weight double").toPandas()
     return found["bucket"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
 
@@ -112,10 +124,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "sc
         at = np.zeros(1 << BITS, np.int32)
         at[sparse] = np.arange(1, len(sparse) + 1)
         for rows, data, offsets in chunks(batches):
-            found, row = features(Words(data, offsets, ALNUM))
-            hit = at[found]
-            some = hit > 0
-            once = np.unique(row[some].astype(np.int64) << 32 | hit[some])
+            words = Words(data, offsets, ALNUM)
+            own, once = row_of(words), [np.empty(0, np.int64)]
+            for low in range(0, len(own), STEP):  # with the words that the slice's last ones are paired with
+                found, row = features(words.hashes[low : low + STEP + SKIPS + 1], own[low : low + STEP + SKIPS + 1])
+                hit = at[found]
+                some = hit > 0
+                once.append(np.unique(row[some].astype(np.int64) << 32 | hit[some]))
+            once = np.unique(np.concatenate(once))
             total = np.bincount(once >> 32, table[once & 0xFFFFFFFF], rows.num_rows) + bias
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35)) if bias != -np.inf else np.full(rows.num_rows, np.inf)))], [*rows.schema.names, name])
 
