@@ -295,8 +295,9 @@ def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch:
         known = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = scratch.write(stars(members).join(known, ["a", "b"], "left_anti"), "finer-pairs")
         more = scratch.write(confirmed(pairs, full, num, den), "finer-links")
-        edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = scratch.write(components(edges.union(more), scratch, "second"), "finer-found")
+        if more.limit(1).count():
+            edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = scratch.write(components(edges.union(more), scratch, "second"), "finer-found")
 
         # What is open even so is decided exactly; of keys with the same nodes, one.
         now, keys = still_open(members, found, scratch, "finer-open")
@@ -307,8 +308,9 @@ def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch:
         dealt = now.select("key", "node", "component").join(scratch.write(blocks, "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("node").alias("f1"), "component")
         last = scratch.write(dealt.join(full, "f1").groupBy("key", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"), "block-links")
-        edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = components(edges.union(last), scratch, "last")
+        if last.limit(1).count():
+            edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = components(edges.union(last), scratch, "last")
     found = scratch.write(found, "groups")
     for name in ("open", "loose", "full", "pairs", "links", "found", "finer", "second-members", "finer-pairs", "finer-links", "finer-found", "finer-open", "blocks", "block-links"):
         scratch.drop(name)

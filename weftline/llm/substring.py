@@ -9,8 +9,10 @@ the opening shingles, which is a band of one minimum; only windows whose opening
 again are made.
 
 All units go one way. Equal ones are a class; each class's min-max signature is cut
-into bands tuned for recall (12 of 3 values: a pair of similarity 0.8 is missed with a
-chance of 2e-4, one of 0.9 with 5e-7), colliding classes are confirmed by exact Jaccard
+into bands tuned for recall (lines: 9 of 3 values, a pair of similarity 0.8 is missed with
+a chance of 2e-3, one of 0.9 with 8e-6; windows, which are compared where
+they open alike: 4 of 3, a pair that differs in two shingles is missed with a chance of
+0.04, one that differs in one with 0.01), colliding classes are confirmed by exact Jaccard
 similarity of their five-word shingles (0.8 or more), and linked ones form components.
 Of a component's occurrences the first, by doc_id and place, stays; all others are
 removed. A window that opens as the first one does goes as far to both sides as the words
@@ -42,10 +44,11 @@ from pyspark.sql import types as T
 from .common import Scratch, fresh, read, split_by_keys
 from .minmax import band_keys, signatures
 from .near import linked, lists
-from .words import BASE, CHUNK_BYTES, INVERSE, NOT_SPACE, U, Words, chunks, flat, mix, powers, release, released, shingles
+from .words import BASE, CHUNK_BYTES, FACTORS, INVERSE, NOT_SPACE, U, Words, chunks, flat, mix, powers, release, released, shingles
 
 K, LEAST, OPENING = 5, 25, 8
-PERMUTATIONS, BANDS, WIDTH = 18, 12, 3
+#: Bands of lines and of windows.
+BANDS, WINDOW_BANDS, WIDTH = 9, 4, 3
 UNITS = "doc long, doc_id long, start int, end int, key long, n_shingles int, bands array<long>"
 WINDOWS = UNITS + ", before array<smallint>, after array<smallint>"
 #: Words of the units that are described at a time, about.
@@ -98,7 +101,7 @@ def openings(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     return at, whole[at]
 
 
-def described(words: Words, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+def described(words: Words, first: np.ndarray, end: np.ndarray, bands: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
     """For stretches of words, by slices of them: keys of their content, numbers of shingles, and bands."""
     done = np.zeros(len(first) + 1, np.int64)
     np.cumsum(end - first, out=done[1:])
@@ -112,7 +115,7 @@ def described(words: Words, first: np.ndarray, end: np.ndarray) -> Iterator[tupl
         np.cumsum(hashes * powers(BASE, len(hashes)), out=sums[1:])
         keys = mix((sums[at[1:]] - sums[at[:-1]]) * powers(INVERSE, len(sums))[at[:-1]] + np.diff(at).astype(U)).view(np.int64)
         sets, ends = shingles(hashes, at, K)
-        yield slice(low, high), keys, np.diff(ends), band_keys(signatures(sets, ends, PERMUTATIONS), BANDS, WIDTH)
+        yield slice(low, high), keys, np.diff(ends), band_keys(signatures(sets, ends, -(-bands * WIDTH // 2)), bands, WIDTH)
         low = high
 
 
@@ -133,7 +136,7 @@ def paragraphs(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             first, end = lines_of(words)
             long = end - first >= least
             first, end = first[long], end[long]
-            for own, keys, sizes, bands in described(words, first, end):
+            for own, keys, sizes, bands in described(words, first, end, BANDS):
                 yield pa.RecordBatch.from_arrays([*_rows(rows, words, first[own], end[own]), pa.array(keys), pa.array(sizes.astype(np.int32)), lists(list(bands))], names)
             at, keys = openings(words, least)
             if len(at):
@@ -168,8 +171,13 @@ def windows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             wanted = rows.column("wanted")
             sizes = pc.list_value_length(wanted).to_numpy(zero_copy_only=False)
             first = np.asarray(wanted.flatten(), np.int64) + np.repeat(words.rows[:-1], sizes)
-            for own, keys, counts, bands in described(words, first, first + least):
+            if not len(first):
+                continue
+            opening = shingles(words.hashes, np.array([0, len(words.hashes)]), OPENING)[0][first].view(np.int64)
+            for own, keys, counts, bands in described(words, first, first + least, WINDOW_BANDS):
                 at = first[own]
+                keys = mix(keys.view(U) + FACTORS[44]).view(np.int64)  # a line of the same words is another class
+                bands = mix(bands.view(U) ^ opening[own, None].view(U)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*_rows(rows, words, at, at + least), pa.array(keys), pa.array(counts.astype(np.int32)), lists(list(bands)), *around(words, at, least, 2 * least)], names)
 
     return run
