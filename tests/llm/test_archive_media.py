@@ -156,3 +156,26 @@ def test_described_columns(spark):
     df = spark.createDataFrame([(1, bytearray(b"P5 2 1 255\n\x00\xff")), (2, None), (3, bytearray(b"junk"))], "id long, media binary")
     got = {r["id"]: (r["height"], r["width"], r["dhash"]) for r in media.described(df).collect()}
     assert got[1][:2] == (1, 2) and got[2] == got[3] == (None, None, None)
+
+
+def test_legacy_files_of_many_records_are_a_table(spark, tmp_path):
+    import gzip
+
+    want = {}
+    for version in (1, 2):
+        for packed in (False, True):
+            records = [(f"http://h/{version}/{i} x", f"HTTP/1.1 200 OK\r\nA: b\r\n\r\n{'page ' * i}".encode() if i % 3 else b"no header" * i) for i in range(40)]
+            parts = [archive.arc_version_block(version, "old.arc"), *(archive.arc_record(version, url, block, "old.arc", 0, "19990203040506") for url, block in records)]
+            name = f"old-{version}-{packed}.arc"
+            (tmp_path / name).write_bytes(b"".join(map(gzip.compress, parts)) if packed else b"".join(parts))
+            want |= {(name, i): r for i, r in enumerate(records)}
+    (tmp_path / "empty.arc").write_bytes(b"")
+    got = archive.arc_table(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert len(got) == len(want)
+    for r in got:
+        url, block = want[(r["file"].rsplit("/", 1)[1], r["record"])]
+        fields, body = next(archive.warc_records(io.BytesIO(r["warc"])))
+        payload = archive.split_http(block)[1]
+        assert (r["url"], r["date"], r["payload_bytes"], body) == (url, "19990203040506", len(payload), block)
+        assert fields["WARC-Date"] == "1999-02-03T04:05:06Z" and r["payload_digest"] == hashlib.sha1(payload).hexdigest()
+    assert len({next(archive.warc_records(io.BytesIO(r["warc"])))[0]["WARC-Record-ID"] for r in got}) == len(got)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from weftline.llm import packing
 from weftline.llm.encoding import encoder
-from weftline.llm.lengths import encoded_lengths, length_report
+from weftline.llm.lengths import at_quantiles, encoded_lengths, length_report
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string"
@@ -81,7 +81,7 @@ def test_packing_is_gapless_and_whole(spark, rows):
 
 
 def test_numbers_are_gapless_within_lengths(spark):
-    df = spark.createDataFrame([(i, 0, 0, 5 if i % 3 else 6, i) for i in range(500)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    df = spark.createDataFrame([(i, 0, 0, 5 if i % 3 else 6, i) for i in range(500)], "doc_id long, piece int, start long, length long, row long")
     got = packing.numbered(df, 7).collect()
     for length in (5, 6):
         own = sorted(r["number"] for r in got if r["length"] == length)
@@ -106,3 +106,53 @@ def test_encoded_lengths(spark):
     rows = [(1, None, 0), (2, "two words", 1), (2, "two words", 1)]
     got = encoded_lengths(spark.createDataFrame(rows, "doc_id long, text string, length int"), PATH).collect()
     assert sorted(r["length"] for r in got) == sorted(len(encoder(PATH).ids(t or "")) for _, t, _ in rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 4), max_size=8), st.lists(st.integers(1, 24), max_size=6))
+def test_sums_of_one_two_and_three_lengths_are_indexed(counts, taken):
+    from itertools import combinations_with_replacement as combos
+
+    table = np.zeros(41, np.int64)
+    for x, n in counts.items():
+        table[x] = n
+    index = packing.Complements(table)
+    for x in taken:
+        if index.left[x]:
+            index.take((x,), 1)
+    left = [x for x in range(41) if index.left[x]]
+    for size, sums in ((2, index.pairs), (3, index.triples)):
+        want = Counter(sum(c) for c in combos(left, size) if sum(c) <= 40 and all(n <= index.left[x] for x, n in Counter(c).items()))
+        assert {s: int(n) for s, n in enumerate(sums) if n} == dict(want)
+    for total in range(1, 41):
+        found = index.fill(total)
+        assert bool(found) == bool(index.there[total] or index.pairs[total] or index.triples[total])
+        assert not found or (sum(found) == total and all(n <= index.left[x] for x, n in Counter(found).items()))
+
+
+def test_limits_that_no_document_has(spark):
+    lengths = [0, 0, 3, 5, 5, 5, 1500, 2600, 2600]
+    report = length_report(spark.createDataFrame([(x,) for x in lengths], "length long"), (4, 5, 2048, 9000)).cache()
+    got = {r["length"]: r for r in report.collect()}
+    assert set(got) == {*lengths, 4, 2048, 9000} and got[4]["n_docs"] == got[2048]["n_docs"] == 0 and got[5]["n_docs"] == 3
+    for limit, r in got.items():
+        assert (r["docs_longer"], r["tokens_if_cut"]) == (sum(x > limit for x in lengths), sum(min(x, limit) for x in lengths))
+    found = {r["share"]: r["length"] for r in at_quantiles(report, (0.1, 0.5, 0.7, 1.0)).collect()}
+    assert found == {q: sorted(lengths)[int(np.ceil(q * 9)) - 1] for q in found} and len(found) == 4
+    nothing = length_report(spark.createDataFrame([], "length long"), (8,))
+    assert [(r["length"], r["docs_longer"], r["quantile"]) for r in nothing.collect()] == [(8, 0, None)]
+
+
+def test_long_texts_are_split_in_slices(monkeypatch):
+    from weftline.llm import encoding
+
+    text = ("some wörds, and 12 more\t" * 200).encode()
+    whole = encoder(PATH).encode(text)
+    monkeypatch.setattr(encoding, "SLICE", 37)
+    assert encoder(PATH).encode(text) == whole
+
+
+def test_one_repeated_row_is_dealt_over_buckets(spark):
+    df = spark.range(3000).selectExpr("7 AS doc_id", "0 AS piece", "0L AS start", "5L AS length", "id AS row")
+    got = packing.numbered(df, 10)
+    assert sorted(r["number"] for r in got.collect()) == list(range(3000))

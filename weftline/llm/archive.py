@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, read, ship
 
 #: Field names of an ARC record's header line, by version (fixed by the ARC format).
 ARC_FIELDS = {
@@ -87,6 +87,46 @@ def arc_records(stream: BinaryIO) -> Iterator[ArcRecord]:
         yield ArcRecord(version, dict(zip(fields, values, strict=True)), block)
 
 
+LEGACY = "file string, record long, version int, url string, ip string, date string, content_type string, payload_bytes long, payload_digest string, warc binary"
+
+
+def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, content) of whole ARC files, gzip members or plain, to a row for each record with its WARC twin."""
+    names = [x.split()[0] for x in LEGACY.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            raw = pa.BufferReader(content.as_buffer())
+            packed = content.as_buffer().slice(0, 2).to_pybytes() == b"\x1f\x8b" if content.as_buffer().size > 1 else False
+            rows, size = [], 0
+            for n, record in enumerate(arc_records(io.BufferedReader(Inflated(raw) if packed else raw, BUFFER))):
+                _, payload = split_http(record.block)
+                f = record.fields
+                # a record is known by its file and number
+                own = int.from_bytes(hashlib.sha256(f"{path} {n}".encode()).digest()[:8], "big", signed=True)
+                rows.append((path, n, record.version, f["URL"].encode("utf-8", "replace").decode(), f["IP-address"], f["Archive-date"], f["Content-type"], len(payload), hashlib.sha1(payload).hexdigest(), warc_record(record, own)))
+                size += len(record.block)
+                if size > ARCHIVE_BYTES // 8:
+                    yield out(rows)
+                    rows, size = [], 0
+            if rows:
+                yield out(rows)
+
+
+def arc_table(files: DataFrame) -> DataFrame:
+    """Legacy files of many records as a table: one row a record, with the equivalent WARC record.
+
+    files: path and content, as Spark's binaryFile source reads them through Hadoop's file
+    systems. An empty file has no records; a file that is no ARC, or is cut short, is an error.
+    """
+    ship(files.sparkSession)
+    return files.select("path", "content").mapInArrow(_converted, LEGACY)
+
+
 def split_http(block: bytes) -> tuple[bytes, bytes]:
     """HTTP header (with its empty line) and payload; without a header all is payload."""
     at = block.find(b"\r\n\r\n")

@@ -14,8 +14,11 @@ import re
 
 from tokenizers import Tokenizer
 
-#: Words and pieces kept by one worker; a full cache is emptied and starts anew.
-CACHED = 600_000
+#: Words and pieces kept by one worker, and bytes of the words and their ids; a full cache is emptied and starts anew.
+CACHED, CACHED_BYTES = 600_000, 24 << 20
+#: Bytes of a text that are split into words at a time.
+SLICE = 1 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0d]").search
 #: The tokenizer's split rule, on the characters of PLAIN after lower-casing.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 PLAIN = re.compile(r"(?:[!-~À-ÖØ-öø-ÿ])+").fullmatch
@@ -29,6 +32,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.kept = 0
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.shown = {b: chr(b) if b in letters else chr(next(rest)) for b in range(256)}
@@ -50,15 +54,25 @@ class WordEncoder:
         else:
             got = b"".join(i.to_bytes(4, "little") for i in self.ids(text))
         self.words[word] = got
+        self.kept += len(word) + len(got)
         return got
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > CACHED or len(self.pieces) > CACHED:
+        if len(self.words) > CACHED or len(self.pieces) > CACHED or self.kept > CACHED_BYTES:
             self.words.clear()
             self.pieces.clear()
+            self.kept = 0
         get, new = self.words.get, self._word
-        return b"".join([get(w) or new(w) for w in text.split()])
+        if len(text) <= SLICE:
+            return b"".join([get(w) or new(w) for w in text.split()])
+        out, low = [], 0
+        while low < len(text):
+            end = SPACE(text, low + SLICE)
+            high = end.start() if end else len(text)
+            out.append(b"".join([get(w) or new(w) for w in text[low:high].split()]))
+            low = high
+        return b"".join(out)
 
 
 def encoder(path: str) -> WordEncoder:

@@ -208,5 +208,5 @@ def text_media(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "tile")
     return text_media(read(spark, sf_dir, "documents"), Scratch(spark, "media")).select(*columns)

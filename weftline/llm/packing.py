@@ -3,9 +3,10 @@
 Every document is encoded, ended by id 0 and cut into pieces of at most ``limit``
 tokens. How pieces are packed depends on nothing but how many pieces there are of
 each length, so the plan is made on that histogram (at most ``limit`` rows, whatever
-the corpus): longest first, a piece's gap is filled exactly by one, two or three
-available lengths whose sum is the gap, as many times as the counts allow; what has
-no exact complement is placed by best fit. Pieces are then numbered within their
+the corpus). An index holds, for every sum, how many single lengths, pairs and triples of
+available lengths have it, and follows the counts as lengths are used up. Longest first,
+a piece's gap is looked up in it and filled exactly by one, two or three lengths, as many
+times as the counts allow; what has no exact complement is placed by best fit. Pieces are then numbered within their
 length, and number and length give sequence and offset.
 
 Defined results: null and empty texts are one piece of one token (the end id); equal
@@ -23,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, read
 from .encoding import encoder
-from .words import flat
+from .words import flat, release
 
 LIMIT = 2048
 #: Pieces of one length are numbered in buckets of about so many rows.
@@ -36,11 +38,14 @@ BUCKET = 20_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and the ids themselves, as binary, if asked for)."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
+    """doc_id, piece, start, length, ids_crc32, row (and the ids themselves, as binary, if asked for).
+
+    ``row`` numbers the pieces: task and place in it, so that repeated rows have different ones.
+    """
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + ", ids binary" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode, number = encoder(tokenizer).encode, TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = flat(batch.column(1))
             data, rows, kept = data.tobytes(), [], 0
@@ -48,15 +53,17 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, ids: bool = Fals
                 all_ids = encode(data[low:high]) + bytes(4)
                 for n, at in enumerate(range(0, len(all_ids), 4 * limit)):
                     own = all_ids[at : at + 4 * limit]
-                    rows.append((doc_id, n, at // 4, len(own) // 4, zlib.crc32(own), *([own] if ids else [])))
+                    rows.append((doc_id, n, at // 4, len(own) // 4, zlib.crc32(own), number, *([own] if ids else [])))
+                    number += 1
                     kept += len(own) if ids else 40
                 if kept > 1 << 24:
                     yield out(rows)
                     rows, kept = [], 0
             if rows:
                 yield out(rows)
+        release()
 
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if ids else [])]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if ids else [])]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -66,42 +73,80 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, ids: bool = Fals
 
 
 class Complements:
-    """Available lengths by count; finds one, two or three of them with a given sum."""
+    """Available lengths by count, and an index of the sums of one, two and three of them.
+
+    ``pairs`` and ``triples`` have, for every sum, how many combinations of available lengths
+    make it, none of which needs a length more often than it is left. A length counts as
+    available once, twice or three times; a change of that adds or removes the
+    combinations with it in one pass over the sums.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.left = counts
-        self.there = counts > 0
+        size = len(counts)
+        self.left, self.there = np.zeros(size, np.int64), np.zeros(size, bool)
+        self.pairs, self.triples = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for x in np.flatnonzero(counts).tolist():
+            self.put(x, int(counts[x]))
+
+    def _count(self, x: int, times: int, sign: int) -> None:
+        """Adds (or removes) the combinations that have x just ``times`` times; other lengths' are there."""
+        size = len(self.there)
+        others = np.flatnonzero(self.there[: max(0, size - times * x)])
+        others = others[others != x]
+        if times == 1:
+            if sign < 0:
+                self.pairs[others + x] -= 1
+            self.triples[x:] += sign * self.pairs[: size - x]  # pairs without x
+            if sign > 0:
+                self.pairs[others + x] += 1
+        elif times == 2 and 2 * x < size:
+            self.pairs[2 * x] += sign
+            self.triples[others + 2 * x] += sign
+        elif times == 3 and 3 * x < size:
+            self.triples[3 * x] += sign
+
+    def put(self, x: int, n: int) -> None:
+        """Length x is left n times from now on."""
+        before, after = min(int(self.left[x]), 3), min(n, 3)
+        for times in range(before + 1, after + 1):
+            self._count(x, times, 1)
+            self.there[x] = True
+        for times in range(before, after, -1):
+            self._count(x, times, -1)
+        self.left[x], self.there[x] = n, n > 0
 
     def take(self, lengths: tuple[int, ...], times: int) -> None:
         for x in lengths:
-            self.left[x] -= times
-            if not self.left[x]:
-                self.there[x] = False
+            self.put(x, int(self.left[x]) - times)
+
+    def fill(self, total: int) -> tuple[int, ...]:
+        """One, two or three available lengths of that sum, as the index has them; nothing if it has none."""
+        if self.there[total]:
+            return (total,)
+        if self.pairs[total]:
+            return self._pair(total, total)
+        return self._triple(total) if self.triples[total] else ()
 
-    def single(self, total: int) -> tuple[int, ...]:
-        return (total,) if self.there[total] else ()
+    def _pair(self, total: int, most: int, used: int = 0) -> tuple[int, ...]:
+        """The larger part as large as can be, ``most`` at most: it leaves the small lengths, which fit anywhere.
 
-    def pair(self, total: int) -> tuple[int, ...]:
-        """The larger part as large as can be: it leaves the small lengths, which fit anywhere."""
+        The larger part may equal ``used``, of which one is taken already.
+        """
         half = total // 2
         low = self.there[1 : half + 1]
         high = self.there[total - half : total][::-1]
-        for a in np.flatnonzero(low & high).tolist():
-            a += 1
-            if 2 * a != total or self.left[a] > 1:
-                return (total - a, a)
+        for a in (np.flatnonzero(low & high) + 1).tolist():
+            b = total - a
+            need = 1 + (a == b) + (b == used)
+            if b <= most and self.left[b] >= need and (a != used or a == b or self.left[a] > 1):
+                return (b, a)
         return ()
 
-    def triple(self, total: int) -> tuple[int, ...]:
-        for c in range(total - 2, (total - 1) // 3, -1):
-            if self.there[c]:
-                self.left[c] -= 1
-                self.there[c] = self.left[c] > 0
-                rest = self.pair(total - c)
-                self.left[c] += 1
-                self.there[c] = True
-                if rest and rest[0] <= c:
-                    return (c, *rest)
+    def _triple(self, total: int) -> tuple[int, ...]:
+        for c in np.flatnonzero(self.there[: total - 1])[::-1].tolist():
+            rest = self._pair(total - c, c, c) if total - c > 1 else ()
+            if rest:
+                return (c, *rest)
         return ()
 
 
@@ -115,7 +160,7 @@ def plan(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], i
         while index.left[length]:
             index.take((length,), 1)
             gap = limit - length
-            fill = () if not gap else index.single(gap) or index.pair(gap) or index.triple(gap)
+            fill = index.fill(gap) if gap else ()
             if gap and not fill:
                 rest[length] = int(index.left[length]) + 1
                 index.take((length,), rest[length] - 1)
@@ -176,13 +221,13 @@ def places(made: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
 
 
 def numbered(found: DataFrame, buckets: int) -> DataFrame:
-    """Adds ``number``: from 0 within each length, without gaps; a length's rows are split over buckets."""
-    keyed = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    """Adds ``number``: from 0 within each length, without gaps; a length's rows are split over buckets by ``row``."""
+    keyed = found.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     sums = keyed.groupBy("length", "bucket").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")
     first = sums.select("length", "bucket", before.alias("first"))
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
-    return keyed.withColumn("own", own).join(first, ["length", "bucket"]).withColumn("number", F.col("own") + F.col("first")).drop("own", "first", "bucket")
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
+    return keyed.withColumn("own", own).join(first, ["length", "bucket"]).withColumn("number", F.col("own") + F.col("first")).drop("own", "first", "bucket", "row")
 
 
 def pack(docs: DataFrame, spark: SparkSession, tokenizer: str, limit: int = LIMIT) -> DataFrame:
