@@ -125,3 +125,20 @@ def spec_pages(routes: DataFrame, spec: str) -> DataFrame:
         F.count_if(is_spec & ~F.col("has_page")).alias("spec_missing_page"),
         F.count_if(is_spec & F.col("route").startswith("/components/")).alias("component_spec_routes"),
     )
+
+
+def response_type_counts(responses: DataFrame, kind: str = "type") -> DataFrame:
+    """(type, n) of captured responses."""
+    return responses.groupBy(F.col(kind).alias("type")).agg(F.count("*").alias("n"))
+
+
+#: What a captured response scores for each property it has.
+SCORES = {"payload_title": 2, "meta_title": 2, "meta_path": 2, "meta_canon": 2, "has_sections": 3, "url_has_route": 8, "url_has_token": 3, "path_is_route": 10, "canon_is_token": 8, "title_is_token": 2, "url_fits_kind": 1}
+
+
+def response_score(properties: dict[str, Column]) -> Column:
+    """Sum of SCORES of the properties that hold; null counts as no."""
+    out = F.lit(0)
+    for name, holds in properties.items():
+        out = out + F.when(holds, SCORES[name]).otherwise(0)
+    return out.cast("long")

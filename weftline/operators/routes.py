@@ -111,3 +111,50 @@ def buckets(plan: DataFrame) -> DataFrame:
         .otherwise("accepted")
     )
     return plan.withColumn("bucket", bucket)
+
+
+#: Sources of a route candidate, from the most trusted on.
+SOURCES = ("site_meta", "nav_drawer", "sitemap", "rendered_nav")
+
+
+def candidate_priority(sources: Column) -> Column:
+    """Place of a candidate by the most trusted of the sources that name it."""
+    out = F.when(F.lit(False), 0)
+    for place, source in enumerate(SOURCES):
+        out = out.when(F.array_contains(sources, source), place)
+    return out.otherwise(len(SOURCES))
+
+
+def candidate_order(sources: Column, route: Column) -> list[Column]:
+    """The order in which candidates are tried: trusted sources, short routes, then by name."""
+    return [candidate_priority(sources), F.length(route), route]
+
+
+def site_meta_counts(entries: DataFrame) -> DataFrame:
+    """One row of counts of site-map entries (route, public, redirect, aliases): public, private, redirect and alias.
+
+    Private entries count as that alone, then those that redirect elsewhere; the rest is
+    public, with its aliases but for its own route.
+    """
+    hidden = ~F.coalesce("public", F.lit(True))
+    away = F.coalesce("redirect", F.lit("")) != ""
+    others = F.size(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a != F.col("route")))
+    open_ = ~hidden & ~away
+    return entries.agg(F.count_if(open_).alias("public"), F.count_if(hidden).alias("private"), F.count_if(~hidden & away).alias("redirect"), F.coalesce(F.sum(F.when(open_, others)), F.lit(0)).cast("long").alias("alias"))
+
+
+def rejected_summary(plan: DataFrame | None, coverage: DataFrame | None, graph: DataFrame | None, skipped: int = 0) -> DataFrame:
+    """One row: stale public routes and where their list is from, routes skipped by policy, routes without content.
+
+    plan and coverage: (route, stale, class), the plan preferred; graph: (route, status), which
+    tells best what has no content.
+    """
+    source = "routePlanSummary" if plan is not None else "coverageDiagnostics.fullRoutePlanSummary" if coverage is not None else "unavailable"
+    listed = plan if plan is not None else coverage
+    some = next(x for x in (listed, graph) if x is not None)
+    stale = F.count_if(F.col("stale") & (F.col("class") == "public-docs")) if listed is not None else F.lit(0).cast("long")
+    empty = F.count_if(F.col("class") == "non-content-index") if listed is not None else F.lit(0).cast("long")
+    one = some.agg(stale.alias("stale_public"), empty.alias("non_content"))
+    if graph is not None:
+        one = one.drop("non_content").crossJoin(graph.agg(F.count_if(F.col("status") == "nonContent").alias("non_content")))  # one row each
+    return one.select("stale_public", F.lit(source).alias("source"), F.lit(skipped).cast("long").alias("policy_skipped"), "non_content")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,17 +46,26 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.filter(F.split(body, " "), lambda w: w != "")).alias("term")).distinct()
 
 
+def edits(word: str) -> int:
+    """Typos that a query's word allows: a fifth of its letters, rounded."""
+    return int(0.2 * len(word) + 0.5)
+
+
+def near(term: Column, word: str) -> Column:
+    most = edits(word)
+    return (F.abs(F.length(term) - len(word)) <= most) & (F.levenshtein(term, F.lit(word), most) >= 0)
+
+
 def expanded(terms: DataFrame, query: list[str]) -> DataFrame:
-    """Terms that a query's words reach: equal, by prefix, or by one typo; weights in thousandths.
+    """Terms that a query's words reach: equal, by prefix, or by typos; weights in thousandths.
 
     The query's words are literals, so this is a filter on the term scan, not a join.
     """
     out = None
     for word in query:
         term = F.col("term")
-        near = (F.abs(F.length(term) - len(word)) <= 1) & (F.levenshtein(term, F.lit(word), 1) >= 0)
         weight = F.when(term == word, EXACT).when(term.startswith(word), PREFIX).otherwise(FUZZY)
-        own = terms.where(term.startswith(word) | near).select(F.lit(word).alias("query_term"), *terms.columns, weight.cast("long").alias("weight_milli"))
+        own = terms.where(term.startswith(word) | near(term, word)).select(F.lit(word).alias("query_term"), *terms.columns, weight.cast("long").alias("weight_milli"))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -72,7 +81,7 @@ def full_text(docs: DataFrame, query: list[str]) -> DataFrame:
     stats = counted.agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("average"))
     reach = F.lit(False)
     for word in query:
-        reach = reach | F.col("term").startswith(word) | ((F.abs(F.length("term") - len(word)) <= 1) & (F.levenshtein(F.col("term"), F.lit(word), 1) >= 0))
+        reach = reach | F.col("term").startswith(word) | near(F.col("term"), word)
     hits = counted.select("id", "length", F.explode("words").alias("term")).where(reach).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
     rows = expanded(hits.join(frequency, "term"), query).crossJoin(F.broadcast(stats))  # stats: one row

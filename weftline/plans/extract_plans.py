@@ -10,10 +10,10 @@ from ..sources.tables import table
 
 
 def acceptance_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines 1 to 4 of an order as attempts by the four methods: the first that is returned 'A' is accepted."""
+    """Lines of an order as attempts by the four methods in turn: the first method one of whose lines is returned 'A' is accepted."""
     c = F.col
     methods = F.array(*map(F.lit, extract.METHODS))
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select(c("l_orderkey").alias("page"), F.element_at(methods, c("l_linenumber").cast("int")).alias("method"), (c("l_returnflag") == "A").alias("ok"), F.concat("l_linestatus", c("l_linenumber").cast("string")).alias("reason"), c("l_partkey").alias("payload"))
+    rows = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("page"), F.element_at(methods, ((c("l_linenumber") - 1) % 4 + 1).cast("int")).alias("method"), (c("l_returnflag") == "A").alias("ok"), F.concat("l_linestatus", c("l_linenumber").cast("string")).alias("reason"), c("l_partkey").alias("payload"))
     return extract.accepted_attempts(rows).select("page", "method", "payload", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -60,7 +60,7 @@ def validation_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "acceptance_cascade": (acceptance_cascade, """WITH a AS (SELECT l_orderkey AS page, l_linenumber AS r, l_returnflag = 'A' AS ok, l_linestatus || l_linenumber AS reason, l_partkey AS payload FROM lineitem WHERE l_linenumber <= 4),
+    "acceptance_cascade": (acceptance_cascade, """WITH a AS (SELECT l_orderkey AS page, (l_linenumber - 1) % 4 + 1 AS r, l_returnflag = 'A' AS ok, l_linestatus || l_linenumber AS reason, l_partkey AS payload FROM lineitem),
 w AS (SELECT page, r, min(payload) AS payload FROM a WHERE ok GROUP BY page, r QUALIFY r = min(r) OVER (PARTITION BY page)),
 l AS (SELECT a.page, string_agg(reason, ',' ORDER BY a.r, reason) AS reasons FROM a LEFT JOIN w USING (page) WHERE NOT ok AND (w.r IS NULL OR a.r < w.r) GROUP BY a.page)
 SELECT p.page, coalesce(['direct-json', 'network-json', 'dom-fallback', 'failed'][w.r], 'failed') AS method, w.payload, coalesce(l.reasons, '') AS reasons FROM (SELECT DISTINCT page FROM a) p LEFT JOIN w USING (page) LEFT JOIN l USING (page)"""),

@@ -101,7 +101,7 @@ def reconcile_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tab_section_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A turn's target: the first turn of the same conversation with the same opening word, else of the same role."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 2).alias("head"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.nullif(F.regexp_extract(F.lower("text"), "[a-z0-9]+", 0), F.lit("")).alias("head"))
     targets = rows.where("turn % 2 = 1").select("conv_id", F.col("role"), F.col("head"), F.col("turn").alias("target"))
     left = rows.where("turn % 2 = 0").select("conv_id", "turn", "role", "head")
     return routes.match_ranked(left, targets, "conv_id", [("head", "head"), ("role", "role")]).select("conv_id", "turn", F.col("rule").cast("long").alias("rule"), "target")
@@ -334,7 +334,7 @@ m AS (SELECT route, slug, 1 AS rule FROM c JOIN e ON route = '/' || slug UNION A
 n AS (SELECT route, rule, count(DISTINCT slug) AS n, min(slug) AS slug FROM m GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY rule) AS r FROM n),
 s AS (SELECT c.route, b.slug, CASE WHEN rule = 1 THEN 'exact' WHEN rule = 2 THEN 'alternateSlug' WHEN n > 1 THEN 'rejectedAmbiguous' WHEN rule = 3 THEN 'contentIdentityMatch' WHEN rule = 4 THEN 'normalizedSlugMatch' ELSE 'rejectedStale' END AS status FROM c LEFT JOIN b ON b.route = c.route AND r = 1)
 SELECT route, status, CASE WHEN status <> 'rejectedAmbiguous' THEN slug END AS slug FROM s"""),
-    "tab_section_match": (tab_section_match, """WITH t AS (SELECT conv_id, turn, role, substr(text, 1, 2) AS head FROM conversations), m AS (
+    "tab_section_match": (tab_section_match, """WITH t AS (SELECT conv_id, turn, role, nullif(regexp_extract(lower(text), '[a-z0-9]+'), '') AS head FROM conversations), m AS (
   SELECT a.conv_id, a.turn, 1 AS rule, min(b.turn) AS target FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.head = b.head AND b.turn % 2 = 1 WHERE a.turn % 2 = 0 GROUP BY 1, 2
   UNION ALL SELECT a.conv_id, a.turn, 2, min(b.turn) FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.role = b.role AND b.turn % 2 = 1 WHERE a.turn % 2 = 0 GROUP BY 1, 2)
 SELECT conv_id, turn, min(rule)::BIGINT AS rule, arg_min(target, rule) AS target FROM m GROUP BY 1, 2"""),

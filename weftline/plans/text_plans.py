@@ -105,7 +105,7 @@ def structured_search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fulltext_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 in whole thousandths of all documents that a three-word query reaches, by prefix and one-letter typos."""
+    """BM25 in whole thousandths of all documents that a three-word query reaches, by prefix and typos."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
     return search.full_text(docs, ["worthless", "idiot", "nicht"]).select(F.col("id").alias("doc_id"), F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"), F.col("terms").alias("n_terms"))
 
@@ -231,14 +231,14 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), dl AS (SELECT d
 st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) * 1.0 / (SELECT count(*) FROM documents) AS avgdl),
 v AS (SELECT DISTINCT term FROM tf),
 x AS (SELECT query_term, term, CASE WHEN term = query_term THEN 1000 WHEN starts_with(term, query_term) THEN 375 ELSE 450 END AS w FROM q JOIN v ON starts_with(term, query_term)
-  OR (abs(length(term) - length(query_term)) <= 1 AND levenshtein(term, query_term) <= 1)),
+  OR (abs(length(term) - length(query_term)) <= floor(0.2 * length(query_term) + 0.5) AND levenshtein(term, query_term) <= floor(0.2 * length(query_term) + 0.5))),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT doc_id, floor(sum(w / 1000.0 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * 1000 + 0.5)::BIGINT AS score_milli, count(*) AS n_terms
 FROM x JOIN tf USING (term) JOIN dfs USING (term) JOIN dl USING (doc_id), st GROUP BY doc_id"""),
     "prefix_fuzzy_terms": (prefix_fuzzy_terms, rf"""WITH q AS (SELECT unnest(['idiot', 'clown', 'worthless']) AS query_term),
 v AS (SELECT DISTINCT unnest(string_split(n, ' ')) AS term FROM (SELECT {_NORM('text')} AS n FROM documents) WHERE n <> '')
 SELECT query_term, term, (CASE WHEN term = query_term THEN 1000 WHEN starts_with(term, query_term) THEN 375 ELSE 450 END)::BIGINT AS weight_milli FROM q JOIN v
-ON starts_with(term, query_term) OR (abs(length(term) - length(query_term)) <= 1 AND levenshtein(term, query_term) <= 1)"""),
+ON starts_with(term, query_term) OR (abs(length(term) - length(query_term)) <= floor(0.2 * length(query_term) + 0.5) AND levenshtein(term, query_term) <= floor(0.2 * length(query_term) + 0.5))"""),
     "search_excerpt": (search_excerpt, rf"""SELECT doc_id, trim(regexp_replace(substr(text, greatest(0, instr(lower(text), 'worthless') - 181) + 1, 500), '\s+', ' ', 'g'), ' ') AS excerpt FROM documents"""),
     "page_lookup_alias": (page_lookup_alias, rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_PATH}, '(?i)^pages/', ''), '[\\/]+', '/', 'g'), '(?i)\.md$', ''), '^/+|/+$', '', 'g') AS k0 FROM pages),
 c AS (SELECT page_id, CASE WHEN k0 = 'index' THEN '' ELSE k0 END AS k FROM b),
