@@ -75,6 +75,10 @@ def test_lists_and_explanations(snap):
     assert api.explain_resource_resolution(snap, "token-table:b").first()["told"] == "decoded"
     assert [r["route"] for r in api.docs_cache_diagnostics(snap, failed=True).collect()] == ["/a"]
     assert api.search_docs(snap, "loud buton").first()["path"] == "components/buttons/overview.md"
+    assert api.search_docs(snap, "usage").first()["path"] == "components/buttons/overview.md"  # a heading
+    unwritten = api.search_docs(snap, "loud buton").first()["score"]
+    api.build_search_index(snap)
+    assert snap.available("search/terms") and api.search_docs(snap, "loud buton").first()["score"] == pytest.approx(unwritten)
     assert api.docs_cache_status(snap).count() == 0  # no manifest: data, not an error
 
 

@@ -6,8 +6,10 @@ to fewer items, never to an error. Alternatives are tried in order, as COALESCE
 
 from __future__ import annotations
 
+import json as json_
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,9 +123,22 @@ def context_entries(systems: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "token", "pos", F.try_variant_get("e", "$.contextTags", "array<string>").alias("tags"), F.coalesce(F.try_variant_get(value, "$.undefined", "boolean"), F.lit(False)).alias("undefined"), F.to_json(value).alias("value"), alias_end(F.col("e")).alias("alias"))
 
 
-def alias_end(entry: Column, depth: int = 16) -> Column:
-    """Name at the end of the first-child chain of a reference tree, to a depth of 16."""
-    return F.coalesce(*(F.try_variant_get(entry, "$.referenceTree" + ".childNodes[0]" * d + ".tokenName", "string") for d in range(depth, -1, -1)))
+def alias_end(entry: Column) -> Column:
+    """Name at the end of the first-child chain of a reference tree, however long; the last one that has a name."""
+
+    @F.pandas_udf("string")
+    def follow(trees: pd.Series) -> pd.Series:
+        def end(tree: str | None) -> str | None:
+            node, name = json_.loads(tree) if tree else None, None
+            while isinstance(node, dict):
+                own, below = node.get("tokenName"), node.get("childNodes")
+                name = own if isinstance(own, str) else name
+                node = below[0] if isinstance(below, list) and below else None
+            return name
+
+        return trees.map(end)
+
+    return follow(F.to_json(F.try_variant_get(entry, "$.referenceTree", "variant")))
 
 
 def status_label(status: Column) -> Column:

@@ -11,18 +11,20 @@ from ..functions.text import content_hash, match_text
 SHORT, MINIMUM, ACCEPTED = 160, 80, 4
 
 
+def _repeated(keyed: DataFrame, key: str) -> DataFrame:
+    """(key, n, title of the first, path) of rows (key, seq, title, path) whose key occurs again: one row a member, no lists."""
+    groups = keyed.groupBy(key).agg(F.count("*").alias("n"), F.min_by("title", "seq").alias("title")).where("n > 1")
+    return keyed.select(key, "path").join(groups, key).select(key, "n", "title", "path")
+
+
 def duplicate_content(pages: DataFrame) -> DataFrame:
-    """Groups of pages (seq, text, markdown, title, path) of equal content: hash, n, title of the first, sorted paths."""
-    keyed = pages.where(F.length("text") >= SHORT).select(content_hash(F.col("markdown")).alias("hash"), "seq", "title", "path")
-    found = keyed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    return keyed.join(found, "hash").groupBy("hash").agg(F.count("*").alias("n"), F.min_by("title", "seq").alias("title"), F.array_sort(F.collect_list("path")).alias("paths"))
+    """Pages (seq, text, markdown, title, path) whose content others have too: hash, size of the group, title of its first, path."""
+    return _repeated(pages.where(F.length("text") >= SHORT).select(content_hash(F.col("markdown")).alias("hash"), "seq", "title", "path"), "hash")
 
 
 def duplicate_titles(pages: DataFrame) -> DataFrame:
-    """Groups of pages (seq, title, path) whose normalised title is the same."""
-    keyed = pages.select(match_text(F.col("title")).alias("key"), "seq", "title", "path").where("key <> ''")
-    found = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keyed.join(found, "key").groupBy("key").agg(F.count("*").alias("n"), F.min_by("title", "seq").alias("title"), F.array_sort(F.collect_list("path")).alias("paths"))
+    """Pages (seq, title, path) whose normalised title others have too: key, size of the group, title of its first, path."""
+    return _repeated(pages.select(match_text(F.col("title")).alias("key"), "seq", "title", "path").where("key <> ''"), "key")
 
 
 def short_pages(pages: DataFrame, text: Column) -> DataFrame:

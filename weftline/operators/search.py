@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import search_text, strip_frontmatter
+from ..functions.text import search_text
 
 #: Our own scoring: BM25 with these constants; an expanded term counts less than the word itself.
 K1, B = 1.2, 0.75
@@ -34,13 +36,6 @@ def structured(rows: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return matching(rows, query).orderBy("ord", "id").limit(limit)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf) of docs (id, body): one shuffle with map-side counts."""
-    body = search_text(F.col("body"))
-    terms = docs.select("id", F.explode(F.filter(F.split(body, " "), lambda w: w != "")).alias("term"))
-    return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
-
-
 def vocabulary(docs: DataFrame) -> DataFrame:
     body = search_text(F.col("body"))
     return docs.select(F.explode(F.filter(F.split(body, " "), lambda w: w != "")).alias("term")).distinct()
@@ -70,26 +65,41 @@ def expanded(terms: DataFrame, query: list[str]) -> DataFrame:
     return out
 
 
-def full_text(docs: DataFrame, query: list[str]) -> DataFrame:
-    """(id, score, terms) of all documents that a query reaches, by BM25 over expanded terms.
+class Index(NamedTuple):
+    """An inverted index over fields: postings (term, field, id, tf, length), terms (term, field, df), stats (field, n, average)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def index_of(docs: DataFrame, fields: Sequence[str] = ("body",)) -> Index:
+    """The index of docs (id and text fields); a null field has no words."""
+    split = lambda f: F.filter(F.split(search_text(F.coalesce(F.col(f), F.lit(""))), " "), lambda w: w != "")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), split(f).alias("words")) for f in fields]))
+    rows = docs.select("id", each.alias("f")).select("id", "f.field", "f.words", F.size("f.words").cast("long").alias("length"))
+    postings = rows.select("id", "field", "length", F.explode("words").alias("term")).groupBy("term", "field", "id", "length").agg(F.count("*").alias("tf")).select("term", "field", "id", "tf", "length")
+    stats = rows.groupBy("field").agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("average"))
+    return Index(postings, postings.groupBy("term", "field").agg(F.count("*").alias("df")), stats)
+
 
-    Only reached postings are shuffled: whole-corpus statistics come from one aggregate
-    of word counts, document lengths from the same scan.
+def ranked(index: Index, query: list[str]) -> DataFrame:
+    """(id, score, terms) of all documents that a query reaches, by BM25 over expanded terms, summed over fields.
+
+    Words are expanded on the terms; only the postings of reached terms are joined.
     """
-    body = F.filter(F.split(search_text(F.col("body")), " "), lambda w: w != "")
-    counted = docs.select("id", body.alias("words")).withColumn("length", F.size("words"))
-    stats = counted.agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("average"))
-    reach = F.lit(False)
-    for word in query:
-        reach = reach | F.col("term").startswith(word) | near(F.col("term"), word)
-    hits = counted.select("id", "length", F.explode("words").alias("term")).where(reach).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = expanded(hits.join(frequency, "term"), query).crossJoin(F.broadcast(stats))  # stats: one row
+    reached = expanded(index.terms, query)
+    rows = index.postings.join(reached, ["term", "field"]).join(F.broadcast(index.stats), "field")  # stats: one row a field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     return rows.groupBy("id").agg(F.sum(F.col("weight_milli") / 1000 * idf * saturation).alias("score"), F.count("*").alias("terms"))
 
 
+def full_text(docs: DataFrame, query: list[str], fields: Sequence[str] = ("body",)) -> DataFrame:
+    """ranked() over documents that have no written index."""
+    return ranked(index_of(docs, fields), query)
+
+
 def top(results: DataFrame, limit: int = 10) -> DataFrame:
     """The best results; ``limit`` is the search's own cap (1 to 25)."""
     if not 1 <= limit <= 25:
@@ -107,10 +117,20 @@ def lookup(rows: DataFrame, order: str, keys: str, wanted: list[str]) -> DataFra
     return rows.where(F.arrays_overlap(keys, F.array(*map(F.lit, wanted)))).orderBy(order).limit(1)
 
 
-SEARCH_INDEX = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", T.LongType()), T.StructField("tf", T.LongType())])
+SCHEMAS = {"postings": "term string, field string, id long, tf long, length long", "terms": "term string, field string, df long", "stats": "field string, n long, average double"}
+
+
+def write_index(docs: DataFrame, path: str, fields: Sequence[str] = ("body",)) -> Index:
+    """Writes the index as Parquet, clustered by term, so that a term prunes row groups, and reads it back.
+
+    Documents are split once; terms are counted from the written postings.
+    """
+    spark, made = docs.sparkSession, index_of(docs, fields)
+    made.postings.repartitionByRange("term", "field", "id").sortWithinPartitions("term", "field", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    made.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings").groupBy("term", "field").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    return read_index(spark, path)
 
 
-def write_index(docs: DataFrame, path: str) -> None:
-    """The inverted index as Parquet, clustered by term, so that a prefix prunes row groups."""
-    body = F.substring(strip_frontmatter(F.col("body")), 1, BODY_LIMIT)
-    postings(docs.withColumn("body", body)).repartitionByRange("term", "id").sortWithinPartitions("term", "id").select("term", "id", "tf").write.mode("overwrite").parquet(path)
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}") for name in Index._fields))

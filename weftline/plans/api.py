@@ -180,12 +180,25 @@ def docs_cache_status(s: Snapshot, fresh_hours: int = 24) -> DataFrame:
     return s.table("manifest").select("generated_at", "page_count", "health", (age < fresh_hours * 3_600_000).alias("fresh"))
 
 
+SEARCHED = ("title", "section", "headings", "body")
+
+
+def searched_pages(pages: DataFrame) -> DataFrame:
+    """Pages as the full-text index takes them: four fields, the body's first 30,000 characters."""
+    body = F.substring(text.strip_frontmatter(F.col("markdown")), 1, search.BODY_LIMIT)
+    return pages.where("markdown is not null").select(F.col("seq").alias("id"), "title", "section", F.array_join("headings", " ").alias("headings"), body.alias("body"))
+
+
+def build_search_index(s: Snapshot) -> search.Index:
+    """Writes the full-text index beside the tables of the snapshot's version; search_docs() then reads it."""
+    return search.write_index(searched_pages(s.table("pages")), f"{s.folder}/search", SEARCHED)
+
+
 def search_docs(s: Snapshot, query: str, limit: int | None = None) -> DataFrame:
     """Full text over title, section, headings and the first 30,000 characters of the body, best first, with excerpts."""
-    body = F.concat_ws(" ", "title", "section", F.array_join("headings", " "), F.substring(text.strip_frontmatter(F.col("markdown")), 1, search.BODY_LIMIT))
     pages = s.table("pages").where("markdown is not null")
-    hits = search.full_text(pages.select(F.col("seq").alias("id"), body.alias("body")), search.words(query) or ["\x00"])
-    best = search.top(hits, bounded("search_docs", limit))
+    index = search.read_index(s.spark, f"{s.folder}/search") if s.available("search/terms") else search.index_of(searched_pages(pages), SEARCHED)
+    best = search.top(search.ranked(index, search.words(query) or ["\x00"]), bounded("search_docs", limit))
     return best.join(pages, best["id"] == pages["seq"]).select("title", "url", "path", "section", "headings", "score", text.excerpt(text.strip_frontmatter(F.col("markdown")), query).alias("excerpt")).orderBy(F.desc("score"), "path")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, paths, text
 from ..operators import quality, search
-from ..sources.tables import table
+from ..sources.tables import table, written_folder
 
 _STRIP = lambda x: f"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({x}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'), chr(32) || chr(9) || chr(13) || chr(10))"""  # noqa: E731, E501
 _TITLE = f"CASE WHEN {_STRIP("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} <> '' THEN {_STRIP("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} ELSE {_STRIP("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} END"
@@ -107,7 +107,16 @@ def structured_search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fulltext_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 in whole thousandths of all documents that a three-word query reaches, by prefix and typos."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return search.full_text(docs, ["worthless", "idiot", "nicht"]).select(F.col("id").alias("doc_id"), F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"), F.col("terms").alias("n_terms"))
+    index = search.write_index(docs, written_folder(spark, "index"))
+    return search.ranked(index, ["worthless", "idiot", "nicht"]).select(F.col("id").alias("doc_id"), F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"), F.col("terms").alias("n_terms"))
+
+
+def fulltext_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over title, section, headings and body of all pages, summed over the fields."""
+    path = paths.url_path(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text.html_title(F.col("html")).alias("title"), F.regexp_extract(path, "^/([^/]*)", 1).alias("section"), F.substring("html", 1, 500).alias("headings"), F.col("html").alias("body"))
+    found = search.full_text(pages, ["example", "tion", "href"], ("title", "section", "headings", "body"))
+    return found.select(F.col("id").alias("page_id"), F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"), F.col("terms").alias("n_terms"))
 
 
 def prefix_fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,12 +148,12 @@ def list_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text"), F.col("text").alias("markdown"), F.col("source").alias("title"), F.col("doc_id").cast("string").alias("path"))
-    return quality.duplicate_content(docs).select("hash", "n", "title", F.array_join("paths", ",").alias("paths"))
+    return quality.duplicate_content(docs).select("hash", "n", "title", "path")
 
 
 def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), text.html_title(F.col("html")).alias("title"), F.col("url").alias("path"))
-    return quality.duplicate_titles(pages).select("key", "n", "title", F.array_join("paths", ",").alias("paths"))
+    return quality.duplicate_titles(pages).select("key", "n", "title", "path")
 
 
 def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +244,16 @@ x AS (SELECT query_term, term, CASE WHEN term = query_term THEN 1000 WHEN starts
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT doc_id, floor(sum(w / 1000.0 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * 1000 + 0.5)::BIGINT AS score_milli, count(*) AS n_terms
 FROM x JOIN tf USING (term) JOIN dfs USING (term) JOIN dl USING (doc_id), st GROUP BY doc_id"""),
+    "fulltext_fields": (fulltext_fields, rf"""WITH q AS (SELECT unnest(['example', 'tion', 'href']) AS query_term),
+f AS (SELECT page_id, 'title' AS field, {_TITLE} AS t FROM pages UNION ALL SELECT page_id, 'section', regexp_extract({_PATH}, '^/([^/]*)', 1) FROM pages UNION ALL SELECT page_id, 'headings', substr(html, 1, 500) FROM pages UNION ALL SELECT page_id, 'body', html FROM pages),
+t AS (SELECT page_id, field, unnest(string_split(n, ' ')) AS term FROM (SELECT page_id, field, {_NORM('t')} AS n FROM f) WHERE n <> ''),
+tf AS (SELECT page_id, field, term, count(*) AS tf FROM t GROUP BY ALL), dl AS (SELECT page_id, field, sum(tf) AS dl FROM tf GROUP BY ALL),
+st AS (SELECT field, (SELECT count(*) FROM pages) AS n, sum(dl) * 1.0 / (SELECT count(*) FROM pages) AS avgdl FROM dl GROUP BY 1),
+v AS (SELECT term, field, count(*) AS df FROM tf GROUP BY ALL),
+x AS (SELECT query_term, term, field, df, CASE WHEN term = query_term THEN 1000 WHEN starts_with(term, query_term) THEN 375 ELSE 450 END AS w FROM q JOIN v ON starts_with(term, query_term)
+  OR (abs(length(term) - length(query_term)) <= floor(0.2 * length(query_term) + 0.5) AND levenshtein(term, query_term) <= floor(0.2 * length(query_term) + 0.5)))
+SELECT page_id, floor(sum(w / 1000.0 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * 1000 + 0.5)::BIGINT AS score_milli, count(*) AS n_terms
+FROM x JOIN tf USING (term, field) JOIN dl USING (page_id, field) JOIN st USING (field) GROUP BY page_id"""),
     "prefix_fuzzy_terms": (prefix_fuzzy_terms, rf"""WITH q AS (SELECT unnest(['idiot', 'clown', 'worthless']) AS query_term),
 v AS (SELECT DISTINCT unnest(string_split(n, ' ')) AS term FROM (SELECT {_NORM('text')} AS n FROM documents) WHERE n <> '')
 SELECT query_term, term, (CASE WHEN term = query_term THEN 1000 WHEN starts_with(term, query_term) THEN 375 ELSE 450 END)::BIGINT AS weight_milli FROM q JOIN v
@@ -250,10 +269,10 @@ SELECT p_partkey, lookup, slug, k || CASE WHEN k LIKE '%ies' AND length(k) > 3 T
   || CASE WHEN k LIKE '%es' AND length(k) > 3 THEN ',' || substr(k, 1, length(k) - 2) ELSE '' END || CASE WHEN k LIKE '%s' AND length(k) > 2 THEN ',' || substr(k, 1, length(k) - 1) ELSE '' END AS forms,
   contains(lookup, 'a') OR contains(slug, 'red') AS matches FROM t"""),
     "list_components": (list_components, "SELECT regexp_extract(p_type, '^([^ ]+)', 1) AS component, arg_min(p_name, p_partkey) AS name, min(p_partkey) AS p_partkey FROM part WHERE regexp_extract(p_type, '^([^ ]+)', 1) <> '' GROUP BY 1"),
-    "duplicate_content": (duplicate_content, rf"""SELECT substr(sha256({_COLLAPSE(r"regexp_replace(text, '(?s)^---.*?---', '')")}), 1, 16) AS hash, count(*) AS n, arg_min(source, doc_id) AS title,
-  string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS paths FROM documents WHERE length(text) >= 160 GROUP BY 1 HAVING count(*) > 1"""),
-    "duplicate_titles": (duplicate_titles, rf"""SELECT {_COLLAPSE(r"regexp_replace(replace(lower(t), '&', ' and '), '[^a-z0-9]+', ' ', 'g')")} AS key, count(*) AS n, arg_min(t, page_id) AS title, string_agg(url, ',' ORDER BY url) AS paths
-  FROM (SELECT page_id, url, {_TITLE} AS t FROM pages) GROUP BY 1 HAVING count(*) > 1 AND key <> ''"""),
+    "duplicate_content": (duplicate_content, rf"""WITH d AS (SELECT substr(sha256({_COLLAPSE(r"regexp_replace(text, '(?s)^---.*?---', '')")}), 1, 16) AS hash, source, doc_id FROM documents WHERE length(text) >= 160),
+  g AS (SELECT hash, count(*) AS n, arg_min(source, doc_id) AS title FROM d GROUP BY 1 HAVING count(*) > 1) SELECT hash, n, title, doc_id::VARCHAR AS path FROM d JOIN g USING (hash)"""),
+    "duplicate_titles": (duplicate_titles, rf"""WITH d AS (SELECT {_COLLAPSE(r"regexp_replace(replace(lower(t), '&', ' and '), '[^a-z0-9]+', ' ', 'g')")} AS key, t, page_id, url FROM (SELECT page_id, url, {_TITLE} AS t FROM pages)),
+  g AS (SELECT key, count(*) AS n, arg_min(t, page_id) AS title FROM d GROUP BY 1 HAVING count(*) > 1 AND key <> '') SELECT key, n, title, url AS path FROM d JOIN g USING (key)"""),
     "short_documents": (short_documents, "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE length(text) < 160"),
     "quality_summary": (quality_summary, rf"""WITH g AS (SELECT substr(sha256({_COLLAPSE(r"regexp_replace(text, '(?s)^---.*?---', '')")}), 1, 16) AS h, count(*) AS n FROM documents WHERE length(text) >= 160 GROUP BY 1 HAVING count(*) > 1),
 t AS (SELECT {_COLLAPSE(r"regexp_replace(replace(lower(source), '&', ' and '), '[^a-z0-9]+', ' ', 'g')")} AS k, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1 AND k <> '')

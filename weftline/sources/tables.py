@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workers import ship
@@ -10,3 +13,13 @@ from ..workers import ship
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that a query writes, below the one that the cluster shares; a temporary one where all is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="weftline-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
