@@ -14,8 +14,10 @@ import re
 
 from tokenizers import Tokenizer
 
+from .words import held
+
 #: Words and pieces kept by one worker, and bytes of the words and their ids; a full cache is emptied and starts anew.
-CACHED, CACHED_BYTES = 600_000, 24 << 20
+CACHED, CACHED_BYTES = 400_000, 16 << 20
 #: Bytes of a text that are split into words at a time.
 SLICE = 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0d]").search
@@ -23,6 +25,7 @@ SPACE = re.compile(rb"[\x20\x09-\x0d]").search
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 PLAIN = re.compile(r"(?:[!-~À-ÖØ-öø-ÿ])+").fullmatch
 _loaded: dict[str, WordEncoder] = {}
+held.append(_loaded)
 
 
 class WordEncoder:

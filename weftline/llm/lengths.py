@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read, ship
 from .encoding import encoder
-from .words import flat, released
+from .words import flat, trim
 
 #: Context limits that the query answers beside the lengths that occur.
 LIMITS = (512, 1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072)
@@ -40,9 +40,10 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
             data = data.tobytes()
             sizes = [len(encode(data[a:b])) // 4 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["length"])
+        trim()
 
     ship(docs.sparkSession)
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(released(run), "length long")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "length long")
 
 
 def length_report(lengths: DataFrame, limits: Sequence[int] = ()) -> DataFrame:

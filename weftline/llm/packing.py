@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read
 from .encoding import encoder
-from .words import flat, release
+from .words import flat, trim
 
 LIMIT = 2048
 #: Pieces of one length are numbered in buckets of about so many rows.
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, ids: bool = Fals
                     rows, kept = [], 0
             if rows:
                 yield out(rows)
-        release()
+        trim()
 
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if ids else [])]
     names = [x.split()[0] for x in schema.split(", ")]

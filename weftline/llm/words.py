@@ -75,7 +75,11 @@ def binaries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def release() -> None:
+#: Caches that a worker holds from task to task; operators that don't use them empty them.
+held: list[dict] = []
+
+
+def trim() -> None:
     """Gives freed memory back to the system: workers live on and would keep it from the stages that follow."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
@@ -83,6 +87,13 @@ def release() -> None:
         trim(0)
 
 
+def release() -> None:
+    """Empties the worker's caches and gives their memory back."""
+    for cache in held:
+        cache.clear()
+    trim()
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, which gives its memory back when it ends."""
 
