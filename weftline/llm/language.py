@@ -197,7 +197,7 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Filter:
     u = F.pmod(F.xxhash64(F.lit("sample"), F.col("h")), F.lit(2**32)).cast("double")
     near = texts.join(per, "lang").withColumn("order", u * F.col("n")).where(F.col("order") < F.lit(2.0**32) * (1.5 * most + 100))
     sample = capped(near.select("h", "lang", "size", "order"), [F.col("order")], "size", most)
-    chosen = spark.createDataFrame([(r["h"], r["lang"]) for r in sample], "h long, lang string")
+    chosen = spark.createDataFrame(pa.table({"h": pa.array([r["h"] for r in sample], pa.int64()), "lang": pa.array([r["lang"] for r in sample], pa.string())}))
     rows = known.select("text", "h").join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # a number and a name for each of at most `most` rows
     found = rows.repartition(1).sortWithinPartitions("h").select("text", "lang").mapInArrow(train, "lang string, gram long").toPandas()
     langs = sorted(found["lang"].unique())

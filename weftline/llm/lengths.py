@@ -54,7 +54,7 @@ def length_report(lengths: DataFrame, limits: Sequence[int] = ()) -> DataFrame:
     The histogram is a written table: lengths are computed once, though it is read thrice.
     """
     spark = lengths.sparkSession
-    asked = spark.createDataFrame([(int(x), 0) for x in limits], "length long, n_docs long")
+    asked = spark.createDataFrame(pa.table({"length": pa.array([int(x) for x in limits], pa.int64()), "n_docs": pa.array([0] * len(limits), pa.int64())}))
     counted = lengths.groupBy("length").agg(F.count("*").alias("n_docs")).union(asked).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
     histogram = counted.withColumn("range", F.floor(F.col("length") / RANGE))
     histogram = Scratch(lengths.sparkSession, "lengths").write(histogram, "histogram")

@@ -104,7 +104,7 @@ def fit(labelled: DataFrame, texts: DataFrame, most: int = SAMPLE) -> tuple[np.n
     ids = bounded(labelled.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).distinct(), "doc_id", most)
     found = own.where(F.col("size") <= LONGEST).select("doc_id", "h", "size").join(F.broadcast(ids), "doc_id").distinct()  # two numbers for each of at most `most` rows
     sample = capped(found, [F.xxhash64(F.lit("sample"), "doc_id", "h")], "size", most)
-    chosen = spark.createDataFrame([(r["doc_id"], r["h"], r["label"]) for r in sample], "doc_id long, h long, label int")
+    chosen = spark.createDataFrame(pa.table({"doc_id": pa.array([r["doc_id"] for r in sample], pa.int64()), "h": pa.array([r["h"] for r in sample], pa.int64()), "label": pa.array([r["label"] for r in sample], pa.int32())}))
     rows = own.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "label"])  # three numbers for each of at most `most` rows
     rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "h", "label")
     found = rows.select("text", "label").mapInArrow(train, "bucket long, weight double").toPandas()
