@@ -61,13 +61,17 @@ def route_priority_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy("tier", "route", "page_id").limit(50)
 
 
+#: Payload shapes of captured responses, one for each class that a shape decides.
+SHAPES = ('{"system": {"tokenSets": []}}', '{"rows": [1]}', '{"content": {"sections": []}}', '{"title": "t", "contentBlocks": []}', '{"pathname": "/p"}', '{"resourceName": " r "}', '{"component": {"a": 1}, "id": "i7"}')
+
+
 def classify_url_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured responses: events' JSON under the paths of pages, classed by shape, then by path."""
+    """Captured responses classed by shape, then by path: an event's number says which payload it has, seven shapes or its own JSON."""
     url = F.concat(F.lit("/_dsm/data/dsdb-m3/"), F.col("event_type"), F.when(F.col("event_id") % 3 == 0, F.lit("/TOKEN_TABLE.x.json")).when(F.col("event_id") % 3 == 1, F.lit("/a.json")).otherwise(F.lit("/b")))
-    payload = F.try_parse_json("props")
-    kind = classify.response_type(F.col("path"), payload)
-    rows = table(spark, sf_dir, "events").select("event_id", "props", url.alias("path")).withColumn("kind", kind)
-    return rows.select("event_id", "kind", classify.resource_name(F.col("path"), F.col("props"), F.col("kind")).alias("name"))
+    number = (F.get_json_object("props", "$.k").cast("int") % 10 + 1).cast("int")
+    rows = table(spark, sf_dir, "events").select("event_id", url.alias("path"), F.coalesce(F.get(F.array(*map(F.lit, SHAPES)), number - 1), "props").alias("payload"))
+    rows = rows.withColumn("kind", classify.response_type(F.col("path"), F.try_parse_json("payload")))
+    return rows.select("event_id", "kind", classify.resource_name(F.col("path"), F.col("payload"), F.col("kind")).alias("name"))
 
 
 def json_path_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,9 +225,9 @@ QUERIES = {
     "route_priority_topk": (route_priority_topk, rf"""SELECT page_id, route, ({_PRIORITY('p')})::BIGINT AS tier,
   starts_with(p, '/blog') OR starts_with(p, '/articles') OR starts_with(p, '/news') OR regexp_matches(p, '^/20\d\d(/|$)') AS is_blog
   FROM (SELECT page_id, {_PATH} AS route, '/' || regexp_replace({_PATH}, '^/+', '') AS p FROM pages) ORDER BY tier, route, page_id LIMIT 50"""),
-    "classify_url_payload": (classify_url_payload, """SELECT event_id,
-  CASE event_id % 3 WHEN 0 THEN 'token-table' WHEN 1 THEN 'dsdb-resource' ELSE 'unknown-json-resource' END AS kind,
-  CASE event_id % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'a.json' ELSE 'b' END AS name FROM events"""),
+    "classify_url_payload": (classify_url_payload, """WITH e AS (SELECT event_id, (props->>'$.k')::INT % 10 AS s, event_id % 3 AS p FROM events),
+k AS (SELECT *, CASE WHEN s = 0 THEN 'token-table' WHEN s = 1 THEN 'status-table' WHEN s IN (2, 3) THEN 'content-page' WHEN s = 4 THEN 'page-metadata' WHEN s IN (5, 6) THEN 'dsdb-resource' WHEN p = 0 THEN 'token-table' WHEN p = 1 THEN 'dsdb-resource' ELSE 'unknown-json-resource' END AS kind FROM e)
+SELECT event_id, kind, CASE WHEN kind IN ('content-page', 'page-metadata') THEN NULL WHEN s = 5 THEN 'r' WHEN s = 6 THEN 'i7' WHEN kind = 'token-table' AND p = 0 THEN 'x' ELSE ['TOKEN_TABLE.x.json', 'a.json', 'b'][p + 1] END AS name FROM k"""),
     "json_path_coalesce": (json_path_coalesce, "SELECT event_id, nullif(trim(coalesce(props->>'$.result.id', props->>'$.id', props->>'$.k')), '') AS id FROM events"),
     "text_normalize": (text_normalize, rf"""SELECT doc_id, sha256({_COLLAPSE(r"regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')")}) AS match_sha,
   sha256({_NORM('text')}) AS search_sha, length({_NORM('text')})::BIGINT AS n FROM documents"""),
