@@ -143,13 +143,18 @@ def test_limits_that_no_document_has(spark):
     assert [(r["length"], r["docs_longer"], r["quantile"]) for r in nothing.collect()] == [(8, 0, None)]
 
 
-def test_long_texts_are_split_in_slices(monkeypatch):
+def test_slots_are_shared_and_emptied(monkeypatch):
     from weftline.llm import encoding
 
-    text = ("some wörds, and 12 more\t" * 200).encode()
-    whole = encoder(PATH).encode(text)
-    monkeypatch.setattr(encoding, "SLICE", 37)
-    assert encoder(PATH).encode(text) == whole
+    monkeypatch.setattr(encoding, "SLOT_BITS", 3)
+    monkeypatch.setattr(encoding, "IDS", 200)
+    own = encoding.WordEncoder(PATH)
+    for i in range(30):
+        texts = [f"Wörd{j} and, word-{j * i} <|endoftext|> {'x' * j}" for j in range(i, i + 6)] + ["", " \t"]
+        data = "".join(texts).encode()
+        ends = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        ids, at = own.encode_rows(np.frombuffer(data, np.uint8), ends)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [own.ids(t) for t in texts]
 
 
 def test_one_repeated_row_is_dealt_over_buckets(spark):

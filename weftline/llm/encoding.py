@@ -1,26 +1,26 @@
-"""Token ids of whole texts by a public tokenizer file, word by word with a cache.
+"""Token ids of whole texts by a public tokenizer file, for chunks of texts at once.
 
 The word-level vocabulary never joins characters across white space, so the ids of a
-text are those of its ASCII-white-space-separated words in a row; words repeat, so
-most are found in the cache. A word of ASCII or Latin-1 letters, digits and ASCII
-signs is cut by the tokenizer's own split rule, and its pieces are looked up; any
-other word goes to the tokenizer as it stands. tests/llm compare this with the
-tokenizer itself.
+text are those of its ASCII-white-space-separated words in a row; words repeat, so most
+have been met before. A chunk's words are hashed (64 bits) and looked up all together in
+a table with a slot for each of the hash's first bits, which says where a word's ids stand
+in one array; only words that aren't in it are tokenized, and take their slots. One of ASCII or Latin-1 letters, digits and ASCII signs
+is cut by the tokenizer's own split rule and its pieces are tokenized; any other goes to
+the tokenizer as it stands. tests/llm compare this with the tokenizer itself.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
+import numpy as np
 from tokenizers import Tokenizer
 
-from .words import held
+from .words import NOT_SPACE, U, Words, held
 
-#: Words and pieces kept by one worker, and bytes of the words and their ids; a full cache is emptied and starts anew.
-CACHED, CACHED_BYTES = 400_000, 16 << 20
-#: Bytes of a text that are split into words at a time.
-SLICE = 1 << 20
-SPACE = re.compile(rb"[\x20\x09-\x0d]").search
+#: Slots (a power of two) and ids kept by one worker: 44 MB. A full array of ids is emptied, and so are the slots.
+SLOT_BITS, IDS = 20, 7_000_000
 #: The tokenizer's split rule, on the characters of PLAIN after lower-casing.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 PLAIN = re.compile(r"(?:[!-~À-ÖØ-öø-ÿ])+").fullmatch
@@ -33,49 +33,68 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.kept = 0
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.shown = {b: chr(b) if b in letters else chr(next(rest)) for b in range(256)}
+        self.tokenize = self.tokenizer.model.tokenize
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys = np.full(1 << SLOT_BITS, 2**64 - 1, U)
+        self.keys[-1] = 0  # no slot has a key that belongs to it
+        self.starts, self.sizes = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
+        self.known, self.n = np.empty(1 << 16, np.uint32), 0
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize("".join(self.shown[b] for b in piece.encode()))]
-            got = self.pieces[piece] = b"".join(i.to_bytes(4, "little") for i in ids)
-        return got
-
-    def _word(self, word: bytes) -> bytes:
+    def _word(self, word: bytes, pieces: dict[str, list[int]]) -> list[int]:
         text = word.decode()
-        if PLAIN(text) and "<|" not in text:
-            got = b"".join(map(self._piece, PIECES.findall(text.lower())))
-        else:
-            got = b"".join(i.to_bytes(4, "little") for i in self.ids(text))
-        self.words[word] = got
-        self.kept += len(word) + len(got)
-        return got
+        if not PLAIN(text) or "<|" in text:
+            return self.ids(text)
+        out: list[int] = []
+        for piece in PIECES.findall(text.lower()):
+            got = pieces.get(piece)
+            if got is None:
+                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+                got = pieces[piece] = [t.id for t in self.tokenize(shown)]
+            out += got
+        return out
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of the ids of these words, which are put behind the others."""
+        pieces: dict[str, list[int]] = {}
+        made = [self._word(w, pieces) for w in words]
+        sizes = np.array([len(x) for x in made], np.int32)
+        starts = (self.n + np.cumsum(sizes) - sizes).astype(np.int32)
+        total = self.n + int(sizes.sum())
+        if total > len(self.known):
+            self.known = np.concatenate([self.known[: self.n], np.empty(total, np.uint32)])
+        self.known[self.n : total] = np.fromiter(chain.from_iterable(made), np.uint32, total - self.n)
+        self.n = total
+        return starts, sizes
+
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of a chunk of UTF-8 texts, and the offsets of the rows in them."""
+        if self.n > IDS:
+            self._empty()
+        words = Words(data, offsets, NOT_SPACE, lower=False)
+        slot = (words.hashes >> U(64 - SLOT_BITS)).astype(np.int64)
+        starts, own = self.starts[slot], self.sizes[slot]
+        missing = np.flatnonzero(self.keys[slot] != words.hashes)
+        if len(missing):
+            keys, first, inverse = np.unique(words.hashes[missing], return_index=True, return_inverse=True)
+            new, sizes = self._learn([words.word(i) for i in missing[first].tolist()])
+            starts[missing], own[missing] = new[inverse], sizes[inverse]
+            at = slot[missing[first]]
+            self.keys[at], self.starts[at], self.sizes[at] = keys, new, sizes
+        ends = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(own, out=ends[1:])
+        return self.known[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], own)], ends[words.rows]
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > CACHED or len(self.pieces) > CACHED or self.kept > CACHED_BYTES:
-            self.words.clear()
-            self.pieces.clear()
-            self.kept = 0
-        get, new = self.words.get, self._word
-        if len(text) <= SLICE:
-            return b"".join([get(w) or new(w) for w in text.split()])
-        out, low = [], 0
-        while low < len(text):
-            end = SPACE(text, low + SLICE)
-            high = end.start() if end else len(text)
-            out.append(b"".join([get(w) or new(w) for w in text[low:high].split()]))
-            low = high
-        return b"".join(out)
+        return self.encode_rows(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].astype("<u4").tobytes()
 
 
 def encoder(path: str) -> WordEncoder:

@@ -16,13 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, read, ship
 from .encoding import encoder
-from .words import flat, trim
+from .words import chunks
 
 #: Context limits that the query answers beside the lengths that occur.
 LIMITS = (512, 1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072)
@@ -34,13 +35,9 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row for each document: its length in tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for batch in batches:
-            data, offsets = flat(batch.column(0))
-            data = data.tobytes()
-            sizes = [len(encode(data[a:b])) // 4 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["length"])
-        trim()
+        encode = encoder(tokenizer).encode_rows
+        for _, data, offsets in chunks(batches, keep=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(encode(data, offsets)[1]))], ["length"])
 
     ship(docs.sparkSession)
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "length long")

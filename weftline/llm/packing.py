@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read
 from .encoding import encoder
-from .words import flat, trim
+from .words import chunks
 
 LIMIT = 2048
 #: Pieces of one length are numbered in buckets of about so many rows.
@@ -45,23 +45,17 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, ids: bool = Fals
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + ", ids binary" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = encoder(tokenizer).encode, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            data, offsets = flat(batch.column(1))
-            data, rows, kept = data.tobytes(), [], 0
-            for doc_id, low, high in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                all_ids = encode(data[low:high]) + bytes(4)
+        encode, number = encoder(tokenizer).encode_rows, TaskContext.get().partitionId() << 40
+        for own_rows, data, offsets in chunks(batches, keep=True):
+            found, ends = encode(data, offsets)
+            rows = []
+            for doc_id, low, high in zip(own_rows.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                all_ids = found[low:high].astype("<u4").tobytes() + bytes(4)
                 for n, at in enumerate(range(0, len(all_ids), 4 * limit)):
                     own = all_ids[at : at + 4 * limit]
                     rows.append((doc_id, n, at // 4, len(own) // 4, zlib.crc32(own), number, *([own] if ids else [])))
                     number += 1
-                    kept += len(own) if ids else 40
-                if kept > 1 << 24:
-                    yield out(rows)
-                    rows, kept = [], 0
-            if rows:
-                yield out(rows)
-        trim()
+            yield out(rows)
 
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if ids else [])]
     names = [x.split()[0] for x in schema.split(", ")]

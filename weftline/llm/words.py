@@ -106,8 +106,8 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return whole
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of about CHUNK_BYTES of text (one row at least), with bytes and offsets."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", keep: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of about CHUNK_BYTES of text (one row at least), with bytes and offsets. keep: the worker's caches stay."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -117,7 +117,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK_BYTES, "right")) - 1)
             yield batch.slice(low, high - low), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
             low = high
-    release()
+    trim() if keep else release()
 
 
 class Words:
@@ -127,8 +127,8 @@ class Words:
     each of its own and some arrays as long as its words are many.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = NOT_SPACE, hashed: bool = True):
-        data = LOWER[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = NOT_SPACE, hashed: bool = True, lower: bool = True):
+        data = LOWER[data] if lower else data
         n = len(data)
         starts, ends = [], []
         for low in range(0, n, CHUNK_BYTES):
