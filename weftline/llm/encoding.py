@@ -21,6 +21,8 @@ from .words import NOT_SPACE, U, Words, held
 
 #: Slots (a power of two) and ids kept by one worker: 44 MB. A full array of ids is emptied, and so are the slots.
 SLOT_BITS, IDS = 20, 7_000_000
+#: Words whose ids are gathered at a time.
+STEP = 500_000
 #: The tokenizer's split rule, on the characters of PLAIN after lower-casing.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 PLAIN = re.compile(r"(?:[!-~À-ÖØ-öø-ÿ])+").fullmatch
@@ -90,7 +92,12 @@ class WordEncoder:
             self.keys[at], self.starts[at], self.sizes[at] = keys, new, sizes
         ends = np.zeros(len(own) + 1, np.int64)
         np.cumsum(own, out=ends[1:])
-        return self.known[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], own)], ends[words.rows]
+        out = np.empty(ends[-1], np.uint32)
+        for low in range(0, len(own), STEP):
+            part = slice(low, low + STEP)
+            at, size = ends[low], int(own[part].sum())
+            out[at : at + size] = self.known[np.arange(size) + np.repeat(starts[part] - (ends[:-1][part] - at), own[part])]
+        return out, ends[words.rows]
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian unsigned 32-bit numbers."""
