@@ -145,6 +145,14 @@ def status_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", F.array_join("t.headers", ",").alias("headers"), F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "=")), ";").alias("rows"))
 
 
+def token_value_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as token values of every shape, with sizes and weights of their own."""
+    n, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    shapes = ('{"color": {"red": 1, "blue": 0.5}}', '{"color": {"green": 0.2, "alpha": 0.255}}', '{"length": {"unit": "DIPS", "value": #}}', '{"length": {"unit": "PERCENT"}}', '{"shape": {"family": "ROUND", "defaultSize": {"unit": "POINTS", "value": #.5}, "corners": [{"unit": "DIPS", "value": 1}, {"unit": "DIPS"}]}}', '{"type": {"fontNames": ["A", "B"], "fontWeight": #, "lineHeight": {"unit": "SP", "value": 20}}}', '{"axis": {"tag": "wght", "value": #}}', '{"tracking": {"values": [{"unit": "SP", "value": #}, 3]}, "undefined": false}', '{"undefined": true, "x": 1}', '{"odd": {"red": "no"}}', "broken")
+    json = F.replace(F.element_at(F.array(*map(F.lit, shapes)), (n % 11 + 1).cast("int")), F.lit("#"), size)
+    return table(spark, sf_dir, "part").select("p_partkey", tokens.resolved_value(json, F.when(n % 11 == 6, "AXIS_VALUE")).alias("shown"))
+
+
 _SCORE = " + ".join(f"CASE WHEN {holds} THEN {quality.SCORES[name]} ELSE 0 END" for name, holds in {"payload_title": "o_orderstatus = 'F'", "meta_path": "o_totalprice > 100000", "has_sections": "o_custkey % 10 = 1", "url_has_route": "o_orderpriority = '1-URGENT'", "path_is_route": "o_custkey % 3 = 0", "title_is_token": "o_custkey % 2 = 0 AND o_custkey % 5 = 0", "url_fits_kind": "o_orderkey % 7 < 3"}.items())
 _LIST = lambda items: ", ".join(f"'{x}'" for x in items)
 _STARTS = lambda items: "(" + " OR ".join(f"starts_with(route, '{x}')" for x in items) + ")"
@@ -193,5 +201,6 @@ SELECT unnest(range(19)) AS place, unnest(['enough-pages', 'page-count-matches',
     "text_helpers": (text_helpers, r"""WITH p AS (SELECT *, 'https://i/x' || CASE page_id % 3 WHEN 0 THEN '=w' || (page_id % 1200) WHEN 1 THEN '=s0' ELSE '=h20' END AS i, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]+', ''), '^/+', '') AS path FROM pages)
 SELECT page_id, regexp_replace(path, '/+$', '') AS promotion, regexp_replace(regexp_replace(lower(' The ' || url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS kebab, regexp_replace(url, '[^a-zA-Z0-9._-]+', '_', 'g') AS segment,
   CASE WHEN page_id % 3 = 1 OR (page_id % 3 = 0 AND page_id % 1200 < 800) THEN 'https://i/x=w1600' ELSE i END AS image, 'a\|b\\ ' || url AS cell, 'designSystems_a_components_c' || page_id AS resource FROM p"""),
+    "token_value_shapes": (token_value_shapes, """SELECT p_partkey, [ '#ff0080', 'rgba(0, 51, 0, 0.26)', p_size || 'dp', '0percent', 'ROUND ' || p_size || '.5sp 1dp, 0dp', 'A, B ' || p_size || ' 20sp', '{"tag":"wght","value":' || p_size || '}', p_size || 'sp, 3', NULL, NULL, NULL][p_partkey % 11 + 1] AS shown FROM part"""),
     "status_tables": (status_tables, """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'A,B' WHEN 1 THEN 'Platform,Status' END AS headers, CASE s_suppkey % 3 WHEN 0 THEN s_name || '=2' WHEN 1 THEN '[W](u/' || s_suppkey || ')=Done;' || s_name || '=In progress' END AS rows FROM supplier"""),
 }
