@@ -14,10 +14,11 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import ship
+from .words import trim
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,9 +78,21 @@ class Scratch:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def measured(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+        """write(), and aggregates of df that are taken while it is written; those that saw no row are left out."""
+        seen = Observation()
+        out = self.write(df.observe(seen, *(m.alias(n) for n, m in measures.items())), name)
+        return out, {n: v for n, v in seen.get.items() if v is not None}
+
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """write(), and how many rows were written."""
+        out, seen = self.measured(df, name, n=F.count(F.lit(1)))
+        return out, seen.get("n", 0)
+
     def sweep(self) -> None:
         """Has the driver collect its garbage: only then Spark deletes shuffle files of plans that are done with."""
         gc.collect()
+        trim()
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, name: str = "") -> None:

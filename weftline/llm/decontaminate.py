@@ -274,11 +274,12 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc, hit_words, hit_items), sorted lists, of the texts of docs (doc, text) that have hits."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    items = scratch.write(rows.mapInArrow(_items(window, coverage), "item_id string, need int, words binary"), "items")
-    total, least = items.agg(F.coalesce(F.sum(F.octet_length("words")) / 8, F.lit(0)).cast("long"), F.min(F.when(F.col("need") > 1, F.col("need")))).first()
+    size = F.sum((F.octet_length("words") / 8).cast("long"))
+    items, seen = scratch.measured(rows.mapInArrow(_items(window, coverage), "item_id string, need int, words binary"), "items", words=size, least=F.min(F.when(F.col("need") > 1, F.col("need"))))
+    total, least = seen.get("words", 0), seen.get("least")
     found = docs.mapInArrow(_stretches(sieve_of(items), least or 2, window - 1), "doc long, first int, words binary")
-    stretches = scratch.write(found, "stretches")
-    blocks, salts = (max(1, -(-int(n) // most)) for n, most in ((total, BLOCK_WORDS), (stretches.agg(F.coalesce(F.sum(F.octet_length("words")) / 8, F.lit(0))).first()[0], SHARE)))
+    stretches, seen = scratch.measured(found, "stretches", words=size)
+    blocks, salts = (max(1, -(-n // most)) for n, most in ((total, BLOCK_WORDS), (seen.get("words", 0), SHARE)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = lambda kind: F.lit(None).cast(kind)
     own = items.withColumn("block", F.pmod(F.xxhash64("words", "item_id"), F.lit(blocks)).cast("int")).select("block", each(salts).alias("salt"), F.lit(0).alias("turn"), "item_id", "need", none("long").alias("doc"), none("int").alias("first"), "words")

@@ -2,7 +2,7 @@
 
 Every step is an aggregate with map-side combine and an equi-join, so a node with a
 third of all links is split like any skewed join key; nothing is gathered to the
-driver but one row of totals a round. Each round is a written table.
+driver but a count and a checksum a round, taken while its table is written.
 """
 
 from __future__ import annotations
@@ -31,14 +31,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Nulls and loops are ignored. Nodes without edges don't appear. No edges: no rows.
     """
     now = scratch.write(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    total, before, turn = F.bit_xor(F.xxhash64("a", "b")), None, 0
+    before, turn = None, 0
     while True:
         turn += 1
-        nxt = scratch.write(_step(_step(now, True), False), f"{name}-{turn}")
-        seen = nxt.agg(F.count("*"), total).first()
+        nxt, seen = scratch.measured(_step(_step(now, True), False), f"{name}-{turn}", n=F.count(F.lit(1)), print=F.bit_xor(F.xxhash64("a", "b")))
         scratch.drop(f"{name}-{turn - 1}")
         now = nxt
-        if seen == before or not seen[0]:
+        if seen == before or not seen.get("n"):
             break
         before = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -199,9 +199,9 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Filter:
     sample = capped(near.select("h", "lang", "size", "order"), [F.col("order")], "size", most)
     chosen = spark.createDataFrame(pa.table({"h": pa.array([r["h"] for r in sample], pa.int64()), "lang": pa.array([r["lang"] for r in sample], pa.string())}))
     rows = known.select("text", "h").join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # a number and a name for each of at most `most` rows
-    found = rows.repartition(1).sortWithinPartitions("h").select("text", "lang").mapInArrow(train, "lang string, gram long").toPandas()
-    langs = sorted(found["lang"].unique())
-    return Filter(langs, [x[x > 0] for x in (found["gram"][found["lang"] == lang].to_numpy(np.int64) for lang in langs)])
+    found = rows.repartition(1).sortWithinPartitions("h").select("text", "lang").mapInArrow(train, "lang string, gram long").toArrow()
+    langs = sorted(pc.unique(found["lang"]).to_pylist())
+    return Filter(langs, [x[x > 0] for x in (found["gram"].filter(pc.equal(found["lang"], lang)).to_numpy() for lang in langs)])
 
 
 def predict(docs: DataFrame, model: Filter) -> DataFrame:

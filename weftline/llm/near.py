@@ -285,17 +285,17 @@ def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch:
 
     # Finer bands and other pivots for the nodes of buckets that are in several components.
     now, keys = still_open(members, found, scratch, "open")
-    loose = scratch.write(now.join(keys.select("key"), "key").select("node", "component").distinct(), "loose")
+    loose, some = scratch.counted(now.join(keys.select("key"), "key").select("node", "component").distinct(), "loose")
     scratch.drop("first-members")
     scratch.sweep()
-    if loose.limit(1).count():
+    if some:
         sets = full.withColumnRenamed("f1", "node").join(loose, "node")
         finer = scratch.write(sets.select("node", "component", "items").mapInArrow(_finer, "node long, component long, bands array<long>"), "finer")
         members = gathered(finer.withColumn("rank", F.lit(0)), [F.xxhash64(F.lit(i), F.col("node")) for i in range(PIVOTS)], scratch, "second")
         known = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = scratch.write(stars(members).join(known, ["a", "b"], "left_anti"), "finer-pairs")
-        more = scratch.write(confirmed(pairs, full, num, den), "finer-links")
-        if more.limit(1).count():
+        more, some = scratch.counted(confirmed(pairs, full, num, den), "finer-links")
+        if some:
             edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
             found = scratch.write(components(edges.union(more), scratch, "second"), "finer-found")
 
@@ -307,8 +307,8 @@ def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch:
         blocks = sizes.select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("n") / BLOCK_CLASSES)).cast("int").alias("blocks"))
         dealt = now.select("key", "node", "component").join(scratch.write(blocks, "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("node").alias("f1"), "component")
-        last = scratch.write(dealt.join(full, "f1").groupBy("key", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"), "block-links")
-        if last.limit(1).count():
+        last, some = scratch.counted(dealt.join(full, "f1").groupBy("key", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"), "block-links")
+        if some:
             edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
             found = components(edges.union(last), scratch, "last")
     found = scratch.write(found, "groups")

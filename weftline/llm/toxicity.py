@@ -107,8 +107,8 @@ def fit(labelled: DataFrame, texts: DataFrame, most: int = SAMPLE) -> tuple[np.n
     chosen = spark.createDataFrame(pa.table({"doc_id": pa.array([r["doc_id"] for r in sample], pa.int64()), "h": pa.array([r["h"] for r in sample], pa.int64()), "label": pa.array([r["label"] for r in sample], pa.int32())}))
     rows = own.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "label"])  # three numbers for each of at most `most` rows
     rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "h", "label")
-    found = rows.select("text", "label").mapInArrow(train, "bucket long, weight double").toPandas()
-    return found["bucket"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
+    found = rows.select("text", "label").mapInArrow(train, "bucket long, weight double").toArrow()
+    return found["bucket"].to_numpy(), found["weight"].to_numpy()
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "score") -> DataFrame:
