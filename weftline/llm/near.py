@@ -161,6 +161,11 @@ def _confirm(num: int, den: int):
     return released(run)
 
 
+def among(full: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """Whole sets (name, items) that a join with these nodes can need: the others aren't shuffled."""
+    return split_by_keys(full, "f1", nodes, name)[0].withColumnRenamed("f1", name)
+
+
 def confirmed(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets (f1, items) are linked; pairs: a written table.
 
@@ -169,8 +174,8 @@ def confirmed(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFram
     """
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
     own = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
-    members = own.join(full.withColumnRenamed("f1", "a"), "a").select("b", "salt", F.lit(1).alias("turn"), "a", "items")
-    pivots = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(full.withColumnRenamed("f1", "b"), "b")
+    members = own.join(among(full, pairs, "a"), "a").select("b", "salt", F.lit(1).alias("turn"), "a", "items")
+    pivots = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(among(full, pairs, "b"), "b")
     rows = members.union(pivots.select("b", "salt", F.lit(0).alias("turn"), F.col("b").alias("a"), "items"))
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "turn").mapInArrow(_confirm(num, den), "a long, b long")
 
@@ -289,7 +294,7 @@ def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch:
     scratch.drop("first-members")
     scratch.sweep()
     if some:
-        sets = full.withColumnRenamed("f1", "node").join(loose, "node")
+        sets = among(full, loose, "node").join(loose, "node")
         finer = scratch.write(sets.select("node", "component", "items").mapInArrow(_finer, "node long, component long, bands array<long>"), "finer")
         members = gathered(finer.withColumn("rank", F.lit(0)), [F.xxhash64(F.lit(i), F.col("node")) for i in range(PIVOTS)], scratch, "second")
         known = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -305,14 +310,16 @@ def linked(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch:
         one = keys.groupBy("print", "n").agg(F.min("key").alias("key"))
         sizes = now.join(one.select("key"), "key").join(weights, "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
         blocks = sizes.select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("n") / BLOCK_CLASSES)).cast("int").alias("blocks"))
-        dealt = now.select("key", "node", "component").join(scratch.write(blocks, "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        blocks = scratch.write(blocks, "blocks")
+        left = scratch.write(now.select("key", "node", "component").join(blocks, "key"), "dealt")
+        dealt = left.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("node").alias("f1"), "component")
-        last, some = scratch.counted(dealt.join(full, "f1").groupBy("key", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"), "block-links")
+        last, some = scratch.counted(dealt.join(among(full, left.select(F.col("node").alias("f1")), "f1"), "f1").groupBy("key", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"), "block-links")
         if some:
             edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
             found = components(edges.union(last), scratch, "last")
     found = scratch.write(found, "groups")
-    for name in ("open", "loose", "full", "pairs", "links", "found", "finer", "second-members", "finer-pairs", "finer-links", "finer-found", "finer-open", "blocks", "block-links"):
+    for name in ("open", "loose", "full", "pairs", "links", "found", "finer", "second-members", "finer-pairs", "finer-links", "finer-found", "finer-open", "blocks", "dealt", "block-links"):
         scratch.drop(name)
     scratch.sweep()
     return found
