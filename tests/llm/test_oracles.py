@@ -12,4 +12,4 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 def test_one_query_for_each_operator():
     names = set(registry.queries())
-    assert {n.split("_")[0] for n in names - {"pipeline"}} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in names - {"pipeline"}} == {f"op{n}" for n in range(1, 14)}

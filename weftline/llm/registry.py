@@ -18,6 +18,7 @@ MODULES = {
     "op8_media_columns": "media",
     "op9_chat_formatting": "chat",
     "op10_decontamination": "decontaminate",
+    "op11_quality_rules": "quality",
 }
 
 
