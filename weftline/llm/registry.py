@@ -19,6 +19,8 @@ MODULES = {
     "op9_chat_formatting": "chat",
     "op10_decontamination": "decontaminate",
     "op11_quality_rules": "quality",
+    "op12_token_alignment": "alignment",
+    "op13_periodic_runs": "periodic",
 }
 
 
