@@ -52,12 +52,24 @@ def page_metadata(json: Column) -> Column:
     return F.struct(text_at(v, *TITLE).alias("title"), text_at(v, *CANON).alias("canon_id"), path.alias("pathname"), mapped.alias("collection"))
 
 
+def shown_section(s: Column) -> Column:
+    """Whether a section isn't marked as hidden."""
+    hidden = lambda name: F.coalesce(F.try_variant_get(s, f"$.{name}", "boolean") == F.lit(False), F.lit(False))
+    return ~hidden("isVisible") & ~hidden("visible")
+
+
+def section_rows(lists: DataFrame, key: str) -> DataFrame:
+    """Visible sections of lists (key, items): key, section_pos, title, body."""
+    found = lists.select(key, F.posexplode("items").alias("section_pos", "s"))
+    shown = found.where(is_object(F.col("s")) & shown_section(F.col("s")))
+    return shown.select(key, "section_pos", F.coalesce(text_at(F.col("s"), "$.name", "$.title", "$.heading"), F.lit("Section")).alias("title"), F.col("s").alias("body"))
+
+
 def sections(rows: DataFrame, key: str, json: str) -> DataFrame:
-    """Visible sections of content pages: key, section_pos, title, body."""
+    """Visible sections of content pages at the known places: key, section_pos, title, body."""
     v = rows.select(key, variant(F.col(json)).alias("v"))
-    found = v.select(key, F.posexplode(F.coalesce(array_at(F.col("v"), "$.sections", "$.content.sections", "$.page.sections", "$.data.sections"), no_items())).alias("section_pos", "s"))
-    shown = is_object(F.col("s")) & ~F.coalesce(F.try_variant_get("s", "$.isVisible", "boolean") == F.lit(False), F.lit(False)) & ~F.coalesce(F.try_variant_get("s", "$.visible", "boolean") == F.lit(False), F.lit(False))
-    return found.where(shown).select(key, "section_pos", F.coalesce(text_at(F.col("s"), "$.name", "$.title", "$.heading"), F.lit("Section")).alias("title"), F.col("s").alias("body"))
+    places = array_at(F.col("v"), "$.sections", "$.content.sections", "$.page.sections", "$.data.sections")
+    return section_rows(v.select(key, F.coalesce(places, no_items()).alias("items")), key)
 
 
 def blocks(found: DataFrame, key: str) -> DataFrame:

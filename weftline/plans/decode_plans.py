@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import html_title
-from ..operators import decode, render
+from ..operators import decode, discover, render
 from ..sources import site
 from ..sources.tables import table
 
@@ -40,7 +40,29 @@ def site_meta_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.site_routes(files).select("route", "public", "document_id", F.array_join("aliases", ",").alias("aliases"))
 
 
+def discovered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as content JSON whose sections stand at no known place, at depths of their own, behind lists that are hidden or hold other things."""
+    n = F.col("page_id")
+    quoted = F.to_json(F.struct(F.substring("url", 1, 20).alias("t")))  # {"t":"..."}, as safe JSON
+    section = lambda name, extra, blocks='{"title":"T","chunks":[]}': F.concat(F.lit('{"z":1,"name":"'), name, F.lit('","a":'), quoted, F.lit(f'{extra},"blocks":[{blocks}]}}'))
+    good = F.concat(F.lit("["), section(F.concat(F.lit("S"), n.cast("string")), ""), F.lit(',7,{"visible":false,"chunks":[]},'), section(F.lit("more"), ""), F.lit("]"))
+    gone = F.concat(F.lit("["), section(F.lit("gone"), ',"isVisible":false', ""), F.lit("]"))
+    late = F.concat(F.lit("["), section(F.lit("late"), ""), F.lit("]"))
+    text = F.lit('"{\\"parts\\":[{\\"blocks\\":[]}]}"')  # a text that looks like sections
+    inner = F.concat(F.lit('{"note":'), text, F.lit(',"old":'), gone, F.lit(',"zz":{"deep":{"parts":'), good, F.lit(',"b":'), late, F.lit('}},"aa":{"parts":'), late, F.lit("}}"))
+    deep = (n % 6).cast("int")
+    inner = F.concat(F.repeat(F.lit('{"k":[[1],{"blocks":3},'), deep), inner, F.repeat(F.lit("]}"), deep))
+    json = F.when(n % 10 == 9, F.concat(F.lit('{"sections":['), section(F.lit("known"), ""), F.lit('],"q":'), inner, F.lit("}"))).when(n % 10 == 8, "{broken").when(n % 10 == 7, text).otherwise(inner)
+    found = discover.all_sections(table(spark, sf_dir, "pages").select("page_id", json.alias("json")), "page_id", "json")
+    blocks = decode.blocks(found, "page_id").groupBy("page_id", "section_pos").agg(F.count("*").alias("n_blocks"))
+    return found.join(blocks, ["page_id", "section_pos"], "left").select("page_id", F.col("section_pos").cast("long").alias("section_pos"), "title", F.sha2(F.try_variant_get("body", "$.a.t", "string"), 256).alias("own"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"))
+
+
+_OWN = "sha256(left(url, 20))"
+
 QUERIES = {
+    "discovered_sections": (discovered_sections, """SELECT page_id, 0 AS section_pos, CASE WHEN page_id % 10 = 9 THEN 'known' ELSE 'S' || page_id END AS title, OWN AS own, 1 AS n_blocks FROM pages WHERE page_id % 10 NOT IN (7, 8)
+UNION ALL SELECT page_id, 3, 'more', OWN, 1 FROM pages WHERE page_id % 10 < 7""".replace("OWN", _OWN)),
     "variant_decode_fixture": (variant_decode_fixture, "SELECT page_id, 0::BIGINT AS section_pos, 0::BIGINT AS block_pos, 'TEXT' AS kind, sha256(html) AS html_sha FROM pages"),
     "page_metadata_decode": (page_metadata_decode, "SELECT page_id, 'c' || page_id AS canon_id, url AS pathname, 'components' AS collection FROM pages"),
     "render_markdown": (render_markdown, None),

@@ -201,7 +201,7 @@ def anti_union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_resolution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    cells = table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("table"), c("l_partkey").alias("token"), (c("l_returnflag") == "N").alias("resolved"), F.when(c("l_returnflag") == "A", "missing-context").when(c("l_linenumber") == 1, "other").alias("reason"))
+    cells = table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("table"), c("l_partkey").alias("token"), (c("l_returnflag") == "N").alias("resolved"), F.when(c("l_linenumber") == 1, "other").when(c("l_returnflag") == "A", "missing-context-entry").when(c("l_linenumber") == 2, "upstream-empty").alias("reason"))
     return tokens.resolution(cells)
 
 
@@ -365,7 +365,9 @@ SELECT node, conv_id * 1000 + max(cur) AS "end", max(steps) AS steps FROM c GROU
     "resource_backfill": (resource_backfill, """SELECT p_partkey AS resource_id, array_to_string(list_sort(list(DISTINCT (l_suppkey % 7)::VARCHAR) FILTER (l_suppkey IS NOT NULL)), ',') AS pages FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 25 GROUP BY 1"""),
     "provenance_union": (provenance_union, "SELECT 'region:' || r_regionkey AS subject, r_name AS fact FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_name FROM nation UNION ALL SELECT 'customer:' || c_custkey, c_name FROM customer"),
     "anti_union_merge": (anti_union_merge, "SELECT s_suppkey AS key, s_name AS name FROM supplier UNION ALL SELECT c_custkey * 2, c_name FROM customer WHERE c_custkey * 2 NOT IN (SELECT s_suppkey FROM supplier)"),
-    "token_resolution_summary": (token_resolution_summary, """SELECT CASE WHEN l_returnflag = 'A' THEN 'missing-context' ELSE 'unclassified' END AS reason, count(*) AS cells, count(DISTINCT (l_suppkey, l_partkey)) AS rows, count(DISTINCT l_suppkey) AS tables FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1"""),
+    "token_resolution_summary": (token_resolution_summary, """WITH bad AS (SELECT l_suppkey AS t, l_partkey AS k, CASE WHEN l_linenumber <> 1 AND l_returnflag = 'A' THEN 'missing-context-entry' WHEN l_linenumber = 2 THEN 'upstream-empty' ELSE 'unclassified' END AS reason FROM lineitem WHERE l_returnflag <> 'N')
+SELECT r.reason, count(k) AS cells, count(DISTINCT CASE WHEN k IS NOT NULL THEN (t, k) END) AS rows, count(DISTINCT t) AS tables
+FROM (VALUES ('missing-alias-target'), ('missing-context-entry'), ('unsupported-value-type'), ('upstream-empty'), ('parser-bug'), ('unclassified')) AS r(reason) LEFT JOIN bad USING (reason) GROUP BY r.reason"""),
     "component_overview": (component_overview, f"""SELECT c_nationkey::BIGINT AS component, count(*) AS resources, {', '.join(f"count(*) FILTER (c_mktsegment = '{k}') AS {k}" for k in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))} FROM customer GROUP BY 1"""),
     "referential_integrity": (referential_integrity, " UNION ALL ".join(f"""SELECT {i}::BIGINT AS place, '{a}.{k}' AS stage, count(*) = 0 AS passed, count(*) AS bad, coalesce(array_to_string(list_sort((list('orphan: ' || item ORDER BY item))[1:10]), ','), '') AS reasons
   FROM (SELECT DISTINCT {k}::VARCHAR AS item FROM {a} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {p} FROM {b}))""" for i, (a, k, b, p) in enumerate([("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("labels", "doc_id", "documents", "doc_id"), ("documents", "doc_id", "labels", "doc_id")]))),
