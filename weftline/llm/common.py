@@ -110,18 +110,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Slots of a key filter; so many numbers at most are broadcast, whatever the keys are.
-SLOTS = 1 << 19
+#: Bits of a key filter, and how many of them one number holds: at most half a million numbers are broadcast, whatever the keys are.
+SLOTS, WIDTH = 1 << 25, 64
 
 
 def split_by_keys(rows: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows that may have one of the keys, rows that certainly have none), without a shuffle of rows.
 
-    Keys are hashed to SLOTS slots, and the taken slots, half a million numbers at most,
-    are broadcast. Where there are many more keys than slots all rows may have one, and
-    whoever joins them shuffles them all, with the same result.
+    Keys are hashed to SLOTS bits, which are put together to numbers of WIDTH bits after combining in
+    the tasks, and broadcast: SLOTS / WIDTH numbers at most. Of the rows that have none of n
+    keys, a share of 1 - exp(-n / SLOTS) is let through: 3 percent at a million keys, 26 at
+    ten million. Where there are many more keys than bits all rows may have one, and whoever
+    joins them shuffles them all, with the same result.
     """
     slot = lambda c: F.pmod(F.xxhash64(F.lit("slot"), F.col(c)), F.lit(SLOTS)).cast("int")
-    taken = F.broadcast(keys.select(slot(key).alias("__slot")).distinct())
-    own = slot(column) == F.col("__slot")
-    return rows.join(taken, own, "left_semi"), rows.join(taken, own, "left_anti")
+    bit = lambda c: F.pmod(slot(c), F.lit(WIDTH))
+    group = lambda c: F.floor(slot(c) / WIDTH).cast("int")
+    one = F.lit(1).cast("long")
+    part, mask = fresh(rows.columns, "part"), fresh(rows.columns, "mask")
+    masks = keys.select(group(key).alias(part), bit(key).alias("bit")).groupBy(part).agg(F.bit_or(F.call_function("shiftleft", one, F.col("bit"))).alias(mask))
+    marked = rows.join(F.broadcast(masks), group(column) == F.col(part), "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col(mask), bit(column)).bitwiseAND(one) == 1, F.lit(False))
+    return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
