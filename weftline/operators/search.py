@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,18 +52,80 @@ def near(term: Column, word: str) -> Column:
     return (F.abs(F.length(term) - len(word)) <= most) & (F.levenshtein(term, F.lit(word), most) >= 0)
 
 
-def expanded(terms: DataFrame, query: list[str]) -> DataFrame:
+def _cut(size: int, n: int) -> list[tuple[int, int]]:
+    """(start, length) of n pieces of a word of this size, as even as can be, the shorter ones first."""
+    short, longer = size // n, size % n
+    sizes = [short + (i >= n - longer) for i in range(n)]
+    return [(sum(sizes[:i]), sizes[i]) for i in range(n)]
+
+
+#: Longer terms have no pieces; a word that may reach them scans them.
+LONGEST = 64
+
+
+def _allowed(size: int) -> list[int]:
+    """The numbers of typos by which words of any length may reach a term of this size."""
+    return sorted({e for n in range(1, 2 * LONGEST) if (e := edits("x" * n)) and abs(n - size) <= e})
+
+
+def pieces(terms: DataFrame) -> DataFrame:
+    """terms with ``key``, a row for each piece of a term: what words with typos are looked up by.
+
+    A term at most e typos away from a word has one of its e + 1 pieces unchanged in it, moved
+    by e letters at most. A term is cut for each number of typos by which words of about its
+    length may reach it: a few rows a term. Terms of more than LONGEST letters have none.
+    """
+    cuts = [(size, e, i, at + 1, n) for size in range(1, LONGEST + 1) for e in _allowed(size) for i, (at, n) in enumerate(_cut(size, e + 1)) if n]
+    table = F.broadcast(terms.sparkSession.createDataFrame(cuts, "__size int, __e int, __i int, __at int, __n int"))  # LONGEST bounds it
+    rows = terms.join(table, F.length("term") == F.col("__size"))
+    key = F.concat_ws(":", "__size", "__e", "__i", F.substr("term", F.col("__at"), F.col("__n")))
+    return rows.withColumn("key", key).drop("__size", "__e", "__i", "__at", "__n")
+
+
+def piece_keys(word: str) -> list[str]:
+    """The keys of pieces() under which all terms within the word's typos are found."""
+    e, out = edits(word), set()
+    for size in range(max(1, len(word) - e), min(LONGEST, len(word) + e) + 1) if e else ():
+        for i, (at, n) in enumerate(_cut(size, e + 1)):
+            if n:
+                out |= {f"{size}:{e}:{i}:{word[p : p + n]}" for p in range(max(0, at - e), min(len(word) - n, at + e) + 1)}
+    return sorted(out)
+
+
+def with_typos(pieces: DataFrame, query: list[str]) -> DataFrame:
+    """(query_term, and the columns of pieces): terms within the typos of each word, by an equi-join on pieces.
+
+    A word has some dozens of keys; what they find is checked by its edit distance.
+    """
+    keys = [(word, key, edits(word)) for word in dict.fromkeys(query) for key in piece_keys(word)]
+    asked = F.broadcast(pieces.sparkSession.createDataFrame(keys, "query_term string, key string, typos int"))  # the words' keys
+    found = pieces.join(asked, "key").where((F.levenshtein("term", "query_term") <= F.col("typos")))
+    return found.drop("key", "typos").dropDuplicates()
+
+
+def _weight(term: Column, word: Column) -> Column:
+    return F.when(term == word, EXACT).when(term.startswith(word), PREFIX).otherwise(FUZZY).cast("long")
+
+
+def expanded(terms: DataFrame, query: list[str], by_piece: DataFrame | None = None) -> DataFrame:
     """Terms that a query's words reach: equal, by prefix, or by typos; weights in thousandths.
 
-    The query's words are literals, so this is a filter on the term scan, not a join.
+    Beginnings are a filter of the scan that prunes sorted terms. Typos are looked up in ``by_piece``,
+    the written pieces() of the terms; without them they are a filter of the scan as well.
     """
     out = None
     for word in query:
         term = F.col("term")
-        weight = F.when(term == word, EXACT).when(term.startswith(word), PREFIX).otherwise(FUZZY)
-        own = terms.where(term.startswith(word) | near(term, word)).select(F.lit(word).alias("query_term"), *terms.columns, weight.cast("long").alias("weight_milli"))
+        hit = term.startswith(word) | (near(term, word) if by_piece is None else F.lit(False))
+        if by_piece is not None and len(word) + edits(word) > LONGEST:
+            hit = hit | ((F.length(term) > LONGEST) & near(term, word))
+        own = terms.where(hit).select(F.lit(word).alias("query_term"), *terms.columns)
         out = own if out is None else out.unionByName(own)
-    return out
+    if by_piece is not None and query:
+        out = out.unionByName(with_typos(by_piece, query).select(*out.columns).where(~F.col("term").startswith(F.col("query_term"))))
+    if out is None:  # no words reach nothing
+        out = terms.select(F.lit("").alias("query_term"), *terms.columns).where(F.lit(False))
+    return out.withColumn("weight_milli", _weight(F.col("term"), F.col("query_term")))
 
 
 class Index(NamedTuple):
@@ -73,11 +136,16 @@ class Index(NamedTuple):
     stats: DataFrame
 
 
-def index_of(docs: DataFrame, fields: Sequence[str] = ("body",)) -> Index:
-    """The index of docs (id and text fields); a null field has no words."""
+def fielded(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(id, field, words, length) of docs (id and text fields); a null field has no words."""
     split = lambda f: F.filter(F.split(search_text(F.coalesce(F.col(f), F.lit(""))), " "), lambda w: w != "")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), split(f).alias("words")) for f in fields]))
-    rows = docs.select("id", each.alias("f")).select("id", "f.field", "f.words", F.size("f.words").cast("long").alias("length"))
+    return docs.select("id", each.alias("f")).select("id", "f.field", "f.words", F.size("f.words").cast("long").alias("length"))
+
+
+def index_of(docs: DataFrame, fields: Sequence[str] = ("body",)) -> Index:
+    """The index of docs (id and text fields); a null field has no words."""
+    rows = fielded(docs, fields)
     postings = rows.select("id", "field", "length", F.explode("words").alias("term")).groupBy("term", "field", "id", "length").agg(F.count("*").alias("tf")).select("term", "field", "id", "tf", "length")
     stats = rows.groupBy("field").agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("average"))
     return Index(postings, postings.groupBy("term", "field").agg(F.count("*").alias("df")), stats)
@@ -90,14 +158,26 @@ def ranked(index: Index, query: list[str]) -> DataFrame:
     """
     reached = expanded(index.terms, query)
     rows = index.postings.join(reached, ["term", "field"]).join(F.broadcast(index.stats), "field")  # stats: one row a field
+    return scored(rows)
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """(id, score, terms) of rows (id, tf, length, df, n, average, weight_milli): BM25 summed over terms and fields."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     return rows.groupBy("id").agg(F.sum(F.col("weight_milli") / 1000 * idf * saturation).alias("score"), F.count("*").alias("terms"))
 
 
 def full_text(docs: DataFrame, query: list[str], fields: Sequence[str] = ("body",)) -> DataFrame:
-    """ranked() over documents that have no written index."""
-    return ranked(index_of(docs, fields), query)
+    """ranked() over documents that have no written index: words that the query doesn't reach are dropped where they are read."""
+    rows = fielded(docs, fields)
+    stats = rows.groupBy("field").agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("average"))
+    words_of = rows.select("id", "field", "length", F.explode("words").alias("term"))
+    reached = words_of.where(reduce(lambda a, b: a | b, (F.col("term").startswith(w) | near(F.col("term"), w) for w in query)) if query else F.lit(False))
+    counted = reached.groupBy("term", "field", "id", "length").agg(F.count("*").alias("tf"))
+    counted = counted.withColumn("w", F.explode(F.array_compact(F.array(*[F.when(F.col("term").startswith(w) | near(F.col("term"), w), F.struct(F.lit(w).alias("query_term"), _weight(F.col("term"), F.lit(w)).alias("weight_milli"))) for w in query])))) if query else counted.withColumn("w", F.lit(None).cast("struct<query_term:string,weight_milli:bigint>"))
+    dfs = reached.select("term", "field", "id").distinct().groupBy("term", "field").agg(F.count("*").alias("df"))
+    return scored(counted.select("id", "term", "field", "tf", "length", "w.weight_milli").join(dfs, ["term", "field"]).join(F.broadcast(stats), "field"))  # stats: one row a field
 
 
 def top(results: DataFrame, limit: int = 10) -> DataFrame:

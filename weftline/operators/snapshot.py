@@ -62,25 +62,31 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, versio
     """
     for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-    _put(spark, f"{root}/CURRENT", version)
+    put_text(spark, f"{root}/CURRENT", version)
     return f"{root}/{version}"
 
 
-def current(spark: SparkSession, root: str) -> str | None:
-    """Folder of the published version; None before the first."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    fs = path.getFileSystem(conf)
+def get_text(spark: SparkSession, file: str) -> str | None:
+    """What a small file holds; None if there is none."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
     stream = fs.open(path)
     try:
-        return f"{root}/{jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 
 
-def _put(spark: SparkSession, file: str, text: str) -> None:
+def current(spark: SparkSession, root: str) -> str | None:
+    """Folder of the published version; None before the first."""
+    version = get_text(spark, f"{root}/CURRENT")
+    return None if version is None else f"{root}/{version}"
+
+
+def put_text(spark: SparkSession, file: str, text: str) -> None:
     """Puts a small file in place of the one there: a reader sees the old one or the new one."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path, staged = jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.hadoop.fs.Path(f"{file}.{uuid.uuid4().hex}")

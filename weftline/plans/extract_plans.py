@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, graph, validation
-from ..sources.tables import table
+from ..operators import extract, graph, validation, versions
+from ..sources.tables import Written, table
 
 
 def acceptance_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,41 @@ def validation_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("place", "stage", "passed", "findings", F.array_join("reasons", ",").alias("reasons"))
 
 
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").cast("long").alias("year"), F.col("o_orderstatus").alias("body"))
+
+
+_POST, _THIS_YEAR = "id long, year long, body string", 1997
+
+
+def version_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as posts of three versions: posts change in one year and go in another; old years are taken from the version before. Parts of the last manifest, and which version wrote them."""
+    posts, id_ = _posts(spark, sf_dir), F.col("id")
+    table_ = versions.Versions(spark, Written(spark, "versions").folder, F.col("year"))
+    table_.commit(posts.where(id_ % 10 != 1), "v1")
+    edited = posts.withColumn("body", F.when(F.col("year").isin(1993, _THIS_YEAR), F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    planned = edited.select("id").where(id_ % 7 != 3)
+    reusable = F.col("year") < _THIS_YEAR - 1
+    table_.commit(versions.next_version(planned, edited, table_.read(_POST), "id", reusable), "v2")
+    table_.commit(table_.read(_POST).where((F.col("year") != 1994) | (id_ % 2 == 0)), "v3")
+    found = table_.read(_POST).groupBy(F.col("year").cast("string").alias("part")).agg(F.count("*").alias("read"), F.count_if(F.col("body").endswith("!")).alias("edited"))
+    return table_.manifest().join(found, "part").select("part", "version", "rows", "read", "edited")
+
+
+def version_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the second of these versions: reused posts as they were, others as they are now."""
+    posts, id_ = _posts(spark, sf_dir), F.col("id")
+    before = posts.where(id_ % 10 != 1).withColumn("body", F.concat("body", F.lit("?")))
+    return versions.next_version(posts.where(id_ % 7 != 3).select("id"), posts, before, "id", F.col("year") < _THIS_YEAR - 1)
+
+
+_PLANNED = "SELECT o_orderkey AS id, year(o_orderdate) AS y, o_orderstatus AS body, y < 1996 AND id % 10 <> 1 AS old FROM orders WHERE id % 7 <> 3"
+
 QUERIES = {
+    "version_rows": (version_rows, f"SELECT id, y AS year, CASE WHEN old THEN body || '?' ELSE body END AS body FROM ({_PLANNED})"),
+    "version_parts": (version_parts, f"""WITH v2 AS (SELECT *, NOT old AND y IN (1993, 1997) AS edited FROM ({_PLANNED})), v3 AS (SELECT * FROM v2 WHERE y <> 1994 OR id % 2 = 0),
+n AS (SELECT year(o_orderdate) AS y, count(*) FILTER (o_orderkey % 10 <> 1) AS n1, bool_and((o_orderkey % 10 <> 1) = (o_orderkey % 7 <> 3)) AS same FROM orders GROUP BY 1)
+SELECT y::VARCHAR AS part, CASE WHEN y = 1994 THEN 'v3' WHEN any_value(same) AND NOT bool_or(edited) THEN 'v1' ELSE 'v2' END AS version, count(*) AS rows, count(*) AS read, count(*) FILTER (edited) AS edited FROM v3 JOIN n USING (y) GROUP BY y"""),
     "acceptance_cascade": (acceptance_cascade, """WITH a AS (SELECT l_orderkey AS page, (l_linenumber - 1) % 4 + 1 AS r, l_returnflag = 'A' AS ok, l_linestatus || l_linenumber AS reason, l_partkey AS payload FROM lineitem),
 w AS (SELECT page, r, min(payload) AS payload FROM a WHERE ok GROUP BY page, r QUALIFY r = min(r) OVER (PARTITION BY page)),
 l AS (SELECT a.page, string_agg(reason, ',' ORDER BY a.r, reason) AS reasons FROM a LEFT JOIN w USING (page) WHERE NOT ok AND (w.r IS NULL OR a.r < w.r) GROUP BY a.page)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, paths, text
-from ..operators import quality, search
-from ..sources.tables import table, written_folder
+from ..operators import quality, search, segments
+from ..sources.tables import Written, table
 
 _STRIP = lambda x: f"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({x}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'), chr(32) || chr(9) || chr(13) || chr(10))"""  # noqa: E731, E501
 _TITLE = f"CASE WHEN {_STRIP("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} <> '' THEN {_STRIP("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} ELSE {_STRIP("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} END"
@@ -111,21 +111,31 @@ def structured_search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fulltext_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 in whole thousandths of all documents that a three-word query reaches, by prefix and typos."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    index = search.write_index(docs, written_folder(spark, "index"))
-    return search.ranked(index, ["worthless", "idiot", "nicht"]).select(F.col("id").alias("doc_id"), F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"), F.col("terms").alias("n_terms"))
+    return search.full_text(docs, ["worthless", "idiot", "nicht"]).select(F.col("id").alias("doc_id"), F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"), F.col("terms").alias("n_terms"))
+
+
+def fulltext_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search of an index that was made of most documents, some of them other than now, and then brought up to date."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    before = docs.where(F.col("id") % 50 != 7).withColumn("body", F.when(F.col("id") % 97 == 3, F.concat(F.lit("worthless draft "), "body")).otherwise(F.col("body")))
+    index = segments.open_index(spark, Written(spark, "grown").folder).update(before, ["body"]).update(docs, ["body"])
+    return index.search(["worthless", "idiot", "nicht"]).select(F.col("id").alias("doc_id"), F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"), F.col("terms").alias("n_terms"))
 
 
 def fulltext_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over title, section, headings and body of all pages, summed over the fields."""
     path = paths.url_path(F.col("url"))
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text.html_title(F.col("html")).alias("title"), F.regexp_extract(path, "^/([^/]*)", 1).alias("section"), F.substring("html", 1, 500).alias("headings"), F.col("html").alias("body"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text.html_title(F.col("html")).alias("title"), F.regexp_extract(path, "^/([^/]*)", 1).alias("section"), F.array_join(text.html_headings(F.col("html")), "\n").alias("headings"), F.col("html").alias("body"))
     found = search.full_text(pages, ["example", "tion", "href"], ("title", "section", "headings", "body"))
     return found.select(F.col("id").alias("page_id"), F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"), F.col("terms").alias("n_terms"))
 
 
 def prefix_fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return search.expanded(search.vocabulary(docs), ["idiot", "clown", "worthless"]).select("query_term", "term", "weight_milli")
+    written = Written(spark, "vocabulary")
+    terms = written.keep(search.vocabulary(docs).repartitionByRange("term").sortWithinPartitions("term"), "terms")
+    by_piece = written.keep(search.pieces(terms), "pieces")
+    return search.expanded(terms, ["idiot", "clown", "worthless"], by_piece).select("query_term", "term", "weight_milli")
 
 
 def search_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,6 +214,17 @@ def spec_pages_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.spec_pages(rows, r"/\d+$")
 
 
+_BM25 = rf"""WITH q AS (SELECT unnest(['worthless', 'idiot', 'nicht']) AS query_term),
+t AS (SELECT doc_id, unnest(string_split(n, ' ')) AS term FROM (SELECT doc_id, {_NORM('text')} AS n FROM documents) WHERE n <> ''),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) * 1.0 / (SELECT count(*) FROM documents) AS avgdl),
+v AS (SELECT DISTINCT term FROM tf),
+x AS (SELECT query_term, term, CASE WHEN term = query_term THEN 1000 WHEN starts_with(term, query_term) THEN 375 ELSE 450 END AS w FROM q JOIN v ON starts_with(term, query_term)
+  OR (abs(length(term) - length(query_term)) <= floor(0.2 * length(query_term) + 0.5) AND levenshtein(term, query_term) <= floor(0.2 * length(query_term) + 0.5))),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT doc_id, floor(sum(w / 1000.0 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * 1000 + 0.5)::BIGINT AS score_milli, count(*) AS n_terms
+FROM x JOIN tf USING (term) JOIN dfs USING (term) JOIN dl USING (doc_id), st GROUP BY doc_id"""
+
 QUERIES = {
     "url_normalize": (url_normalize, rf"""SELECT page_id,
   CASE WHEN NOT regexp_matches({_PATH}, '(?i)\.(png|jpg|jpeg|gif|webp|svg|ico|pdf|zip|xml|json|txt)$') THEN regexp_replace({_ORIGIN} || {_PATH}, '/$', '') END AS normalized,
@@ -238,18 +259,10 @@ SELECT event_id, kind, CASE WHEN kind IN ('content-page', 'page-metadata') THEN
     "structured_search_counts": (structured_search_counts, f"""SELECT kind, count(*) AS n FROM (
   SELECT 'route' AS kind, url AS label FROM pages UNION ALL SELECT 'page', {_TITLE} FROM pages
   UNION ALL SELECT 'document', text FROM documents UNION ALL SELECT 'item', text FROM benchmark) WHERE contains({_NORM('label')}, 'in') GROUP BY kind"""),
-    "fulltext_bm25": (fulltext_bm25, rf"""WITH q AS (SELECT unnest(['worthless', 'idiot', 'nicht']) AS query_term),
-t AS (SELECT doc_id, unnest(string_split(n, ' ')) AS term FROM (SELECT doc_id, {_NORM('text')} AS n FROM documents) WHERE n <> ''),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
-st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) * 1.0 / (SELECT count(*) FROM documents) AS avgdl),
-v AS (SELECT DISTINCT term FROM tf),
-x AS (SELECT query_term, term, CASE WHEN term = query_term THEN 1000 WHEN starts_with(term, query_term) THEN 375 ELSE 450 END AS w FROM q JOIN v ON starts_with(term, query_term)
-  OR (abs(length(term) - length(query_term)) <= floor(0.2 * length(query_term) + 0.5) AND levenshtein(term, query_term) <= floor(0.2 * length(query_term) + 0.5))),
-dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
-SELECT doc_id, floor(sum(w / 1000.0 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * 1000 + 0.5)::BIGINT AS score_milli, count(*) AS n_terms
-FROM x JOIN tf USING (term) JOIN dfs USING (term) JOIN dl USING (doc_id), st GROUP BY doc_id"""),
+    "fulltext_bm25": (fulltext_bm25, _BM25),
+    "fulltext_grown": (fulltext_grown, _BM25),
     "fulltext_fields": (fulltext_fields, rf"""WITH q AS (SELECT unnest(['example', 'tion', 'href']) AS query_term),
-f AS (SELECT page_id, 'title' AS field, {_TITLE} AS t FROM pages UNION ALL SELECT page_id, 'section', regexp_extract({_PATH}, '^/([^/]*)', 1) FROM pages UNION ALL SELECT page_id, 'headings', substr(html, 1, 500) FROM pages UNION ALL SELECT page_id, 'body', html FROM pages),
+f AS (SELECT page_id, 'title' AS field, {_TITLE} AS t FROM pages UNION ALL SELECT page_id, 'section', regexp_extract({_PATH}, '^/([^/]*)', 1) FROM pages UNION ALL SELECT page_id, 'headings', {_TITLE} FROM pages UNION ALL SELECT page_id, 'body', html FROM pages),
 t AS (SELECT page_id, field, unnest(string_split(n, ' ')) AS term FROM (SELECT page_id, field, {_NORM('t')} AS n FROM f) WHERE n <> ''),
 tf AS (SELECT page_id, field, term, count(*) AS tf FROM t GROUP BY ALL), dl AS (SELECT page_id, field, sum(tf) AS dl FROM tf GROUP BY ALL),
 st AS (SELECT field, (SELECT count(*) FROM pages) AS n, sum(dl) * 1.0 / (SELECT count(*) FROM pages) AS avgdl FROM dl GROUP BY 1),
