@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import resource_basename
+from ..sources.tables import Written
 
 
 def first_rows(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -102,19 +102,19 @@ def flatten(rows: DataFrame, column: str, alias: str = "item") -> DataFrame:
 def follow_chain(links: DataFrame, start: str, following: str) -> DataFrame:
     """(node, end, steps): where following first children leads from every node, by pointer doubling.
 
-    A chain of n links takes log2(n) joins, each written to the checkpoint folder. What leads
+    A chain of n links takes log2(n) joins, each written to the shared folder. What leads
     into a ring has no end: its end and steps are null.
     """
-    sc = links.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(links.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+    written = Written(links.sparkSession, "chain")
     nodes = links.select(F.col(start).alias("node"), F.col(following).alias("end"), F.when(F.col(following).isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    nodes = nodes.withColumn("end", F.coalesce("end", "node")).checkpoint()
-    n = nodes.count()
+    nodes, n = written.counted(nodes.withColumn("end", F.coalesce("end", "node")), "0")
+    done = 0
     while True:
         far = nodes.where("steps > 0").select(F.col("node").alias("__n"), F.col("end").alias("__e"), F.col("steps").alias("__s"))
-        nodes = nodes.join(far, F.col("end") == F.col("__n"), "left").select("node", F.coalesce("__e", "end").alias("end"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"), F.col("__s").isNotNull().alias("moved"))
-        nodes = nodes.checkpoint()
+        further = nodes.join(far, F.col("end") == F.col("__n"), "left").select("node", F.coalesce("__e", "end").alias("end"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"), F.col("__s").isNotNull().alias("moved"))
+        nodes = written.keep(further, str(done + 1))
+        written.drop(str(done))
+        done += 1
         if nodes.where(F.col("moved") & (F.col("steps") < n)).isEmpty():
             return nodes.select("node", *(F.when(~F.col("moved"), F.col(c)).alias(c) for c in ("end", "steps")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -33,7 +34,7 @@ class Written:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark, self.folder = spark, written_folder(spark, name)
-        atexit.register(self.drop)
+        atexit.register(self._end)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -50,9 +51,11 @@ class Written:
         out = self.keep(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
         return out, seen.get.get("n") or 0
 
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended: the shared folder's owner clears it then
+            self.drop()
+
     def drop(self, name: str = "") -> None:
         sc = self.spark.sparkContext
-        if sc._jsc is None:  # the session has ended: the shared folder's owner clears it
-            return
         path = sc._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.folder)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
