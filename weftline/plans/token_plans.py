@@ -9,7 +9,7 @@ from ..operators import tokens
 from ..sources.tables import table
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, q, n = F.col("l_partkey"), F.col("l_quantity").cast("long"), F.col("l_linenumber")
     part = F.col("p_partkey")
     kind = F.when(part % 6 == 0, "FONT_TRACKING").when(part % 6 == 1, "AXIS_VALUE").otherwise("COLOR")
@@ -22,25 +22,25 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir)
+    return cells(spark, sf_dir)
 
 
 def token_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.resolution(_cells(spark, sf_dir))
+    return tokens.resolution(cells(spark, sf_dir))
 
 
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.resolution_totals(_cells(spark, sf_dir))
+    return tokens.resolution_totals(cells(spark, sf_dir))
 
 
 def token_unresolved_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.resolution_by_table(_cells(spark, sf_dir))
+    return tokens.resolution_by_table(cells(spark, sf_dir))
 
 
 def token_unresolved_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as routes of tables: worst first, each with its first five tokens."""
     routes = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 22).cast("long").alias("table"), F.col("n_regionkey").cast("string").alias("route"))
-    found = tokens.resolution_by_route(_cells(spark, sf_dir), routes)
+    found = tokens.resolution_by_route(cells(spark, sf_dir), routes)
     shown = F.transform("found", lambda x: F.concat_ws(":", x["token"], x["role"], x["reason"]))
     return found.select("route", "rows", "cells", "tables", F.array_join(shown, ",").alias("examples"))
 
@@ -65,15 +65,15 @@ pick AS (
   SELECT *, CASE WHEN value IS NOT NULL THEN NULL WHEN q IS NULL THEN CASE WHEN defined = 0 THEN 'upstream-empty' ELSE 'missing-context-entry' END
     WHEN token % 7 IN (1, 4) OR token % 7 = 3 AND token % 6 = 0 THEN 'upstream-empty' ELSE 'unsupported-value-type' END AS reason FROM shown
 )""".replace("FROM part CROSS JOIN roles LEFT JOIN pick USING (token, ord) LEFT JOIN total USING (token)", "FROM part CROSS JOIN roles LEFT JOIN pick ON pick.token = p_partkey AND pick.ord = roles.ord LEFT JOIN total ON total.token = p_partkey").replace("p_partkey AS token, ord, role", "p_partkey AS token, roles.ord, role")
-_BAD = _CELLS + ", bad AS (SELECT * FROM cells WHERE value IS NULL)"
+BAD = _CELLS + ", bad AS (SELECT * FROM cells WHERE value IS NULL)"
 
 QUERIES = {
     "token_cells": (token_cells, f'WITH {_CELLS} SELECT "table", "set", token, role, value, value IS NOT NULL AS resolved, reason FROM cells'),
-    "token_reasons": (token_reasons, f"""WITH {_BAD} SELECT r.reason, count(token) AS cells, count(DISTINCT token) AS rows, count(DISTINCT "table") AS tables
+    "token_reasons": (token_reasons, f"""WITH {BAD} SELECT r.reason, count(token) AS cells, count(DISTINCT token) AS rows, count(DISTINCT "table") AS tables
 FROM (VALUES ('missing-alias-target'), ('missing-context-entry'), ('unsupported-value-type'), ('upstream-empty'), ('parser-bug'), ('unclassified')) AS r(reason) LEFT JOIN bad USING (reason) GROUP BY r.reason"""),
-    "token_totals": (token_totals, f"""WITH {_BAD} SELECT (SELECT count(DISTINCT "table") FROM cells) AS tables, (SELECT count(DISTINCT token) FROM cells) AS token_rows, count(DISTINCT token) AS unresolved_rows, count(*) AS unresolved_cells FROM bad"""),
-    "token_unresolved_tables": (token_unresolved_tables, f"""WITH {_BAD} SELECT "table", count(DISTINCT token) AS rows, count(*) AS cells FROM bad GROUP BY "table" """),
-    "token_unresolved_routes": (token_unresolved_routes, f"""WITH {_BAD}, pairs AS (SELECT DISTINCT n_nationkey % 22 AS t, n_regionkey::VARCHAR AS route FROM nation),
+    "token_totals": (token_totals, f"""WITH {BAD} SELECT (SELECT count(DISTINCT "table") FROM cells) AS tables, (SELECT count(DISTINCT token) FROM cells) AS token_rows, count(DISTINCT token) AS unresolved_rows, count(*) AS unresolved_cells FROM bad"""),
+    "token_unresolved_tables": (token_unresolved_tables, f"""WITH {BAD} SELECT "table", count(DISTINCT token) AS rows, count(*) AS cells FROM bad GROUP BY "table" """),
+    "token_unresolved_routes": (token_unresolved_routes, f"""WITH {BAD}, pairs AS (SELECT DISTINCT n_nationkey % 22 AS t, n_regionkey::VARCHAR AS route FROM nation),
 per AS (SELECT route, "table", token, count(*) AS n, arg_min(token || ':' || role || ':' || reason, ord) AS one FROM bad JOIN pairs ON t = "table" GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY "table", token) AS place FROM per)
 SELECT route, count(*) AS rows, sum(n)::BIGINT AS cells, count(DISTINCT "table") AS tables, string_agg(one, ',' ORDER BY place) FILTER (place <= 5) AS examples FROM ranked GROUP BY route"""),
