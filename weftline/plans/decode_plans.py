@@ -58,12 +58,63 @@ def discovered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(blocks, ["page_id", "section_pos"], "left").select("page_id", F.col("section_pos").cast("long").alias("section_pos"), "title", F.sha2(F.try_variant_get("body", "$.a.t", "string"), 256).alias("own"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"))
 
 
+def _systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as token systems: two tokens, one set, a tag, and for every token a tree with as many entries as the part's number says."""
+    p, name, size = F.col("p_partkey"), F.col("p_brand"), F.col("p_size").cast("string")
+    node = lambda own, child: F.struct(own.alias("tokenName"), child.alias("childNodes"))
+    leaf = F.struct(F.concat(F.lit("end."), size).alias("tokenName"))
+    chain = node(F.lit("first"), F.array(node(F.when(p % 3 == 0, "middle"), F.when(p % 4 != 0, F.array(leaf)))))
+    entry = lambda i: F.struct(F.when(i % 3 != 0, F.array(F.lit("t1"), F.concat(F.lit("k"), i.cast("string")))).alias("contextTags"), F.struct(F.when(i == 2, F.lit(True)).alias("undefined"), size.alias("x")).alias("resolvedValue"), chain.alias("referenceTree"))
+    tree = F.struct(F.when(p % 5 > 0, F.transform(F.sequence(F.lit(1), (p % 5).cast("int")), entry)).alias("contextualReferenceTree"))
+    token = lambda own, state: F.struct(own.alias("name"), F.lit("n").alias("tokenName"), F.when(p % 2 == 0, "label").alias("displayName"), F.lit("COLOR").alias("tokenValueType"), F.lit(state).alias("state"))
+    system = F.struct(
+        F.array(token(name, "ACTIVE"), token(F.when(p % 6 != 0, F.concat(name, F.lit(".x"))), "DEPRECATED"), token(F.lit(" "), "ACTIVE")).alias("tokens"),
+        F.when(p % 7 != 0, F.array(F.struct(F.lit("Brand").alias("name"), F.lit("set").alias("displayName")))).alias("tokenSets"), F.array(F.struct(F.lit("t1").alias("name"), F.lit("light").alias("tagName"))).alias("tags"),
+        F.create_map(name, tree).alias("contextualReferenceTrees"),
+    )
+    json = F.when(p % 11 == 0, "{}").when(p % 2 == 0, F.to_json(F.struct(system.alias("system")))).otherwise(F.to_json(system))
+    return decode.token_system(table(spark, sf_dir, "part").select("p_partkey", json.alias("json")), "p_partkey", "json")
+
+
+def token_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, sets and tags of decoded systems; nameless items are dropped, their siblings stay."""
+    names = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["name"], x["displayName"])), ",").alias(c)
+    return _systems(spark, sf_dir).select("p_partkey", names("tokens"), names("sets"), F.array_join(F.transform("tags", lambda t: t["tagName"]), ",").alias("tags"), F.size("trees").cast("long").alias("trees"))
+
+
+def token_context_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decode.context_entries(_systems(spark, sf_dir), "p_partkey")
+    return rows.select("p_partkey", "token", F.col("pos").cast("long").alias("pos"), F.array_join("tags", ",").alias("tags"), "undefined", "value", "alias")
+
+
+def chunk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of lines: the resource that each names at one of its places, and the token sets that it asks for."""
+    k, text_ = F.col("l_partkey"), lambda c: F.col(c).cast("string")
+    name = F.concat(F.lit("r/"), text_("l_suppkey"))
+    sets = F.array(F.lit(" "), F.col("l_returnflag"), F.col("l_linestatus"))
+    at = lambda n, v: F.when(k % 6 == n, v)
+    chunk = F.struct(
+        at(0, name).alias("resourceName"), at(1, name).alias("resourcePath"), at(2, F.struct(F.concat(F.lit("a TOKEN_TABLE "), name).alias("deep"))).alias("data"), F.lit(" ").alias("resourceUrl"),
+        F.struct(at(3, name).alias("resourceName"), F.when(k % 4 == 1, sets).alias("tokenSets")).alias("moduleConfigurationOverrides"), F.struct(F.when(k % 4 == 2, sets).when(k % 4 == 1, F.array(F.lit("no"))).alias("tokenSets")).alias("moduleConfiguration"),
+    )
+    v = decode.variant(F.col("json"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_json(chunk).alias("json"))
+    return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), decode.resource_name(v).alias("resource"), F.array_join(decode.requested_sets(v), ",").alias("sets"))
+
+
 _OWN = "sha256(left(url, 20))"
 
 QUERIES = {
     "discovered_sections": (discovered_sections, """SELECT page_id, 0 AS section_pos, CASE WHEN page_id % 10 = 9 THEN 'known' ELSE 'S' || page_id END AS title, OWN AS own, 1 AS n_blocks FROM pages WHERE page_id % 10 NOT IN (7, 8)
 UNION ALL SELECT page_id, 3, 'more', OWN, 1 FROM pages WHERE page_id % 10 < 7""".replace("OWN", _OWN)),
     "variant_decode_fixture": (variant_decode_fixture, "SELECT page_id, 0::BIGINT AS section_pos, 0::BIGINT AS block_pos, 'TEXT' AS kind, sha256(html) AS html_sha FROM pages"),
+    "token_systems": (token_systems, """SELECT p_partkey, array_to_string([p_brand || CASE WHEN p_partkey % 2 = 0 THEN '=label' ELSE '=' END, CASE WHEN p_partkey % 6 <> 0 THEN p_brand || '.x' || CASE WHEN p_partkey % 2 = 0 THEN '=label' ELSE '=' END END], ',') AS tokens,
+  CASE WHEN p_partkey % 7 <> 0 THEN 'Brand=set' ELSE '' END AS sets, 'light' AS tags, 1 AS trees FROM part WHERE p_partkey % 11 <> 0"""),
+    "token_context_entries": (token_context_entries, """SELECT p_partkey, p_brand AS token, i - 1 AS pos, CASE WHEN i % 3 <> 0 THEN 't1,k' || i END AS tags, i = 2 AS undefined,
+  CASE WHEN i = 2 THEN '{"undefined":true,"x":"' || p_size || '"}' ELSE '{"x":"' || p_size || '"}' END AS value, CASE WHEN p_partkey % 4 <> 0 THEN 'end.' || p_size WHEN p_partkey % 3 = 0 THEN 'middle' ELSE 'first' END AS alias
+  FROM part, unnest(range(1, p_partkey % 5 + 1)) AS t(i) WHERE p_partkey % 11 <> 0"""),
+    "chunk_requests": (chunk_requests, """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_partkey % 6 = 2 THEN 'a TOKEN_TABLE r/' || l_suppkey WHEN l_partkey % 6 < 4 THEN 'r/' || l_suppkey END AS resource,
+  CASE WHEN l_partkey % 4 IN (1, 2) THEN l_returnflag || ',' || l_linestatus ELSE '' END AS sets FROM lineitem"""),
     "page_metadata_decode": (page_metadata_decode, "SELECT page_id, 'c' || page_id AS canon_id, url AS pathname, 'components' AS collection FROM pages"),
     "render_markdown": (render_markdown, None),
     "site_meta_routes": (site_meta_routes, "SELECT '/p' || page_id AS route, page_id % 5 <> 0 AS public, page_id::VARCHAR AS document_id, '/q' || page_id || ',}' AS aliases FROM pages"),
