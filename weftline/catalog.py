@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import api_plans, build_plans, decode_plans, diagnostic_plans, extract_plans, graph_plans, promotion_plans, rollup_plans, text_plans, token_plans
+from .plans import api_plans, build_plans, decode_plans, diagnostic_plans, extract_plans, extract_rows, graph_plans, promotion_plans, rollup_plans, text_plans, token_plans
 
-PLANS = (text_plans, graph_plans, extract_plans, decode_plans, build_plans, diagnostic_plans, token_plans, promotion_plans, rollup_plans, api_plans)
+PLANS = (text_plans, graph_plans, extract_plans, extract_rows, decode_plans, build_plans, diagnostic_plans, token_plans, promotion_plans, rollup_plans, api_plans)
 
 
 def _all() -> dict[str, tuple[Callable, str | None]]:
