@@ -174,9 +174,11 @@ def confirmed(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFram
     """
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
     own = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
-    members = own.join(among(full, pairs, "a"), "a").select("b", "salt", F.lit(1).alias("turn"), "a", "items")
-    pivots = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(among(full, pairs, "b"), "b")
-    rows = members.union(pivots.select("b", "salt", F.lit(0).alias("turn"), F.col("b").alias("a"), "items"))
+    # Members and pivots ask for their sets together, so that a set is shuffled to them once.
+    places = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    asked = own.select(F.col("a").alias("f1"), "b", "salt", F.lit(1).alias("turn")).union(salts.select(F.col("b").alias("f1"), "b", places, F.lit(0).alias("turn")))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    rows = asked.join(among(full, nodes, "node").withColumnRenamed("node", "f1"), "f1").select("b", "salt", "turn", F.col("f1").alias("a"), "items")
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "turn").mapInArrow(_confirm(num, den), "a long, b long")
 
 
@@ -247,7 +249,7 @@ def gathered(rows: DataFrame, ranks: list[Column], scratch: Scratch, name: str)
     banded = rows.select("node", "component", "rank", F.explode("bands").alias("key"))
     shared = scratch.write(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), f"{name}-shared")
     scratch.sweep()
-    held = scratch.write(banded.join(shared, "key"), f"{name}-held")
+    held = scratch.write(split_by_keys(banded, "key", shared, "key")[0].join(shared, "key"), f"{name}-held")
     scratch.sweep()
     tops = [F.max(F.struct(r.alias("rank"), "node", "component")).alias(f"top{i}") for i, r in enumerate(ranks)]
     buckets = held.groupBy("key").agg(*tops, F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("print"))
