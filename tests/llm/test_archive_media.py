@@ -179,3 +179,17 @@ def test_legacy_files_of_many_records_are_a_table(spark, tmp_path):
         assert (r["url"], r["date"], r["payload_bytes"], body) == (url, "19990203040506", len(payload), block)
         assert fields["WARC-Date"] == "1999-02-03T04:05:06Z" and r["payload_digest"] == hashlib.sha1(payload).hexdigest()
     assert len({next(archive.warc_records(io.BytesIO(r["warc"])))[0]["WARC-Record-ID"] for r in got}) == len(got)
+
+
+def test_header_lines_with_spaces_and_short_dates():
+    read = lambda line, n: archive.header_values(line, n)
+    assert read("http://a/ 1.2.3.4 20240101000000 text/html; charset=utf-8 12", 5) == ["http://a/", "1.2.3.4", "20240101000000", "text/html; charset=utf-8", "12"]
+    assert read("http://a/x y 2001:db8::1 20240229 text/html 0", 5) == ["http://a/x y", "2001:db8::1", "20240229000000", "text/html", "0"]
+    assert read("http://a/ 1.2.3.4 202401020304 a/b; c=d 200 - - 0 f.arc 7", 10) == ["http://a/", "1.2.3.4", "20240102030400", "a/b; c=d", "200", "-", "-", "0", "f.arc", "7"]
+    for line in ("http://a/ 1.2.3.4 20241301 text/html 5", "http://a/ 1.2.3.4 20240230 t 5", "http://a/ host 20240101 text/html 5", "http://a/ 1.2.3.4 20240101 text/html x", "http://a/ 1.2.3.4 2024 text/html 5", ""):
+        with pytest.raises(ValueError, match="ARC header line"):
+            read(line, 5)
+    block = b"HTTP/1.1 200 OK\r\n\r\nhi"
+    data = archive.arc_version_block(1, "x.arc") + b"http://a/ 1.2.3.4 20240101 text/html; charset=utf-8 %d\n" % len(block) + block + b"\n"
+    (record,) = archive.arc_records(io.BytesIO(data))
+    assert record.fields["Content-type"] == "text/html; charset=utf-8" and b"WARC-Date: 2024-01-01T00:00:00Z" in archive.warc_record(record, 1)

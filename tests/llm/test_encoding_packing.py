@@ -88,6 +88,12 @@ def test_numbers_are_gapless_within_lengths(spark):
         assert own == list(range(len(own)))
 
 
+def test_length_report_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "length long")
+    assert length_report(empty).count() == 0
+    assert {tuple(r)[:4] + (r["quantile"],) for r in length_report(empty, [5, 9]).collect()} == {(5, 0, 0, 0, None), (9, 0, 0, 0, None)}
+
+
 def test_length_report_against_brute_force(spark):
     lengths = [0, 0, 3, 5, 5, 5, 1500, 2600, 2600]
     got = {r["length"]: r for r in length_report(spark.createDataFrame([(x,) for x in lengths], "length long")).collect()}

@@ -21,12 +21,14 @@ empty table gives no rows; further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import io
 import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from datetime import datetime
 from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
@@ -61,6 +63,27 @@ def arc_record(version: int, url: str, block: bytes, name: str, offset: int, dat
     return f"{url} 0.0.0.0 {date} text/html {middle}{len(block)}\n".encode() + block + b"\n"
 
 
+@functools.cache
+def _header(n: int) -> re.Pattern:
+    """A header line of n fields. URL and content type may hold spaces: the address and the date between them, and the fields behind, tell them apart."""
+    address = r"(\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]*|-)"
+    return re.compile(rf"(.+) {address} (\d{{8}}|\d{{12}}|\d{{14}}) (\S.*?)" + r" (\S+)" * (n - 4))
+
+
+def header_values(line: str, n: int) -> list[str]:
+    """The n fields of a record's header line; dates are filled up to 14 digits with zeros."""
+    found = _header(n).fullmatch(line)
+    if not found or not found[n].isdecimal():
+        raise ValueError(f"bad ARC header line: {line[:200]!r}")
+    values = list(found.groups())
+    values[2] = values[2].ljust(14, "0")
+    try:
+        datetime.strptime(values[2], "%Y%m%d%H%M%S")
+    except ValueError:
+        raise ValueError(f"bad date in an ARC header line: {line[:200]!r}") from None
+    return values
+
+
 def arc_records(stream: BinaryIO) -> Iterator[ArcRecord]:
     """Records of an uncompressed ARC stream, one in memory at a time; the version block itself is not one."""
     head = stream.readline().decode("utf-8", "surrogateescape").rstrip("\r\n")
@@ -71,15 +94,13 @@ def arc_records(stream: BinaryIO) -> Iterator[ArcRecord]:
     described = stream.read(int(head.rsplit(" ", 1)[1])).decode("utf-8", "replace").split("\n")
     version = int(described[0].split()[0])
     fields = tuple(described[1].split()) if len(described) > 1 and described[1].strip() else ARC_FIELDS.get(version, ("",))
-    if version not in ARC_FIELDS or fields[-1] != "Archive-length":
+    if version not in ARC_FIELDS or fields[:4] != ARC_FIELDS[version][:4] or fields[-1] != "Archive-length":
         raise ValueError(f"unknown ARC version block: {described[:2]}")
     while line := stream.readline():
         line = line.decode("utf-8", "surrogateescape").rstrip("\r\n")
         if not line:
             continue
-        values = line.rsplit(" ", len(fields) - 1)  # only the url may hold spaces
-        if len(values) != len(fields) or not values[-1].isdigit():
-            raise ValueError(f"bad ARC header line: {line[:200]!r}")
+        values = header_values(line, len(fields))
         length = int(values[-1])
         block = stream.read(length)
         if len(block) != length:

@@ -9,7 +9,7 @@ are cut, and which quantile the length is. Sums run within ranges of lengths and
 the ranges' totals, so no task gets the whole histogram.
 
 Defined results: null and empty texts have length 0; repeated rows count each time; an
-empty table gives no rows; further columns are ignored, whatever their names.
+empty table gives a row of zeros (and a null quantile) for each limit that is asked for; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
