@@ -41,6 +41,23 @@ def test_exact_complements(histogram, bins):
     assert sum(t for _, t in packing.plan(histogram, 64)) == bins
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_no_more_sequences_than_best_fit_alone(seed):
+    rng = np.random.default_rng(seed)
+    kind = seed % 4
+    if kind == 0:
+        histogram = {x: int(rng.integers(1, 50)) for x in range(1, 2049)}
+    elif kind == 1:
+        histogram = {int(x): int(rng.integers(1, 4)) for x in rng.choice(np.arange(600, 2049), 700, replace=False)}
+    else:
+        lengths = np.clip(rng.lognormal(6, 1, 20_000), 1, 2048).astype(int) if kind == 2 else rng.integers(300, 1100, 20_000)
+        histogram = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    taken = sum(t for _, t in packing.plan(histogram, 2048))
+    assert taken <= sum(t for _, t in packing.best_fit(histogram, 2048))
+    assert taken <= sum(t for _, t in packing.exact(histogram, 2048, 3))
+    assert taken >= -(-sum(x * n for x, n in histogram.items()) // 2048)
+
+
 def brute(rows, limit):
     out = {}
     for doc_id, text in rows:

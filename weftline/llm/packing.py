@@ -113,13 +113,13 @@ class Complements:
         for x in lengths:
             self.put(x, int(self.left[x]) - times)
 
-    def fill(self, total: int) -> tuple[int, ...]:
-        """One, two or three available lengths of that sum, as the index has them; nothing if it has none."""
+    def fill(self, total: int, most: int = 3) -> tuple[int, ...]:
+        """One, two or three available lengths of that sum, ``most`` at most, as the index has them; nothing if it has none."""
         if self.there[total]:
             return (total,)
-        if self.pairs[total]:
+        if most > 1 and self.pairs[total]:
             return self._pair(total, total)
-        return self._triple(total) if self.triples[total] else ()
+        return self._triple(total) if most > 2 and self.triples[total] else ()
 
     def _pair(self, total: int, most: int, used: int = 0) -> tuple[int, ...]:
         """The larger part as large as can be, ``most`` at most: it leaves the small lengths, which fit anywhere.
@@ -145,7 +145,18 @@ class Complements:
 
 
 def plan(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences), over a histogram of lengths."""
+    """(lengths of one sequence, how many such sequences), over a histogram of lengths.
+
+    Complements that use up middle lengths can leave a rest that packs badly. So gaps are
+    filled with up to three, two, one or no complements, and of these plans the one of the
+    fewest sequences is kept (of equal ones that of the most complements): never more than best fit alone takes.
+    """
+    plans = [exact(histogram, limit, most) for most in (3, 2, 1)] + [best_fit(histogram, limit)]
+    return min(plans, key=lambda made: sum(times for _, times in made))
+
+
+def exact(histogram: dict[int, int], limit: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan whose gaps are filled exactly with up to ``most`` complements, longest lengths first, the rest by best fit."""
     counts = np.zeros(limit + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
@@ -154,7 +165,7 @@ def plan(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], i
         while index.left[length]:
             index.take((length,), 1)
             gap = limit - length
-            fill = index.fill(gap) if gap else ()
+            fill = index.fill(gap, most) if gap else ()
             if gap and not fill:
                 rest[length] = int(index.left[length]) + 1
                 index.take((length,), rest[length] - 1)
