@@ -105,7 +105,8 @@ QUERIES = {
     "api_structured_search": (api_structured_search, """WITH s AS (SELECT s_name AS n, '/components/c' || s_suppkey AS route FROM supplier WHERE s_suppkey = 7)
 SELECT 'page' AS kind, n || ' ' || n || ' Usage' AS label, route FROM s UNION ALL SELECT 'section', n || ' Notes on ' || n, route FROM s UNION ALL SELECT 'chunk', 'Chunk of ' || n, route FROM s
 UNION ALL SELECT 'token-set', 'set ' || n, route FROM s UNION ALL SELECT 'token', 'tok ' || n || ' v7', route FROM s
-UNION ALL (SELECT 'route', '/components/c' || c_custkey || CASE WHEN c_custkey % 4 = 0 THEN ' /components/c' || (c_custkey + 1000000) ELSE '' END || ' /old/' || c_custkey, '/components/c' || c_custkey FROM customer WHERE contains(c_custkey::VARCHAR, '77') ORDER BY c_custkey LIMIT 100)
+UNION ALL (SELECT kind, label, route FROM (SELECT 0 AS o, c_custkey AS k, 'route' AS kind, '/components/c' || c_custkey || CASE WHEN c_custkey % 4 = 0 THEN ' /components/c' || (c_custkey + 1000000) ELSE '' END || ' /old/' || c_custkey AS label, '/components/c' || c_custkey AS route FROM customer WHERE contains(c_custkey::VARCHAR, '77')
+  UNION ALL SELECT 3, p_partkey, 'resource', 'r' || p_partkey || ' ' || p_name, '/components/c' || (p_partkey % 30) FROM part WHERE contains(p_partkey::VARCHAR || p_name, '77') AND contains(lower(p_name), 'old')) ORDER BY o, k LIMIT 100)
 UNION ALL (SELECT 'resource', 'r' || p_partkey || ' ' || p_name, '/components/c' || (p_partkey % 30) FROM part WHERE starts_with(p_partkey::VARCHAR, '77') ORDER BY p_partkey LIMIT 20)"""),
     "api_component_overview": (api_component_overview, """SELECT (SELECT count(*) FROM part WHERE p_partkey % 30 = 5) AS resources, (SELECT count(*) FROM part WHERE p_partkey % 30 = 5) AS image, 0 AS token_table, count(*) AS token_tables, 2 * count(*) AS tokens,
   (SELECT string_agg('/components/c' || c_custkey, ',') FROM customer WHERE c_custkey = 5) AS routes, (SELECT string_agg('specs', ',') FROM customer WHERE c_custkey = 5) AS tabs, (SELECT string_agg('/components/c' || c_custkey, ',') FROM customer WHERE c_custkey = 5) AS recommended FROM supplier WHERE s_suppkey = 5"""),
