@@ -68,13 +68,6 @@ def tab_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.virtual_tabs(rows).select("route", "parent", *(F.array_join(x, ",").alias(x) for x in ("expected", "saved", "failed", "skipped")))
 
 
-def navigation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' navigation as JSON of several depths: paths of the same site, each once."""
-    s = _t("s_suppkey")
-    json = F.concat(F.lit('{"a":[{"href":"/x/'), s, F.lit('/"},{"b":{"c":[{"href" : "https://site.example/y?q='), s, F.lit('"}]}},{"href":"https://other.example/z"},{"href":"/x/'), s, F.lit('#f"},{"href":"/p.png"}]}'))
-    return extract.nav_links(table(spark, sf_dir, "supplier").select("s_suppkey", json.alias("json")), "s_suppkey", "json", "https://site.example/")
-
-
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(_c("l_orderkey").alias("key"), (_c("l_linenumber") - 1).alias("pos"), F.concat(_c("l_returnflag"), _t("l_partkey")).alias("line"))
     return extract.paired_lines(rows, "key").select("key", _c("pair").cast("long").alias("pair"), "name", "value")
@@ -112,7 +105,6 @@ SELECT slug, max(c) AS collection, max(d) AS document, array_to_string(list_filt
     "plan_examples": (plan_examples, """SELECT c_mktsegment AS class, count(*) AS n, array_to_string(list_sort(list('/c' || c_custkey))[1:5], ',') AS examples FROM customer GROUP BY 1"""),
     "tab_routes": (tab_routes, """WITH t AS (SELECT c_custkey AS c, unnest([c_custkey + 1, c_custkey * 1000]) AS n FROM customer)
 SELECT '/c/' || n AS route, '/c/' || c AS parent, 'c/' || n || '.md' AS expected, CASE WHEN c % 2 = 0 AND n = c * 1000 THEN 'c/' || n || '.md' ELSE '' END AS saved, CASE WHEN n = c + 1 THEN 'c/' || n || '.md' ELSE '' END AS failed, '' AS skipped FROM t WHERE n NOT IN (SELECT c_custkey FROM customer)"""),
-    "navigation_paths": (navigation_paths, "SELECT s_suppkey, unnest(['/x/' || s_suppkey, '/y']) AS path FROM supplier"),
     "line_pairs": (line_pairs, """SELECT l_orderkey AS key, (l_linenumber - 1) // 2 AS pair, max(l_returnflag || l_partkey) FILTER (l_linenumber % 2 = 1) AS name, max(l_returnflag || l_partkey) FILTER (l_linenumber % 2 = 0) AS value FROM lineitem GROUP BY ALL"""),
     "module_kinds": (module_kinds, """SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN 'status-table' WHEN p_partkey % 4 = 1 THEN 'token-table' WHEN p_partkey % 4 = 3 THEN 'placeholder' WHEN p_partkey % 2 = 1 THEN 'token-table' ELSE 'placeholder' END AS kind,
   p_partkey % 5 IN (1, 2) OR p_partkey % 7 = 0 AS accepted FROM part"""),
