@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import decode, diagnostics, discover, tokens
+from weftline.plans import diagnostic_plans
 
 NOTE = "path string, seq long, token_tables array<struct<name:string>>, placeholders array<string>, status_tables array<struct<name:string,rendered:boolean,unsupported:boolean>>, images long, videos long, unknown_chunks array<string>, unknown_resources array<string>"
 ROUTE = "path string, seq long, source_route string, normalized_route string, virtual_route string, canonical_route string, tab string, tab_section long"
@@ -49,6 +50,37 @@ def test_chunks_of_a_page_are_in_order_and_have_stable_ids(spark, notes, routes)
     assert {(r.page_id, r.artifact_id) for r in diagnostics.page_artifacts(nodes, files).collect()} == {("p", "f"), ("p", "h")}
 
 
+def rows_made(plan):
+    """The most rows that a step of an executed plan gave."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if plan.metrics().contains("numOutputRows") else 0
+    return max([own, *map(rows_made, below)])
+
+
+def test_artifacts_are_counted_before_pages_meet_them(spark, tmp_path):
+    n = 3000  # rows of each table: 25 routes of 72 pages with artifacts, and of 120 artifacts, would be 100,000 pairs and more
+    of = spark.range(1, n + 1)
+    of.select(F.col("id").alias("o_orderkey"), (F.col("id") % 500).alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority"), F.lit("O").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    of.select(F.col("id").alias("c_custkey"), (F.col("id") % 25).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    of.where("id = 1").select(F.lit(900).cast("long").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    of.select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    out = diagnostic_plans.diagnostic_page_artifacts(spark, str(tmp_path))
+    got = {(r.page_id, r.kind): (r.artifacts, r.first) for r in out.collect()}
+    assert rows_made(out._jdf.queryExecution().executedPlan()) <= 4 * n
+    pages = diagnostics.routed_pages(diagnostic_plans._pages(spark, str(tmp_path)), diagnostic_plans._route_notes(spark, str(tmp_path)))
+    each = diagnostics.page_artifacts(pages, diagnostic_plans._artifacts(spark, str(tmp_path))).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.min_by("artifact_id", "seq").alias("first"))
+    assert got == {(r.page_id, r.kind): (r.n, r.first) for r in each.collect()} and sum(c for c, _ in got.values()) > 40 * n
+
+
+def test_artifacts_of_a_repeated_page_add_up(spark):
+    nodes = spark.createDataFrame([("p", "/x"), ("p", "/y"), ("q", "/y"), ("r", "/z"), (None, "/y"), ("s", None)], "page_id string, artifact_route string")
+    files = spark.createDataFrame([("f", "page-data", 5, "/x", ""), ("g", "page-data", 2, "/y/", ""), ("h", "dsdb-resource", 1, "/y", ""), ("i", "page-data", 3, "/y", ""), ("j", "other", 0, "/y", ""), ("k", "page-data", 0, None, "")], FILE)
+    got = {(r.page_id, r.kind, r.artifacts, r.first) for r in diagnostics.page_artifact_counts(nodes, files).collect()}
+    own = {(p, k, n, f) for p in ("q", None) for k, n, f in (("page-data", 2, "g"), ("dsdb-resource", 1, "h"))}
+    assert got == own | {("p", "page-data", 3, "g"), ("p", "dsdb-resource", 1, "h")}
+
+
 @pytest.mark.parametrize("parts", [1, 3, 7])
 def test_resources_are_the_same_from_any_partitioning(spark, notes, routes, parts):
     files = spark.createDataFrame([("late", "dsdb-resource", 9, None, "raw/designSystems_d_components_c.json"), ("first", "dsdb-resource", 2, None, "raw//designSystems_d_components_c.JSON/"), ("no", "page-data", 1, None, "raw/s.json")], FILE)

@@ -84,7 +84,7 @@ def graph_route(value: Column) -> Column:
     path = F.when(text.rlike("^https?://"), url_path(text)).otherwise(text)
     path = F.regexp_replace(F.regexp_replace(path, r"(?i)^pages/", ""), r"[\\/]+", "/")
     path = F.regexp_replace(F.regexp_replace(path, r"(?i)\.md$", ""), r"^/+|/+$", "")
-    return F.when(path.isin("", "index"), F.lit("/")).otherwise(F.concat(F.lit("/"), path))
+    return F.concat(F.lit("/"), F.regexp_replace(path, r"^index\z", ""))  # named once, so that Spark makes it once
 
 
 def markdown_path(route: Column) -> Column:

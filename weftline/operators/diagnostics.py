@@ -91,6 +91,12 @@ def resource_chunks(path: Column) -> Column:
     return F.concat(*[F.coalesce(p, none) for p in parts])
 
 
+def routed_pages(pages: DataFrame, route_notes: DataFrame) -> DataFrame:
+    """pages with the last note on their route, and artifact_route, which is made once for each note and not each page."""
+    routed = last_rows(route_notes, ["path"], "seq").drop("seq").withColumn("noted_route", graph_route(F.coalesce("source_route", "normalized_route")))
+    return pages.join(routed, "path", "left").withColumn("artifact_route", F.coalesce("noted_route", graph_route(F.col("path")))).drop("noted_route")
+
+
 def page_graph(pages: DataFrame, page_notes: DataFrame, route_notes: DataFrame) -> DataFrame:
     """One node for each page, with the last note on its path and the last one on its route.
 
@@ -100,10 +106,7 @@ def page_graph(pages: DataFrame, page_notes: DataFrame, route_notes: DataFrame)
     A node's lists are those of its own page and note.
     """
     noted = last_rows(page_notes, ["path"], "seq").drop("seq")
-    routed = last_rows(route_notes, ["path"], "seq").drop("seq")
-    rows = pages.join(noted, "path", "left").join(routed, "path", "left")
-    fetched = graph_route(F.coalesce("source_route", "normalized_route", "path"))
-    rows = rows.withColumn("artifact_route", fetched)
+    rows = routed_pages(pages.join(noted, "path", "left"), route_notes)
     rows = rows.withColumn("route", graph_route(F.coalesce("virtual_route", "artifact_route")))
     headings = _listed("headings")
     sections = F.transform(headings, lambda t, i: F.struct(
@@ -133,10 +136,24 @@ def chunk_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("page_id", "route", F.posexplode("chunks").alias("place", "c")).select("page_id", "route", "place", "c.*")
 
 
+def _referred(artifacts: DataFrame) -> DataFrame:
+    return artifacts.where(F.col("kind").isin(*REFERRED)).select(F.col("id").alias("artifact_id"), "kind", "seq", graph_route(_filled(F.col("source_route"))).alias("artifact_route"))
+
+
 def page_artifacts(nodes: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """(page_id, artifact_id, kind, seq): what each page of page_graph() was made of, a row each, however many a route has."""
-    own = artifacts.where(F.col("kind").isin(*REFERRED)).select(F.col("id").alias("artifact_id"), "kind", "seq", graph_route(_filled(F.col("source_route"))).alias("artifact_route"))
-    return nodes.select("page_id", "artifact_route").join(own, "artifact_route").select("page_id", "artifact_id", "kind", "seq")
+    """(page_id, artifact_id, kind, seq): what each page of page_graph() or routed_pages() was made of, a row each, however many a route has."""
+    return nodes.select("page_id", "artifact_route").join(_referred(artifacts), "artifact_route").select("page_id", "artifact_id", "kind", "seq")
+
+
+def page_artifact_counts(nodes: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(page_id, kind, artifacts, first): page_artifacts() counted by kind, and the first of them by seq.
+
+    Pages of one route have the same artifacts, so these are counted by route before pages
+    meet them: a page joins a row for each kind, not each artifact.
+    """
+    own = _referred(artifacts).groupBy("artifact_route", "kind").agg(F.count("*").alias("artifacts"), F.min_by("artifact_id", "seq").alias("first"), F.min("seq").alias("seq"))
+    rows = nodes.select("page_id", "artifact_route").join(own, "artifact_route")
+    return rows.groupBy("page_id", "kind").agg(F.sum("artifacts").alias("artifacts"), F.min_by("first", "seq").alias("first"))
 
 
 #: Order of the generators among the uses of a note.

@@ -88,8 +88,8 @@ def diagnostic_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diagnostic_page_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many artifacts of each kind a page was made of, and the first of them."""
-    rows = diagnostics.page_artifacts(_graph(spark, sf_dir), _artifacts(spark, sf_dir))
-    return rows.groupBy("page_id", "kind").agg(F.count("*").alias("artifacts"), F.min_by("artifact_id", "seq").alias("first"))
+    pages = diagnostics.routed_pages(_pages(spark, sf_dir), _route_notes(spark, sf_dir))
+    return diagnostics.page_artifact_counts(pages, _artifacts(spark, sf_dir))
 
 
 def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
