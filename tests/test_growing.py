@@ -37,6 +37,49 @@ def test_an_index_grows_by_what_changes(spark, tmp_path, docs):
     assert same.update(changed.limit(0), fields).search(query).count() == 0
 
 
+def shuffled(plan):
+    """Rows that the shuffles of an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(map(shuffled, below))
+
+
+def test_a_search_shuffles_only_postings_that_it_reaches(spark, tmp_path, docs):
+    index = segments.open_index(spark, f"{tmp_path}/index").update(docs.where("id < 396"), ["body"])
+    index = index.update(docs.withColumn("body", F.when(F.col("id") == 5, "omega alpha").otherwise(F.col("body"))), ["body"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")  # to this, the postings are a large table
+    try:
+        found = index.search(["omega"])
+        assert set(scores(found)) == {5}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert shuffled(found._jdf.queryExecution().executedPlan()) < 0.25 * index._all("postings").count()
+
+
+def test_postings_are_shuffled_once(spark):
+    rows = [(1, "b a b", "b"), (2, None, ""), (3, "é A a-a", None), (4, " ".join(f"w{i % 70}" for i in range(3000)), "w1 w1"), (5, "", "x"), (6, "a a", None), (6, "b a", None), (None, "z", None)]
+    some = spark.createDataFrame(rows, DOC.replace("title", "one").replace("body", "two"))
+    got = search.clustered(some, ["one", "two"])
+    made = got.collect()
+    assert sorted(map(repr, made)) == sorted(map(repr, search.index_of(some, ["one", "two"]).postings.collect()))
+    assert ("w69", "one", 4, 42, 3000) in made and ("a", "one", 6, 3, 2) in made
+    assert shuffled(got._jdf.queryExecution().executedPlan()) == len(made) + 1  # a's of the two rows of 6 add up where they land
+    keys = [(r.term, r.field) for r in made]
+    assert keys == sorted(keys)
+
+
+def test_only_changed_texts_are_shuffled(spark, tmp_path, docs):
+    index = segments.open_index(spark, f"{tmp_path}/i").update(docs, ["title", "body"])
+    now = docs.withColumn("fingerprint", F.lit("f"))
+    picked = index._picked(now, spark.createDataFrame([(7, "f"), (8, "other"), (None, "f")], segments.SCHEMAS["fresh"]))
+    assert [r.id for r in picked.collect()] == [7]
+    assert shuffled(picked._jdf.queryExecution().executedPlan()) <= 3 + 3 + 2
+    nameless = now.limit(1).withColumn("id", F.lit(None).cast("long"))
+    assert index._picked(nameless, spark.createDataFrame([(None, "f")], segments.SCHEMAS["fresh"])).count() == 1
+
+
 def test_segments_are_merged_when_there_are_many(spark, tmp_path, docs, monkeypatch):
     monkeypatch.setattr(segments, "MOST_SEGMENTS", 3)
     index = segments.open_index(spark, f"{tmp_path}/i")

@@ -151,6 +151,21 @@ def index_of(docs: DataFrame, fields: Sequence[str] = ("body",)) -> Index:
     return Index(postings, postings.groupBy("term", "field").agg(F.count("*").alias("df")), stats)
 
 
+def counted(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(id, field, length, term, tf): the words of each row of docs, counted in the row itself, without a shuffle."""
+    rows = fielded(docs, fields).where("length > 0").withColumn("words", F.sort_array("words"))
+    first = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: ~F.get("words", i).eqNullSafe(F.get("words", i - 1)))
+    rows = rows.withColumn("first", first)  # where each word begins among the sorted ones
+    each = F.transform("first", lambda at, i: F.struct(F.get("words", at).alias("term"), (F.coalesce(F.get("first", i + 1), F.size("words")) - at).cast("long").alias("tf")))
+    return rows.select("id", "field", "length", F.explode(each).alias("w")).select("id", "field", "length", "w.term", "w.tf")
+
+
+def clustered(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The postings of index_of(), dealt and sorted by term: each is shuffled once, and added up where it lands."""
+    rows = counted(docs, fields).repartitionByRange("term", "field", "id")
+    return rows.groupBy("term", "field", "id", "length").agg(F.sum("tf").alias("tf")).select("term", "field", "id", "tf", "length").sortWithinPartitions("term", "field", "id")
+
+
 def ranked(index: Index, query: list[str]) -> DataFrame:
     """(id, score, terms) of all documents that a query reaches, by BM25 over expanded terms, summed over fields.
 
@@ -206,7 +221,7 @@ def write_index(docs: DataFrame, path: str, fields: Sequence[str] = ("body",)) -
     Documents are split once; terms are counted from the written postings.
     """
     spark, made = docs.sparkSession, index_of(docs, fields)
-    made.postings.repartitionByRange("term", "field", "id").sortWithinPartitions("term", "field", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    clustered(docs, fields).write.mode("overwrite").parquet(f"{path}/postings")
     made.stats.write.mode("overwrite").parquet(f"{path}/stats")
     spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings").groupBy("term", "field").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     return read_index(spark, path)
