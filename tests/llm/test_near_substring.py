@@ -265,6 +265,30 @@ def test_texts_that_repeat_themselves(spark):
     assert got[1]["text"].split() == f"{plain(1, 60)} {plain(2, 30)}".split()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 25, 26, 64])
+def test_sliding_is_the_best_of_each_stretch(n):
+    values = np.random.default_rng(n).integers(0, 50, 200).astype(np.uint64)
+    each = np.lib.stride_tricks.sliding_window_view(values, n)
+    assert np.array_equal(substring.sliding(np.minimum, values, n), each.min(1)) and np.array_equal(substring.sliding(np.maximum, values, n), each.max(1))
+
+
+@pytest.mark.parametrize("least", [5, 25, 64, 65])
+def test_openings_are_the_smallest_of_each_stretch(least):
+    rng = random.Random(least)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(size)) for size in (0, 3, least, least + 1, 2 * least - 1, 2 * least, 3 * least, 400)] + ["a b " * 200]
+    ends = np.cumsum([0, *map(len, texts)])
+    words = Words(np.frombuffer("".join(texts).encode(), np.uint8), ends, NOT_SPACE)
+    at, _ = substring.openings(words, least)
+    whole = shingles(words.hashes, np.array([0, len(words.hashes)]), substring.OPENING)[0]
+    want = set()
+    for low, high in zip(words.rows[:-1].tolist(), words.rows[1:].tolist(), strict=True):
+        places = list(range(low, high - least + 1))
+        value = {p: ((int(whole[p]) >> 6 << 6) + (p - low) % least if least <= 64 else int(whole[p])) if p < len(whole) else 2**64 - 1 for p in places}
+        for i in range(max(1, len(places) - least + 1) if places else 0):
+            want.add(min(places[i : i + least], key=lambda p: (value[p], p)))
+    assert set(at.tolist()) == want
+
+
 def test_openings_depend_on_content_alone():
     shared = plain(1, 60)
     texts = [f"{plain(2, 33)} {shared} {plain(3, 40)}", f"{plain(4, 51)} {shared}", plain(5, 30), plain(6, 24), "y " * 300]

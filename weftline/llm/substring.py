@@ -68,6 +68,14 @@ def lines_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], n)
 
 
+def sliding(best: Callable[[np.ndarray, np.ndarray], np.ndarray], values: np.ndarray, n: int) -> np.ndarray:
+    """The best of each n values in a row, of stretches that double."""
+    size = 1
+    while 2 * size <= n:
+        values, size = best(values[:-size], values[size:]), 2 * size
+    return best(values[: len(values) - n + size], values[n - size :]) if size < n else values
+
+
 def openings(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Where windows of ``least`` words open, and the hashes of the opening shingles.
 
@@ -86,9 +94,13 @@ def openings(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     value = (whole & ~U(63)) | (own % spread).astype(U) if spread <= 64 else whole.copy()
     value[own >= np.repeat(places, counts)] = np.iinfo(np.uint64).max
     found = []
-    each = np.lib.stride_tricks.sliding_window_view(value, spread) if n >= spread else value[:0].reshape(0, spread)
-    full = own[: len(each)] + spread <= np.repeat(places, counts)[: len(each)]
-    for i in range(0, len(each), 65536):
+    full = own[: n - spread + 1] + spread <= np.repeat(places, counts)[: n - spread + 1]
+    if spread <= 64:  # values of a stretch are different: a place is the smallest of one if the greatest of the least values around it is its own
+        least_of = np.zeros(n + spread - 1, U)
+        least_of[spread - 1 : n] = np.where(full, sliding(np.minimum, value, spread), U(0))
+        found.append(np.flatnonzero(sliding(np.maximum, least_of, spread) == value))
+    each = np.lib.stride_tricks.sliding_window_view(value, spread)
+    for i in range(0, len(each) if spread > 64 else 0, 65536):
         some = np.flatnonzero(full[i : i + 65536])
         found.append(np.unique(each[i : i + 65536][some].argmin(1) + some + i))
     short = np.flatnonzero((places > 0) & (places < spread))
@@ -235,7 +247,7 @@ def removals(docs: DataFrame, scratch: Scratch, least: int) -> DataFrame:
     opened = found.where("n_shingles is null").select("doc", "start", "key")
     again = scratch.write(opened.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "openings")
     scratch.sweep()
-    wanted = opened.join(again, "key").groupBy("doc").agg(F.collect_set("start").alias("wanted"))  # openings of one text
+    wanted = split_by_keys(opened, "key", again, "key")[0].join(again, "key").groupBy("doc").agg(F.collect_set("start").alias("wanted"))  # openings of one text
     wanted = scratch.write(wanted, "wanted")
     lines = scratch.write(found.where("n_shingles is not null"), "lines")
     for name in ("units", "openings"):
